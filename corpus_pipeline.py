@@ -1,18 +1,52 @@
-"""A training corpus from raw documents, in stages."""
+"""A training corpus from raw documents, in stages.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of ``docs`` with all
+their columns. ``run`` writes every stage's result to the shared folder before the
+next one reads it, so that a lost executor costs no more than the stage at hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import mixing
+from geoloom.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
+from geoloom.llm.common import read, written
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(docs, drop_empty=True)
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
 
-STAGES = [("mixing sources to target weights", lambda spark, docs, sf_dir: mixing.mixed_documents(docs))]
+STAGES = [
+    ("toxicity", _toxicity),
+    ("line dedup", _lines),
+    ("n-gram Jaccard join", _near_duplicates),
+    ("benchmark decontamination", _benchmark),
+    ("mixing sources to target weights", _mixing),
+]
 
+#: Nearest neighbours and calibration can't be put as SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
