@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import documents, read
-from geoloom.llm.tokens import WORD, Tokens, groups, ngrams, token_hashes, utf8
+from geoloom.llm.tokens import WORD, Lookup, Tokens, groups, ngrams, token_hashes, utf8
 
 SEGMENT, THRESHOLD, OVERLAP, GRAM = 64, 0.7, 0.6, 3
 K1, B = 1.2, 0.75
@@ -89,6 +89,7 @@ class Shard:
             for w, x in impact.items():
                 lists.setdefault(w, []).append((e, x / own))
         self.words = np.array(sorted(lists), np.uint64)
+        self.lookup = Lookup(self.words)
         self.lists, self.impacts, self.blocks = [], [], []
         self.bounds = np.zeros((len(self.words), -(-len(entries) // BLOCK)), np.float32)
         for w, h in enumerate(self.words.tolist()):
@@ -105,12 +106,6 @@ class Shard:
                 self.bounds[w, k] = np.nextafter(np.float32(b), np.float32(2))
         self.most = [max(x) for x in self.impacts]
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers; -1 for words that no entry has."""
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == hashes, at, -1) if len(self.words) else np.full(len(hashes), -1)
-
     def retrieve(self, query: list[int], threshold: float) -> list[tuple[int, float]]:
         """All entries whose score against the query's words is at least ``threshold``, by block-max WAND."""
         end = len(self.item)
@@ -186,8 +181,7 @@ def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def candidates(shard: Shard, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: float):
     """(passage, its distinct words) where some block's bound reaches the threshold."""
-    known = shard.numbers(words)
-    at = np.flatnonzero(known >= 0)
+    at, known = shard.lookup(words)
     a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
     some = np.flatnonzero(b > a)
     if not len(some):
@@ -196,7 +190,7 @@ def candidates(shard: Shard, words: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     owner = np.repeat(np.arange(len(some)), length)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(a[some], length)
     # A passage's repeated words count once.
-    pair = np.unique(owner.astype(np.int64) << 32 | known[at[inside]])
+    pair = np.unique(owner.astype(np.int64) << 32 | known[inside])
     owner, word = pair >> 32, pair & 0xFFFFFFFF
     cut = np.searchsorted(owner, np.arange(len(some) + 1))
     most = np.array(shard.most, np.float64)

@@ -1,9 +1,9 @@
 """Toxicity from the nearest labelled examples.
 
 Fitting takes a bounded sample of labelled documents (``MAX_LABELLED``, those of the
-least hash of doc_id). Features are the words that go with the toxic label: in at
-least half of their documents, and by a chi-square too large to come up by chance
-among so many words. Document frequencies of the features are counted over all
+least hash of doc_id). Features are the words, and beginnings of words
+(4 to 8 bytes), that go with the toxic label: in at least half of their documents,
+and by a likelihood ratio that not one word is expected to reach by chance. Document frequencies of the features are counted over all
 documents. Every document with a feature is searched in an inverted index of the
 examples: postings in blocks with their maximal weight, blocks taken in order of
 their bound, until no bound reaches the k-th best cosine; so the neighbours are
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import documents, read, written
-from geoloom.llm.tokens import U64, WORD, Tokens, groups, rows_of, utf8
+from geoloom.llm.tokens import U64, WORD, Lookup, Tokens, groups, rows_of, utf8
 
 #: Bounds of the fit: labelled documents, and features (the most significant are kept).
 MAX_LABELLED, MAX_FEATURES = 20_000, 50_000
 NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.5
+#: Beginnings of words that are features beside whole words, in bytes.
+STEMS = (4, 5, 6, 7, 8)
 #: Added to a distance before it is inverted.
 NEAR = 0.05
 
@@ -152,12 +153,15 @@ def isotonic(pairs: list[tuple[float, int]]) -> tuple[list[float], list[float]]:
 def _feature_counts(batch: pa.RecordBatch, features: np.ndarray):
     """(row, feature, count) arrays of a batch, rows ascending."""
     data, offsets = utf8(batch.column("text"))
+    lookup = Lookup(features)
     for lo, hi in groups(offsets):
-        tokens = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD)
-        at = np.searchsorted(features, tokens.hash)
-        at[at == len(features)] = 0
-        hit = np.flatnonzero(features[at] == tokens.hash) if len(features) else np.zeros(0, np.int64)
-        pair, n = np.unique((rows_of(tokens)[hit] + lo).astype(np.int64) << 32 | at[hit], return_counts=True)
+        tokens = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD, STEMS)
+        rows = rows_of(tokens) + lo
+        found = []
+        for token, h in [(None, tokens.hash), *tokens.stems]:
+            place, number = lookup(h)
+            found.append(rows[place if token is None else token[place]].astype(np.int64) << 32 | number)
+        pair, n = np.unique(np.concatenate(found), return_counts=True)
         yield pair >> 32, pair & 0xFFFFFFFF, n
 
 
@@ -168,11 +172,13 @@ def _term_stats(sample: DataFrame) -> DataFrame:
         for batch in batches:
             toxic = np.asarray(batch.column("toxic")).astype(np.int64)
             data, offsets = utf8(batch.column("text"))
-            for lo, hi in groups(offsets, 1 << 23):
-                tokens = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD)
+            for lo, hi in groups(offsets, 1 << 22):
+                tokens = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD, STEMS)
                 rows = rows_of(tokens)
-                order = np.lexsort((tokens.hash, rows))
-                h, r = tokens.hash[order], rows[order]
+                h = np.concatenate([tokens.hash, *(x for _, x in tokens.stems)])
+                r = np.concatenate([rows, *(rows[token] for token, _ in tokens.stems)])
+                order = np.lexsort((h, r))
+                h, r = h[order], r[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, bool)
                 terms, inverse = np.unique(h[new], return_inverse=True)
                 n = np.bincount(inverse, minlength=len(terms))
@@ -214,11 +220,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k:
     if not size:
         return Model(np.zeros(0, U64), Index.build(none, none, [], np.zeros(0)), ([], []), None, k)
     stats = written(_term_stats(sample), "toxicity-terms")
-    # Bonferroni over all words of the sample.
-    least = NormalDist().inv_cdf(1 - 0.05 / max(1, stats.count())) ** 2
-    a, n, t, s = (F.col("toxic").cast("double"), F.col("n").cast("double"), F.lit(float(bad)), F.lit(float(size)))
-    chi = F.try_divide(s * (a * s - n * t) ** 2, n * t * (s - n) * (s - t))
-    rows = stats.filter((a * 2 >= n) & (a * s > n * t) & (chi >= least)).orderBy(chi.desc(), "term").limit(MAX_FEATURES).select("term").collect()
+    # By Chernoff's bound, at most one feature is expected to pass by chance.
+    a, n, p = F.col("toxic").cast("double"), F.col("n").cast("double"), F.lit(bad / size)
+    clean = F.when(n > a, (n - a) * F.ln((n - a) / (n * (1 - p)))).otherwise(0.0)
+    gain = a * F.ln(a / (n * p)) + clean
+    likely = stats.filter((a * 2 >= n) & (a > n * p)).withColumn("gain", gain).filter(F.col("gain") >= math.log(max(1, stats.count())))
+    rows = likely.orderBy(F.desc("gain"), "term").limit(MAX_FEATURES).select("term").collect() if 0 < bad < size else []
     features = np.sort(np.array([r[0] for r in rows], np.int64).view(U64))
     df, total = _document_frequencies(docs, features)
     idf = 1 + np.log((1 + total) / (1 + df))
