@@ -11,13 +11,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.geo import kernels, wkb
 from geoloom.geo.mercator import map_geometry, transform
 
 BBOX = ("_bbox_xmin", "_bbox_ymin", "_bbox_xmax", "_bbox_ymax")
 SUMMARY = (*BBOX, "_cx", "_cy", "_npts", "_gtype", "_prio")
-_SUMMARY_TYPE = "xmin double, ymin double, xmax double, ymax double, cx double, cy double, npts int, gtype string"
+# Types are objects: a DDL string needs a session, and workers import this module.
+_SUMMARY_TYPE = T.StructType([*(T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax", "cx", "cy")), T.StructField("npts", T.IntegerType()), T.StructField("gtype", T.StringType())])
 
 
 def _decoded(value):
@@ -71,7 +73,7 @@ def priority(geometry: Column) -> Column:
     return F.crc32(geometry)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def st_point(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(wkb.point_wkb(x.to_numpy(np.float64, na_value=np.nan), y.to_numpy(np.float64, na_value=np.nan)))
 
@@ -90,12 +92,12 @@ def _quiet(f):
     return run
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def st_from_wkt(text: pd.Series) -> pd.Series:
     return _each(_quiet(lambda v: wkb.encode(wkb.from_wkt(v))))(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def st_as_geojson(geometry: pd.Series) -> pd.Series:
     return _each(lambda v: json.dumps(wkb.to_geojson(wkb.decode(v))))(geometry)
 
@@ -105,32 +107,32 @@ def _geojson(v):
     return None if g is None else wkb.encode(g)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def st_from_geojson(text: pd.Series) -> pd.Series:
     return _each(_quiet(_geojson))(text)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def st_linearize(geometry: pd.Series) -> pd.Series:
     return _each(wkb.linearize)(geometry)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def st_type(geometry: pd.Series) -> pd.Series:
     return _each(_quiet(lambda v: wkb.wkb_type(v)))(geometry)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def st_npoints(geometry: pd.Series) -> pd.Series:
     return pd.Series([None if (g := _decoded(v)) is None else len(wkb.vertices(g)) for v in geometry], dtype="Int32")
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
 def st_vertices(geometry: pd.Series) -> pd.Series:
     return pd.Series([None if (g := _decoded(v)) is None else [{"x": x, "y": y} for x, y in wkb.vertices(g).tolist()] for v in geometry])
 
 
-@F.pandas_udf("array<binary>")
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
 def st_dump(geometry: pd.Series) -> pd.Series:
     """The members of a collection, at any depth; other geometries alone."""
     return pd.Series([None if (g := _decoded(v)) is None else [wkb.encode(p) for p in kernels._opened(g)] for v in geometry])
@@ -144,7 +146,7 @@ def st_transform(geometry: Column, source: object, target: object) -> Column:
     if a == b:
         return geometry
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def run(values: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else wkb.encode(map_geometry(wkb.decode(v), lambda p: transform(p, a, b))) for v in values], dtype=object)
 
@@ -155,7 +157,7 @@ def st_intersects(geometry: Column, region: wkb.Geometry) -> Column:
     """Whether a geometry meets one fixed region; its boundary counts."""
     shape = wkb.encode(region)
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def run(values: pd.Series) -> pd.Series:
         q = wkb.decode(shape)
         return pd.Series([bool((g := _decoded(v)) is not None and kernels.intersects(g, q)) for v in values], dtype=bool)
@@ -163,7 +165,7 @@ def st_intersects(geometry: Column, region: wkb.Geometry) -> Column:
     return run(geometry)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def st_intersects_pair(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([bool((g := _decoded(x)) is not None and (h := _decoded(y)) is not None and kernels.intersects(g, h)) for x, y in zip(a, b)], dtype=bool)
 

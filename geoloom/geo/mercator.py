@@ -66,7 +66,7 @@ def cell(v, n) -> Column:
 
 
 def tile_x(x, z) -> Column:
-    return cell(x, F.shiftleft(F.lit(1).cast("long"), _c(z)) if isinstance(z, int) else F.pow(F.lit(2.0), _c(z)))
+    return cell(x, F.pow(F.lit(2.0), _c(z)))
 
 
 def tile_y(y, z) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geometry import BBOX
 from geoloom.geo.mercator import METRES, WORLD, epsg, tile_id, tile_x, tile_y, x_of_lon, y_of_lat
-from geoloom.operators.histogram import accepted_tiles, deepest_level, tile_value
+from geoloom.operators.histogram import accepted_tiles, deepest_level
 
 
 def metre_box(crs: object, columns: tuple[str, str, str, str] = BBOX) -> list[Column]:
@@ -29,35 +29,67 @@ def fan_out(df: DataFrame, zooms: range, crs: object = None, buffer: float = 0.0
     return rows.select(*keep, "z", "x", "y", tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"))
 
 
-def accepted_frame(spark, prefix: np.ndarray, zooms: range, threshold: float) -> DataFrame:
-    """z, x, y of the tiles whose vertices exceed the threshold (strictly); their number is bounded by the grid."""
-    rows = []
-    for z, grid in accepted_tiles(prefix, zooms, threshold).items():
-        y, x = np.nonzero(grid)
-        rows += [(z, int(a), int(b)) for a, b in zip(x, y)]
-    return spark.createDataFrame(rows, "z int, x long, y long")
+#: Tiles that a task expands at a time.
+CHUNK = 1 << 16
 
 
-def filtered_tiles(tiles: DataFrame, prefix: np.ndarray | None, threshold: float, zooms: range) -> DataFrame:
-    """Tile rows whose tile exceeds the threshold. Tiles finer than the grid share their cell's count evenly."""
-    if prefix is None:
-        return tiles
+def accepting(prefix: np.ndarray, zooms: range, threshold: float) -> dict[int, np.ndarray]:
+    """Per zoom, a grid of the tiles that hold more than ``threshold`` vertices (strictly). Tiles finer than the histogram share their cell's count evenly, so their grid is the cells'."""
     deep = prefix.shape[0].bit_length() - 1
-    within = [z for z in zooms if z <= deep]
-    accepted = accepted_frame(tiles.sparkSession, prefix, range(within[0], within[-1] + 1) if within else range(0), threshold)
-    few = accepted.count() <= 200_000
-    out = tiles.filter(F.col("z") <= deep).join(F.broadcast(accepted) if few else accepted, ["z", "x", "y"], "left_semi")
-    beyond = [z for z in zooms if z > deep]
-    if beyond:
-        cells = accepted_frame(tiles.sparkSession, prefix, range(deep, deep + 1), threshold).select(F.col("x").alias("_x"), F.col("y").alias("_y"))
-        values = tiles.sparkSession.createDataFrame([(int(r["_x"]), int(r["_y"]), tile_value(prefix, deep, int(r["_x"]), int(r["_y"]))) for r in cells.toLocalIterator()], "_x long, _y long, _n double")
-        shift = F.col("z") - deep
-        finer = tiles.filter(F.col("z") > deep)
-        ok = finer.join(values, (F.shiftright("x", deep).isNotNull()) & (F.expr(f"shiftright(x, z - {deep})") == F.col("_x")) & (F.expr(f"shiftright(y, z - {deep})") == F.col("_y")))
-        out = out.unionByName(ok.filter(F.col("_n") / F.pow(F.lit(4.0), shift) > threshold).select(*tiles.columns))
+    out = accepted_tiles(prefix, range(zooms[0], min(zooms[-1], deep) + 1), threshold) if zooms[0] <= deep else {}
+    for z in zooms:
+        if z > deep:
+            out[z] = accepted_tiles(prefix, range(deep, deep + 1), threshold * 4 ** (z - deep))[deep]
     return out
 
 
+def descended(df: DataFrame, zooms: range, crs: object = None, buffer: float = 0.0, prefix: np.ndarray | None = None, threshold: float = 0.0) -> DataFrame:
+    """``fan_out`` of rows with _fid and _prio, to the tiles that pass the histogram alone.
+
+    A tile passes only if its parent does, and a box that reaches a tile by the buffer
+    reaches the parent by the parent's; so each row goes down from tile to tile and
+    never meets the tiles of an empty quarter, however large its box. There is no
+    shuffle. What is broadcast is the grids of tiles: a bit for each cell of the
+    histogram and zoom, which doesn't grow with the data.
+    """
+    if prefix is None:
+        return fan_out(df, zooms, crs, buffer, ["_fid", "_prio"])
+    every = range(zooms[-1] + 1)
+    deep = prefix.shape[0].bit_length() - 1
+    grids = {z: (g.shape, np.packbits(g)) for z, g in accepting(prefix, every, threshold).items()}
+    shared = df.sparkSession.sparkContext.broadcast(grids)
+    first = zooms[0]
+
+    def run(batches):
+        import pyarrow as pa
+
+        grid = {z: np.unpackbits(bits, count=shape[0] * shape[1]).reshape(shape).astype(bool) for z, (shape, bits) in shared.value.items()}
+        for batch in batches:
+            box = [np.asarray(batch.column(c)) for c in ("x0", "y0", "x1", "y1")]
+            good = np.flatnonzero(np.isfinite(np.array(box)).all(0))
+            todo = [(0, good, np.zeros(len(good), np.int64), np.zeros(len(good), np.int64))]
+            while todo:
+                z, row, x, y = todo.pop()
+                n = 1 << z
+                grow = buffer * 2 * WORLD / n
+                at = lambda v, n=n: np.clip(np.floor(v / (2 * WORLD) * n), 0, n - 1).astype(np.int64)
+                inside = (x >= at(box[0][row] - grow + WORLD)) & (x <= at(box[2][row] + grow + WORLD)) & (y >= at(WORLD - box[3][row] - grow)) & (y <= at(WORLD - box[1][row] + grow))
+                d = max(0, z - deep)
+                inside &= grid[z][y >> d, x >> d]
+                row, x, y = row[inside], x[inside], y[inside]
+                if not len(row):
+                    continue
+                if z >= first:
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([batch.column("_fid").take(take), batch.column("_prio").take(take), pa.array(np.full(len(row), z, np.int32)), pa.array(x), pa.array(y), pa.array(np.int64(z) << np.int64(58) | x << 29 | y)], ["_fid", "_prio", "z", "x", "y", "tile_id"])
+                if z < every[-1]:
+                    row, x, y = np.repeat(row, 4), np.repeat(2 * x, 4) + np.tile([0, 1, 0, 1], len(x)), np.repeat(2 * y, 4) + np.tile([0, 0, 1, 1], len(y))
+                    todo += [(z + 1, row[i : i + CHUNK], x[i : i + CHUNK], y[i : i + CHUNK]) for i in range(0, len(row), CHUNK)]
+
+    x0, y0, x1, y1 = metre_box(crs)
+    return df.select("_fid", "_prio", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).mapInArrow(run, "_fid long, _prio long, z int, x long, y long, tile_id long")
+
+
 def zoom_range(prefix: np.ndarray | None, zoom: int, threshold: float) -> range:
     """Zooms 0..zoom, ending where the histogram says no tile would pass (only with a threshold above 0)."""
     if prefix is not None and threshold > 0:
