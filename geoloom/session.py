@@ -14,16 +14,24 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows differ in length by orders of magnitude: batches are bounded by bytes as well.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # Top-k per tile is pruned before its shuffle for k up to this.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
+#: Python workers live on between tasks: large arrays go back to the system as soon as they are freed.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and set what the plans rely on."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    for key, value in WORKER_ENV.items():
+        env.setdefault(key, value)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
