@@ -12,7 +12,7 @@ from geoloom.session import prepare
 from geoloom.sources import geojson, geoparquet, shapefile
 from geoloom.sources.files import files, is_dir
 
-SUFFIXES = {".parquet": "geoparquet", ".geoparquet": "geoparquet", ".geojson": "geojson", ".json": "geojson", ".geojsonl": "geojson", ".csv": "csv", ".tsv": "csv", ".shp": "shapefile", ".gdb": "gdb"}
+SUFFIXES = {".parquet": "geoparquet", ".geoparquet": "geoparquet", ".geojson": "geojson", ".json": "geojson", ".geojsonl": "geojson", ".jsonl": "geojson", ".csv": "csv", ".tsv": "csv", ".shp": "shapefile", ".gdb": "gdb"}
 
 
 @dataclass
@@ -43,6 +43,8 @@ def source_kind(path: str) -> str:
     if path.lower().endswith(".zip"):
         import zipfile
 
+        if path.lower().endswith(".gdb.zip"):
+            return "gdb"
         with zipfile.ZipFile(path) as z:
             return "gdb" if any(".gdb/" in n.lower() for n in z.namelist()) else "shapefile"
     if not is_dir(path):

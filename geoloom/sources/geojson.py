@@ -33,7 +33,7 @@ def features(path: str, offset: int, length: int, size: int) -> Iterator[str]:
     # One byte is one character here, so places in the text are places in the file.
     text = read_bytes(path, offset, tail - offset).decode("latin-1")
     before = read_bytes(path, max(0, offset - 64), min(64, offset)).decode("latin-1")
-    at = 0
+    at = floor = 0
     while True:
         m = _FEATURE.search(text, at)
         if m is None and offset + len(text) < size and at < length:
@@ -43,7 +43,7 @@ def features(path: str, offset: int, length: int, size: int) -> Iterator[str]:
         if m is None:
             return
         found = None
-        brace = text.rfind("{", at, m.start())
+        brace = text.rfind("{", floor, m.start())
         while brace >= 0:
             try:
                 value, stop = _DECODE(text, brace)
@@ -54,10 +54,10 @@ def features(path: str, offset: int, length: int, size: int) -> Iterator[str]:
                     continue
                 value, stop = None, 0
             if stop > m.start() and isinstance(value, dict) and value.get("type") == "Feature" and "geometry" in value:
-                ahead = (before + text[:brace]).rstrip()[-1:]
-                found = None if ahead == ":" else (brace, stop)
-                break
-            brace = text.rfind("{", at, brace)
+                if (before + text[max(0, brace - 64) : brace]).rstrip()[-1:] != ":":
+                    found = (brace, stop)
+                    break
+            brace = text.rfind("{", floor, brace)
         if found is None:
             at = m.end()
             if at >= length:
@@ -66,7 +66,7 @@ def features(path: str, offset: int, length: int, size: int) -> Iterator[str]:
         if found[0] >= length:
             return
         yield text[found[0] : found[1]].encode("latin-1").decode("utf-8", "replace")
-        at = found[1]
+        at = floor = found[1]
 
 
 def _canonical(v) -> str:

@@ -18,8 +18,15 @@ def footer(path: str) -> pa.Schema:
     first = next((p for p, _ in files(path) if p.lower().endswith((".parquet", ".geoparquet"))), None)
     if first is None:
         raise ValueError(f"{path}: no Parquet file")
-    fs, p = file_system(first)
-    return pq.read_schema(p, filesystem=fs)
+    return file_schema(first)
+
+
+def file_schema(path: str) -> pa.Schema:
+    """The schema of one file with all of the footer's key-value metadata."""
+    fs, p = file_system(path)
+    about = pq.read_metadata(p, filesystem=fs)
+    schema = about.schema.to_arrow_schema()
+    return schema.with_metadata({**(schema.metadata or {}), **(about.metadata or {})})
 
 
 def geo_metadata(schema: pa.Schema) -> dict:
