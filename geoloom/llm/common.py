@@ -64,8 +64,12 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.Reco
     return df.mapInArrow(run, schema)
 
 
-def has_column(df: DataFrame, name: str) -> bool:
-    return name in df.columns
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:

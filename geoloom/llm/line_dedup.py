@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import read, replace_column, shared_path
+from geoloom.llm.common import free_name, read, replace_column, shared_path
 from geoloom.llm.tokens import U64, groups, mix, utf8
 
 MIN_COUNT, MIN_CHARS = 6, 10
@@ -200,13 +200,13 @@ def _load(path: str, shard: int) -> Shard | None:
 
 
 def dedup(docs: DataFrame, min_count: int = MIN_COUNT, min_chars: int = MIN_CHARS, drop_empty: bool = False, shards: int | None = None) -> DataFrame:
-    """``docs`` with all its columns, the text without repeated lines, and n_lines and n_dropped behind it.
+    """``docs`` with all its columns, the text without repeated lines, and _n_lines and _n_dropped behind them (with more underscores where ``docs`` has such columns).
 
     ``drop_empty`` leaves out documents that have lost all their lines with text, and the two counts.
     """
     path, n_shards = build_index(docs, min_count, min_chars, shards)
     counts = not drop_empty
-    schema = T.StructType([*docs.schema.fields, *([T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())] if counts else [])])
+    schema = T.StructType([*docs.schema.fields, *([T.StructField(free_name(docs, n), T.LongType()) for n in ("_n_lines", "_n_dropped")] if counts else [])])
 
     def rewrite(batch: pa.RecordBatch, known: dict):
         texts = batch.column("text").cast(pa.string())
@@ -259,7 +259,7 @@ def dedup(docs: DataFrame, min_count: int = MIN_COUNT, min_chars: int = MIN_CHAR
                     keep = np.ones(len(ids), bool)
                     keep[gone] = False
         if counts:
-            out = out.append_column("_n_lines", pa.array(n_lines.astype(np.int64))).append_column("_n_dropped", pa.array(n_dropped.astype(np.int64)))
+            out = pa.RecordBatch.from_arrays([*out.columns, pa.array(n_lines.astype(np.int64)), pa.array(n_dropped.astype(np.int64))], schema.names)
         return out.filter(pa.array(keep)) if keep is not None else out
 
     def run(batches):

@@ -101,23 +101,30 @@ def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weight: int
     return sizes, written(by_source, "mix-thresholds")
 
 
-def _within(limits: DataFrame, rows: DataFrame, h: Column) -> DataFrame:
-    """``rows`` whose hash is below the largest threshold of their source; column ``_tier``."""
-    limits = limits.select(F.col("source").alias("_source"), F.col("limits").alias("_limits"))
+def _within(limits: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``row`` of those of ``rows`` (row, source, h) whose hash is below the largest threshold of their source, and ``tier``."""
     small = _small(limits)
-    joined = rows.join(F.broadcast(limits) if small else limits, rows["source"].cast("string").eqNullSafe(F.col("_source")))
-    return joined.withColumn("_tier", F.size("_limits") - F.size(F.filter("_limits", lambda x: h < x)) + 1).filter(F.col("_tier") <= F.size("_limits"))
+    joined = rows.alias("r").join((F.broadcast(limits) if small else limits).alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")))
+    tier = F.size("l.limits") - F.size(F.filter("l.limits", lambda x: F.col("r.h") < x)) + 1
+    return joined.select("r.row", tier.alias("tier"), F.size("l.limits").alias("n")).filter("tier <= n").select("row", "tier")
+
+
+def tiers_of(sizes: DataFrame, limits: DataFrame) -> DataFrame:
+    """doc_id, source, n_tokens and tier (the smallest budget that has it) of the documents that stay."""
+    packed = sizes.select(F.struct("doc_id", "source", "n_tokens").alias("row"), "source", "h")
+    return _within(limits, packed).select("row.*", F.col("tier").cast("long").alias("tier"))
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents within the full budget of their source, with all their columns."""
+    """The documents within the full budget of their source, with all their columns, whatever their names."""
     _, limits = mix(docs, **parameters)
-    return _within(limits, docs, doc_hash(docs["doc_id"])).select(*[docs[f"`{c}`"] for c in docs.columns])
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("source"), doc_hash(docs["doc_id"]).alias("h"))
+    return _within(limits, packed).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes, limits = mix(read(spark, sf_dir, "documents"))
-    return _within(limits, sizes, F.col("h")).select("doc_id", "source", "n_tokens", F.col("_tier").cast("long").alias("tier"))
+    return tiers_of(sizes, limits)
 
 
 ORACLE = f"""

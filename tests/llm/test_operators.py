@@ -1,0 +1,404 @@
+"""Each corpus operator against SQL and plain Python, with the awkward cases."""
+
+import math
+import random
+
+import brute
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from oracle import SF, of_spark, of_sql
+from pyspark.sql import functions as F
+
+from geoloom.llm import decontaminate, line_dedup, lm_score, mixing, ngram_join, secret_scan, suffix_dedup, toxicity, url_filter, winnow
+from geoloom.llm.queries import ORACLE_SQL, QUERIES
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def pool(seed: int) -> list[str]:
+    r = random.Random(seed)
+    return ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(60)]
+
+
+def awkward(n: int = 40) -> list[tuple]:
+    """Nulls in every column, empty and long texts, ties, copies, near copies and repeated rows."""
+    r, w = random.Random(5), pool(1)
+    passage = " ".join(r.choices(w, k=30))
+    shared = ["a line that is repeated", "   another   repeated line\t", "short"]
+    texts = [" ".join(r.choices(w, k=r.randint(1, 80))) for _ in range(n)]
+    texts = [t + "\n" + r.choice(shared) + "\n" + (passage if i % 5 == 0 else "") for i, t in enumerate(texts)]
+    texts += [texts[3], texts[3] + " extra", texts[3].replace("\n", " \n"), "", None, "word", "!!!", " \n\t\n", "\n".join(shared * 4), " ".join(r.choices(w, k=4000)), "é ü 漢字 " * 30, texts[0].upper()]
+    rows = [(i + 1, t, "en" if i % 3 else None, f"src{i % 3}" if i % 7 else None, None if t is None else len(t)) for i, t in enumerate(texts)]
+    return [*rows, rows[2], rows[4], (None, texts[1], None, None, None), (None, None, None, None, None), (None, texts[1], None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(awkward(), SCHEMA).repartition(3).cache()
+
+
+def pairs(rows):
+    return [(r[0], r[1]) for r in rows]
+
+
+def ordered(rows):
+    return sorted((tuple(r) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"op4_suffix_dedup", "op6_winnow_fingerprints", "op8_ngram_join"}))
+def test_against_sql(spark, name):
+    got, want = of_spark(QUERIES[name](spark, SF)), of_sql(ORACLE_SQL[name])
+    assert got == want and got[1]
+
+
+@pytest.mark.parametrize("name", ["op4_suffix_dedup", "op6_winnow_fingerprints", "op8_ngram_join"])
+def test_against_sql_on_awkward_documents(spark, docs, tmp_path, name):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = of_spark(QUERIES[name](spark, str(tmp_path)))
+    assert got == of_sql(ORACLE_SQL[name], tables={"documents": pd.DataFrame(awkward(), columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64", "n_chars": "Int64"})})
+
+
+# --- Line dedup ------------------------------------------------------------------
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300))
+def test_perfect_hash(keys):
+    k = np.array(sorted(keys), np.uint64)
+    h = line_dedup.PerfectHash.build(k)
+    assert sorted(h.slots(k).tolist()) == list(range(len(k)))
+
+
+@pytest.mark.parametrize("shards", [1, 7])
+def test_line_dedup(docs, shards):
+    got = line_dedup.dedup(docs.select("doc_id", "text"), 3, 10, shards=shards).collect()
+    assert ordered(got) == ordered(brute.line_dedup(pairs(awkward()), 3, 10))
+
+
+def test_line_dedup_counts_beyond_a_byte(spark):
+    rows = [(i, "the very same line") for i in range(300)] + [(900, "a line of its own")]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 290, 5).collect()
+    assert ordered(got) == ordered(brute.line_dedup(rows, 290, 5))
+
+
+# --- N-gram join ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("n", "t"), [(2, (1, 2)), (5, (7, 10)), (3, (1, 1))])
+def test_ngram_join(docs, n, t):
+    got = {r["doc_id"]: r["group_id"] for r in ngram_join.near_duplicates(docs, n, t).collect()}
+    assert got == brute.near_groups(pairs(awkward()), n, t) and got
+
+
+def test_keep_one_keeps_columns_and_rows_without_group(docs):
+    clash = docs.withColumn("_gone", F.lit(1)).withColumn("label", F.lit("x"))
+    kept = ngram_join.keep_one(clash)
+    groups = brute.near_groups(pairs(awkward()), ngram_join.N, ngram_join.THRESHOLD)
+    assert kept.columns == clash.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in awkward() if groups.get(r[0], r[0]) == r[0])
+
+
+# --- Decontamination -----------------------------------------------------------
+
+
+def items() -> list[tuple]:
+    r, w = random.Random(9), pool(1)
+    long_ = " ".join(r.choices(w, k=150))
+    texts = ["What " + " ".join(r.choices(w, k=20)) + "? The " + " ".join(r.choices(w, k=8)) for _ in range(12)] + [long_, "one two", "", None, "!!"]
+    return [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, "nobody owns this item")]
+
+
+def contaminated_docs() -> list[tuple]:
+    r, w, it = random.Random(3), pool(2), items()
+    out = awkward()
+    for k, (i, t) in enumerate(it[:13]):
+        around = [" ".join(r.choices(w, k=r.randint(0, 150))) for _ in range(2)]
+        cut = t.split()
+        out.append((500 + k, f"{around[0]} {t.upper()} {around[1]}", "en", "src0", 1))
+        out.append((600 + k, f"{around[0]} {' '.join(cut[: len(cut) // 2])} {around[1]}", "en", "src0", 1))
+        out.append((700 + k, f"{around[0]} {' '.join(c for j, c in enumerate(cut) if j % 9)} {around[1]}", "en", "src0", 1))
+    return out
+
+
+def test_decontamination(spark):
+    docs = spark.createDataFrame(contaminated_docs(), SCHEMA)
+    bench = spark.createDataFrame(items(), "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], round(r["score"], 6)) for r in decontaminate.contaminated(docs, bench).collect()), key=str)
+    d = decontaminate
+    assert got == brute.bm25_matches(pairs(contaminated_docs()), items(), d.SEGMENT, d.THRESHOLD, d.OVERLAP, d.GRAM, d.K1, d.B)
+    assert {500 + k for k in range(13)} <= {g[0] for g in got} and all(g[0] is not None and g[0] >= 500 for g in got)
+    clean = d.decontaminate(docs.withColumn("row", F.lit(1)), bench)
+    assert ordered(r[:2] for r in clean.collect()) == ordered(r[:2] for r in contaminated_docs() if r[0] not in {g[0] for g in got})
+
+
+def test_many_items_take_several_indexes(spark, monkeypatch):
+    docs = spark.createDataFrame(contaminated_docs(), SCHEMA)
+    bench = spark.createDataFrame(items(), "item_id long, text string")
+    want = ordered(decontaminate.contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 4)
+    assert ordered(decontaminate.contaminated(docs, bench).collect()) == want
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.floats(0.05, 0.9))
+def test_wand_is_exhaustive(seed, threshold):
+    r = np.random.default_rng(seed)
+    entries = [(i, r.integers(0, 30, r.integers(1, 12)).astype(np.uint64)) for i in range(60)]
+    shard = decontaminate.Shard(entries, dict.fromkeys(range(30), 1.3), 6.0)
+    query = sorted(set(r.integers(0, len(shard.words), 8).tolist()))
+    scores = np.zeros(60)
+    for w in query:
+        for e, x in zip(shard.lists[w], shard.impacts[w]):
+            scores[e] += x
+    assert sorted(e for e, _ in shard.retrieve(query, threshold)) == np.flatnonzero(scores >= threshold - 1e-9).tolist()
+
+
+# --- Suffix dedup ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("length", [6, 20])
+def test_suffix_dedup(docs, length):
+    got = suffix_dedup.repeated_spans(docs, length).collect()
+    assert ordered(got) == ordered(brute.spans(pairs(awkward()), length)) and got
+
+
+def test_suffix_dedup_in_pieces(docs, monkeypatch):
+    want = brute.spans(pairs(awkward()), 6)
+    monkeypatch.setattr(suffix_dedup, "PIECE_ROWS", 3)
+    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    rows = sorted(((r["doc_id"], r["text"]) for r in texts.collect()))
+    assert brute.spans(rows, 6) == want
+    a, d, lo, t = [], [], [], []
+    for i, text in rows:
+        ws = [x for x in brute.SPACES.split(text) if x]
+        if len(ws) >= 6:
+            a.append(0), d.append(i), lo.append(0), t.append(" ".join(ws).encode())
+    got = suffix_dedup.shared_windows(np.array(a), np.array(d), np.array(lo), pa.array(t, pa.binary()), 6)
+    found = {(x, i) for x, b, e in zip(*map(np.ndarray.tolist, got)) for i in range(b, e)}
+    assert found == {(x, i) for x, b, e, _ in want for i in range(b, e - 5)}
+
+
+def test_suffix_sort_is_a_sort():
+    r = np.random.default_rng(0)
+    words = r.integers(0, 3, 400).astype(np.uint64)
+    s = suffix_dedup.SuffixSorter(words, 12, 1)
+    suffix = np.arange(380)
+    order = s.sort(suffix, np.zeros(380, np.int64))
+    keys = [tuple(words[i : i + 12].tolist()) for i in suffix[order]]
+    assert keys == sorted(keys)
+
+
+def test_colliding_words_are_told_apart(monkeypatch):
+    from geoloom.llm.tokens import NONSPACE, Tokens
+
+    data = np.frombuffer(b"aa bb aa cc", np.uint8)
+    t = Tokens(data, np.array([0, 11]), NONSPACE)
+    t.hash[:] = 7
+    got = suffix_dedup.exact_words(data, t)
+    assert got[0] == got[2] and len(set(got.tolist())) == 3
+
+
+# --- Winnowing ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("k", "window"), [(3, 4), (8, 1), (30, 71)])
+def test_winnow(docs, k, window):
+    got = [(r["doc_id"], r["pos"], r["fingerprint"]) for r in winnow.fingerprints(docs, k, window).collect()]
+    want = [(r[0], p, f) for r in awkward() for p, f in brute.winnow(r[1], k, window, winnow.BASE, winnow.PRIME)]
+    assert ordered(got) == ordered(want)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("ab", min_size=12, max_size=40), st.text("ab", max_size=20), st.text("ab", max_size=20))
+def test_shared_text_shares_a_fingerprint(common, x, y):
+    k, window = 5, 8
+    one, two = ({f for _, f in brute.winnow(t, k, window, winnow.BASE, winnow.PRIME)} for t in (x + common, common + y))
+    assert one & two
+
+
+# --- Language model ------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return lm_score.Vocabulary(lm_score.default_vocabulary())
+
+
+def test_lattice_sums_all_segmentations(vocabulary):
+    rng = random.Random(1)
+    scores = {i: -rng.uniform(1, 9) for i in [*vocabulary.pieces.values(), *vocabulary.bytes.values()]}
+    lattice = lm_score.Lattice(vocabulary, scores)
+    for text in (" the", " nation", "\n", " été", " a漢b", "  x", " \u0000q", " constitution"):
+        assert math.isclose(lattice.forward(text), brute.lattice(text, lattice.score, lattice.spelled), rel_tol=1e-12)
+
+
+def test_chunks_lose_nothing(vocabulary):
+    lattice = lm_score.Lattice(vocabulary, vocabulary.file_scores)
+    for text in ("ab cd", " a  b \n\nc ", "x"):
+        assert "".join(lm_score.CHUNK.findall(" " + text)) == " " + text
+        assert math.isclose(lattice.document(text), lattice.forward(" " + text), rel_tol=1e-12)
+
+
+def test_lm_scores(docs, vocabulary):
+    got = {r["doc_id"]: r for r in lm_score.score_documents(docs).collect() if r["doc_id"] is not None}
+    counts: dict[int, int] = {}
+    for r in awkward():
+        for c in lm_score.CHUNK.findall(" " + r[1]) if r[1] else []:
+            for p in vocabulary.segment(c):
+                counts[p] = counts.get(p, 0) + 1
+    usable = [*vocabulary.pieces.values(), *vocabulary.bytes.values()]
+    total = sum(counts.get(i, 0) for i in usable) + 0.5 * len(usable)
+    lattice = lm_score.Lattice(vocabulary, {i: math.log((counts.get(i, 0) + 0.5) / total) for i in usable})
+    for r in awkward():
+        if r[0] is not None:
+            g = got[r[0]]
+            assert (g["log_prob"] is None) == (r[1] is None) and g["n_chars"] == (None if r[1] is None else len(r[1]))
+            if r[1]:
+                assert math.isclose(g["log_prob"], lattice.forward(" " + r[1]), rel_tol=1e-9)
+    assert got[next(r[0] for r in awkward() if r[1] == "")]["log_prob"] == 0
+
+
+# --- Secrets ------------------------------------------------------------------
+
+
+def test_ledger_scans_unseen_pairs_alone(spark, tmp_path):
+    key = "AKIA" + "A" * 16
+    v = "doc_id long, path string, text string"
+    first = spark.createDataFrame([(1, "a", f"x {key} {key}"), (2, "b", f"x {key} {key}"), (3, "c", ""), (4, "d", None), (None, "e", "password=deadbeef00"), (1, "a", f"x {key} {key}")], v)
+    ledger = str(tmp_path / "ledger")
+    secret_scan.scan_increment(first, ledger)
+    scanned = lambda: sum(len(r["rules"]) for r in spark.read.option("recursiveFileLookup", True).parquet(f"{ledger}/scanned").collect())
+    n = scanned()
+    assert n == 3 * len(secret_scan.RULES)
+    got = secret_scan.findings(first, ledger).collect()
+    assert sorted((r["path"], r["rule_id"], r["n"]) for r in got) == [("a", "aws-access-key", 2), ("a", "aws-access-key", 2), ("b", "aws-access-key", 2), ("e", "password-assignment", 1)]
+    secret_scan.scan_increment(first, ledger)
+    assert scanned() == n
+    more = first.unionByName(spark.createDataFrame([(9, "z", "new text")], v))
+    rules = (*secret_scan.RULES[1:], secret_scan.Rule("aws-access-key", 3, "AKIA[0-9A-Z]{15}", "AKIA"))
+    secret_scan.scan_increment(more, ledger, rules)
+    assert scanned() == n + 3 + len(rules)
+    assert {r["rule_version"] for r in secret_scan.findings(more, ledger, rules).collect() if r["rule_id"] == "aws-access-key"} == {3}
+
+
+# --- URLs ---------------------------------------------------------------------------
+
+
+def test_url_filter_against_every_rule(spark):
+    urls = ["http://a.example.org/x/y", "https://USER@B.a.Example.org:80/x", "http://example.org", "http://example.org/x?q=1#f", "ftp://example.org./x/yz", None, "", "no scheme", "http:///x", "http://exampleXorg/", "http://example.org/x/y"] * 2
+    rules = [(5, "example.org", "block"), (3, "example.org", "allow"), (2, "a.example.org", "review"), (9, "example.org/x", "block"), (1, "example.org/x/y", "allow"), (7, "org", "review"), (8, None, "block")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("key", F.lit(1))
+    frame = spark.createDataFrame(rules, "rule_id long, pattern string, action string")
+    keys = dict(pages.select("page_id", url_filter.url_key(F.col("url"))).collect())
+    prefix = dict(frame.select("rule_id", url_filter.rule_prefix(F.col("pattern"))).collect())
+    for r in url_filter.filter_urls(pages, frame).collect():
+        key = keys[r["page_id"]]
+        hits = sorted((-len(prefix[i]), i, a) for i, p, a in rules if p is not None and key is not None and key.startswith(prefix[i]))
+        assert (r["rule_id"], r["action"]) == ((hits[0][1], hits[0][2]) if hits else (None, "invalid" if key is None else "allow"))
+    assert url_filter.filter_urls(pages, frame.limit(0)).count() == len(urls)
+    assert url_filter.filter_urls(pages.limit(0), frame).count() == 0
+
+
+# --- Mixing -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("weights", "fraction"), [({"src0": 8}, (4, 5)), ({"src1": 0, "src2": 3}, (1, 3)), ({}, (1, 1))])
+def test_mixing(docs, weights, fraction):
+    tiers = ((1, 4), (1, 2), (1, 1))
+    sizes, limits = mixing.mix(docs, weights, 1, fraction, tiers)
+    got = mixing.tiers_of(sizes, limits).collect()
+    want = brute.mixed([(r[0], r[1], r[3]) for r in awkward()], weights, 1, fraction, tiers)
+    assert ordered(got) == want
+    clash = docs.withColumn("_source", F.lit(1)).withColumn("_tier", F.lit(2)).withColumn("_limits", F.lit(3)).withColumn("h", F.lit(4))
+    kept = mixing.mixed_documents(clash, weights=weights, fraction=fraction)
+    assert kept.columns == clash.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(w[0]) for w in want)
+
+
+# --- Toxicity ------------------------------------------------------------------
+
+
+def labelled() -> tuple[list[tuple], list[tuple]]:
+    r, w = random.Random(4), pool(1)
+    bad = [f"vile{c}" for c in "abcdefghij"]
+    docs = [(i, " ".join(r.choices(w, k=30) + (r.choices(bad, k=3) if i % 4 == 0 else [])), "en", "s", 1) for i in range(400)]
+    return [*docs, (None, "vilea vileb", None, None, None), (999, None, None, None, None), (998, "", None, None, None), docs[0]], [(i, 1, int(i % 4 == 0)) for i in range(200)] + [(0, 1, 1), (None, 1, 1), (300, None, None)]
+
+
+def test_toxicity_finds_what_was_held_out_and_its_neighbours(spark):
+    docs, labels = labelled()
+    df, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.score_documents(df, lab).collect()
+    assert len(got) == len(docs)
+    by = {r["doc_id"]: r for r in got}
+    assert all(by[i]["toxic"] == (i % 4 == 0) for i in range(200, 400))
+    assert by[None]["toxic"] and not by[999]["toxic"] and not by[998]["toxic"] and by[998]["vote"] is None
+    from geoloom.llm.common import documents
+
+    model = toxicity.fit(documents(df, lower=True), lab)
+    vectors: dict[int, dict] = {}
+    ids = [d[0] for d in docs]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([d[1] for d in docs], pa.string())], ["doc_id", "text"])
+    rows: dict[int, dict] = {}
+    for row, f, c in toxicity._feature_counts(batch, model.features):
+        for a, b, n in zip(row.tolist(), f.tolist(), c.tolist()):
+            rows.setdefault(a, {})[b] = n
+    for r, counts in rows.items():
+        if ids[r] is not None and ids[r] < 200:
+            vectors[ids[r]] = counts
+    for r, counts in rows.items():
+        near = brute.nearest(counts, vectors, model.index.idf, toxicity.NEIGHBOURS, ids[r])
+        assert by[ids[r]]["neighbours"] == [d for d, _ in near]
+        assert np.allclose(by[ids[r]]["similarities"], [s for _, s in near])
+    clash = df.withColumn("score", F.lit(1)).withColumn("toxic", F.lit(True))
+    kept = toxicity.reject_toxic(clash, lab)
+    assert kept.columns == clash.columns
+    assert ordered([r["doc_id"]] for r in kept.collect()) == ordered([r["doc_id"]] for r in got if not r["toxic"])
+
+
+def test_toxicity_without_labels(spark):
+    docs, labels = labelled()
+    df, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert {(r["score"], r["toxic"]) for r in toxicity.score_documents(df, lab.limit(0)).collect()} == {(None, False)}
+    assert toxicity.reject_toxic(df, lab.filter("toxic = 0")).count() == len(docs)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 9))
+def test_index_search_is_exhaustive(seed, k):
+    r = random.Random(seed)
+    vectors = {i: {f: r.randint(1, 4) for f in r.sample(range(12), r.randint(1, 5))} for i in range(150)}
+    idf = np.array([1 + r.random() for _ in range(12)])
+    index = toxicity.Index.build(np.arange(150), np.zeros(150, np.int64), [vectors[i] for i in range(150)], idf)
+    q = {f: r.randint(1, 3) for f in r.sample(range(12), 3)}
+    got = [(int(index.ids[e]), s) for e, s in index.search(q, k)]
+    assert got == brute.nearest(q, vectors, idf, k)
+
+
+def test_isotonic():
+    steps, scores = toxicity.isotonic([(0.1, 0), (0.2, 1), (0.3, 0), (0.9, 1), (0.9, 1)])
+    assert steps == sorted(steps) and scores == sorted(scores) and scores[-1] > 0.8
+
+
+# --- Empty tables -------------------------------------------------------------------
+
+
+def test_empty_tables(spark, docs, tmp_path):
+    none = docs.limit(0)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    made = [lm_score.score_documents(none), decontaminate.contaminated(none, bench), decontaminate.contaminated(docs, bench), decontaminate.decontaminate(none, bench), suffix_dedup.repeated_spans(none), toxicity.score_documents(none, lab), toxicity.reject_toxic(none, lab), winnow.fingerprints(none), line_dedup.dedup(none), ngram_join.near_duplicates(none), ngram_join.keep_one(none), mixing.mixed_documents(none)]
+    assert [d.count() for d in made] == [0] * len(made)
+    versions = secret_scan.versions_of(none)
+    secret_scan.scan_increment(versions, str(tmp_path / "l"))
+    assert secret_scan.findings(versions, str(tmp_path / "l")).count() == 0
+
+
+def test_columns_named_as_ours(docs):
+    clash = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("_n_lines", "_n_dropped", "line", "shard", "row", "words", "_doc", "fragment", "part", "h")])
+    assert line_dedup.dedup(clash, 3, 10).count() == len(awkward())
+    assert suffix_dedup.repeated_spans(clash, 6).count() and ngram_join.near_duplicates(clash).count() and lm_score.score_documents(clash).count() == len(awkward())
