@@ -51,8 +51,9 @@ def ordered(rows):
 
 @pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"op4_suffix_dedup", "op6_winnow_fingerprints", "op8_ngram_join"}))
 def test_against_sql(spark, name):
-    got, want = of_spark(QUERIES[name](spark, SF)), of_sql(ORACLE_SQL[name])
-    assert got == want and got[1]
+    # The smallest tables have no secrets.
+    sf = SF.replace("0.001", "0.01") if name == "op3_secret_scan" else SF
+    assert (got := of_spark(QUERIES[name](spark, sf))) == of_sql(ORACLE_SQL[name], sf) and got[1]
 
 
 @pytest.mark.parametrize("name", ["op4_suffix_dedup", "op6_winnow_fingerprints", "op8_ngram_join"])
