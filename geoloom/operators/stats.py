@@ -79,11 +79,14 @@ def geometry_statistics(df: DataFrame) -> dict:
     return {"mbr": list(b[:4]) if b[0] is not None else None, "geom_types": dict(sorted(types.items())), "total_points": b[4]}
 
 
-def attribute_statistics(df: DataFrame, geom_col: str | None = "geometry") -> dict:
-    """The document that a dataset keeps: a list of columns with their statistics."""
+def attribute_statistics(df: DataFrame, geom_col: str | None = "geometry", places: DataFrame | None = None) -> dict:
+    """The document that a dataset keeps: a list of columns with their statistics.
+
+    ``places`` has the summary's columns if ``df`` hasn't; so geometry isn't read again.
+    """
     names = [f.name for f in df.schema.fields if f.name != geom_col and not f.name.startswith(("_bbox_", "_tile_id")) and f.name not in ("_cx", "_cy", "_npts", "_gtype", "_prio")]
     stats = column_statistics(df, names)
     out = [{"name": n, "stats": stats[n]} for n in names]
     if geom_col in df.columns:
-        out.insert(0, {"name": geom_col, "role": "geometry", "stats": geometry_statistics(df)})
+        out.insert(0, {"name": geom_col, "role": "geometry", "stats": geometry_statistics(df if places is None else places)})
     return {"attributes": out}

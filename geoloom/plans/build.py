@@ -15,6 +15,7 @@ from geoloom.functions.geometry import BBOX, st_linearize, with_summary
 from geoloom.geo.mercator import METRES, WORLD, epsg, transform_box
 from geoloom.operators import histogram, partition, pyramid, stats
 from geoloom.plans import tiles as plans
+from geoloom.shared import written
 from geoloom.sinks import geoparquet
 from geoloom.sources import read_source
 from geoloom.sources.geoparquet import crs_of, geometry_column
@@ -60,7 +61,8 @@ def tile(spark: SparkSession, input: str, outdir: str, *, partition_size: int |
     crs, column = epsg(source.crs), source.geometry
     clean = source.df.drop(*BBOX).withColumn(column, st_linearize(F.col(column)))
     rows = with_summary(clean, column)
-    places = rows.select("_cx", "_cy", *BBOX)
+    # What partitioning and statistics need of each geometry, decoded once.
+    places = written(rows.select("_cx", "_cy", *BBOX, "_npts", "_gtype"), "places")
     sample = partition.sample_points(places, sample_cap, sample_ratio, seed)
     wanted = partitions or partition.partition_count(source.size_bytes, partition_size or PARTITION_SIZE.get(source.kind, DEFAULT_PARTITION_SIZE))
     tree = partition.build_tree(sample.points, sample.box, wanted)
@@ -68,7 +70,7 @@ def tile(spark: SparkSession, input: str, outdir: str, *, partition_size: int |
     manifest = geoparquet.write_tiles(placed, outdir, column, source.crs if isinstance(source.crs, dict) else None if crs != METRES else "EPSG:3857", sort, sort_keys, covering_bbox, compression, sfc_bits=sfc_bits)
     root = Path(outdir)
     (root / "stats").mkdir(parents=True, exist_ok=True)
-    about = stats.attribute_statistics(rows, column)
+    about = stats.attribute_statistics(source.df.drop(*BBOX), column, places)
     (root / "stats" / "attributes.json").write_text(json.dumps(about, indent=2, default=str))
     cells = histogram.vertex_cells(source.df, grid_size, crs, column)
     write_histogram(root, cells, grid_size, histogram_dtype, crs)
