@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
-from geoloom import config, dataset
+from geoloom import config, dataset, shared
 from geoloom.dataset import Dataset, MVTResult, TileResult
 from geoloom.geo import wkb
 from geoloom.geo.mercator import DEGREES
@@ -28,6 +28,7 @@ def set_temp_dir(path: str | None) -> None:
     """A shared folder for intermediate tables, where spark.checkpoint.dir is unset."""
     global _temp_dir
     _temp_dir = path
+    shared.use_folder(path)
 
 
 def get_temp_dir() -> str | None:
@@ -41,8 +42,6 @@ def _session(spark: SparkSession | None) -> SparkSession:
         from geoloom.session import local_session
 
         spark = local_session()
-    if _temp_dir and not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", _temp_dir)
     return spark
 
 
@@ -191,6 +190,15 @@ def get_tile(dataset_dir: str | Path, z: int, x: int, y: int, *, output: dict |
     return _stores[key].get(z, x, y, output)
 
 
+def generate_single_mvt_tile(dataset_dir: str | Path, tile: tuple[int, int, int], *, feature_capacity: int = 10_000, extent: int = 4096, buffer: int = 256, layer_name: str = "layer0") -> bytes:
+    """One vector tile made of the rows, whether or not there is one already."""
+    from geoloom.plans.tiles import encode_features
+    from geoloom.serving import TileFiles
+
+    files = TileFiles(dataset_dir)
+    return encode_features(*tile, files.top(*tile, feature_capacity, buffer / extent), files.crs, extent, buffer, layer_name) or b""
+
+
 def create_app(data_root: str | Path, **options):
     from geoloom.serving import App
 
@@ -289,4 +297,4 @@ def add_dataset_async(input_path: str, datasets_dir: str | Path, **options) -> A
     return AsyncDatasetHandle(lambda: add_dataset(input_path, datasets_dir, **options), options.get("name")).start()
 
 
-__all__ = ["AsyncDatasetHandle", "Dataset", "MVTResult", "TileResult", "add_dataset", "add_dataset_async", "build", "create_app", "delete_dataset", "estimate_range_count", "export_pmtiles", "generate_mvt", "get_dataset_metadata", "get_dataset_summary", "get_sample_record", "get_temp_dir", "get_tile", "list_datasets", "query_dataset", "query_dataset_count", "query_dataset_size", "query_frame", "search_datasets", "set_temp_dir", "tile"]
+__all__ = ["AsyncDatasetHandle", "Dataset", "MVTResult", "TileResult", "add_dataset", "add_dataset_async", "build", "create_app", "delete_dataset", "estimate_range_count", "export_pmtiles", "generate_mvt", "generate_single_mvt_tile", "get_dataset_metadata", "get_dataset_summary", "get_sample_record", "get_temp_dir", "get_tile", "list_datasets", "query_dataset", "query_dataset_count", "query_dataset_size", "query_frame", "search_datasets", "set_temp_dir", "tile"]

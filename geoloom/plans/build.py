@@ -24,6 +24,8 @@ MB = 1 << 20
 #: Bytes of input for one tile file, by kind of source.
 PARTITION_SIZE = {"geojson": 512 * MB}
 DEFAULT_PARTITION_SIZE = 128 * MB
+#: What a GeoParquet footer says of coordinates in metres.
+WEB_MERCATOR = {"type": "ProjectedCRS", "name": "WGS 84 / Pseudo-Mercator", "id": {"authority": "EPSG", "code": 3857}}
 
 
 def write_histogram(outdir: str | Path, cells: DataFrame, grid: int, dtype: str, crs: object) -> np.ndarray:
@@ -67,7 +69,7 @@ def tile(spark: SparkSession, input: str, outdir: str, *, partition_size: int |
     wanted = partitions or partition.partition_count(source.size_bytes, partition_size or PARTITION_SIZE.get(source.kind, DEFAULT_PARTITION_SIZE))
     tree = partition.build_tree(sample.points, sample.box, wanted)
     placed = rows.filter("_cx is not null").withColumn("_tile_id", tree.column(F.col("_cx"), F.col("_cy")))
-    manifest = geoparquet.write_tiles(placed, outdir, column, source.crs if isinstance(source.crs, dict) else None if crs != METRES else "EPSG:3857", sort, sort_keys, covering_bbox, compression, sfc_bits=sfc_bits)
+    manifest = geoparquet.write_tiles(placed, outdir, column, source.crs if isinstance(source.crs, dict) else None if crs != METRES else WEB_MERCATOR, sort, sort_keys, covering_bbox, compression, sfc_bits=sfc_bits)
     root = Path(outdir)
     (root / "stats").mkdir(parents=True, exist_ok=True)
     about = stats.attribute_statistics(source.df.drop(*BBOX), column, places)

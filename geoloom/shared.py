@@ -9,13 +9,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_given: str | None = None
+
+
+def use_folder(path: str | None) -> None:
+    """A shared folder for sessions in which spark.checkpoint.dir is unset."""
+    global _given
+    _given = path
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir; where that is unset the one given, or on one machine (tests) one of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _given
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = f"file://{tempfile.mkdtemp(prefix='geoloom-')}"

@@ -175,6 +175,19 @@ def test_tiles_on_demand(built, tmp_path):
     assert disk["source"] == "disk"
     with pytest.raises(FileNotFoundError):
         geoloom.get_tile(root, 1, 5, 0)
+    assert geoloom.generate_single_mvt_tile(root, (0, 0, 0)) == geoloom.get_tile(root, 0, 0, 0)
+
+
+def test_metres(spark, tmp_path):
+    from geoloom.functions.geometry import st_from_wkt
+
+    rows = spark.createDataFrame([(i, f"POINT({(i + 0.5) * 1e5} {(i + 0.5) * 2e5})") for i in range(30)], "id int, wkt string")
+    rows.select("id", st_from_wkt("wkt").alias("geom")).write.parquet(str(tmp_path / "m.parquet"))
+    made = geoloom.tile(str(tmp_path / "m.parquet"), str(tmp_path / "m"), spark=spark, src_crs="EPSG:3857", grid_size=64)
+    assert made.total_rows == 30 and geoloom.Dataset(tmp_path / "m").parquet_crs["id"]["code"] == 3857
+    assert geoloom.query_dataset_count(tmp_path / "m", (-1e5, -1e5, 4.5e5, 1e6), geometry_crs=3857, spark=spark) == 5
+    assert geoloom.query_dataset_count(tmp_path / "m", (-1, -1, 4.1, 20), spark=spark) == 5
+    assert geoloom.generate_mvt(str(tmp_path / "m"), spark=spark, zoom=1).tile_count == 2
 
 
 def ask(app, path, query="", body=None):
