@@ -1,20 +1,13 @@
-"""What the corpus operators share: reading, shared folders, Arrow batches."""
+"""What the corpus operators share: reading, shared folders, columns."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from geoloom.session import prepare
-
-_own: dict[str, str] = {}
+from geoloom.shared import shared_path, written
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,48 +15,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = f"file://{tempfile.mkdtemp(prefix='geoloom-')}"
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it is computed once and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(df: DataFrame, lower: bool = False) -> DataFrame:
     """doc_id as long and text alone, so that extra columns of any name can't clash."""
     text = F.col("text").cast("string")
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lower(text) if lower else text).alias("text"))
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType | str, end: Callable[[], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; ``end`` gives what is left after the last."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from each(batch)
-        if end:
-            yield from end()
-
-    return df.mapInArrow(run, schema)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as it takes to be no column of ``df``."""
     taken = {c.lower() for c in df.columns}
@@ -75,3 +32,6 @@ def free_name(df: DataFrame, name: str) -> str:
 def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     i = batch.schema.get_field_index(name)
     return batch.set_column(i, batch.schema.field(i), values.cast(batch.schema.field(i).type))
+
+
+__all__ = ["documents", "free_name", "read", "replace_column", "shared_path", "written"]
