@@ -234,12 +234,19 @@ def test_lattice_sums_all_segmentations(vocabulary):
     scores = {i: -rng.uniform(1, 9) for i in [*vocabulary.pieces.values(), *vocabulary.bytes.values()]}
     lattice = lm_score.Lattice(vocabulary, scores)
     for text in (" the", " nation", "\n", " été", " a漢b", "  x", " \u0000q", " constitution"):
-        assert math.isclose(lattice.forward(text), brute.lattice(text, lattice.score, lattice.spelled), rel_tol=1e-12)
+        want = brute.lattice(text, lattice.score, lattice.spelled)
+        assert math.isclose(lattice.forward(text), want, rel_tol=1e-12)
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert math.isclose(lattice.forward_all(data, np.array([len(data)]))[0], want, rel_tol=1e-12)
 
 
 def test_chunks_lose_nothing(vocabulary):
     lattice = lm_score.Lattice(vocabulary, vocabulary.file_scores)
-    for text in ("ab cd", " a  b \n\nc ", "x"):
+    for text in ("ab cd", " a  b \n\nc ", "x", "\n\n x", "é 漢字  \n ü", "\U0001f600 a" * 9, "a" * 3000, "   "):
+        data = np.frombuffer(text.encode(), np.uint8)
+        c = lm_score.Chunks(data, np.array([0, 0, len(data), len(data)]))
+        assert [c.bytes[a:b].tobytes().decode() for a, b in zip(c.start, c.end)] == lm_score.CHUNK.findall(" " + text)
+        assert c.first.tolist() == [0, 0, len(c.start), len(c.start)]
         assert "".join(lm_score.CHUNK.findall(" " + text)) == " " + text
         assert math.isclose(lattice.document(text), lattice.forward(" " + text), rel_tol=1e-12)
 
