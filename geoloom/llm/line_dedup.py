@@ -33,8 +33,10 @@ from geoloom.llm.tokens import U64, groups, mix, utf8
 
 MIN_COUNT, MIN_CHARS = 6, 10
 NO_OWNER = 2**63 - 1
-#: Bits per key and level of the perfect hash, and lines a shard should have.
-GAMMA, SHARD_LINES = 2.0, 1_000_000
+#: Bits per key and level of the perfect hash.
+GAMMA = 2.0
+#: Bytes of shards that a task holds; it reads one again that it has let go.
+HELD_BYTES = 256 << 20
 
 
 class PerfectHash:
@@ -93,6 +95,10 @@ class Shard:
         self.owned = np.frombuffer(row["owned"], U64)
         self.owners = np.frombuffer(row["owners"], np.int64)
 
+    @property
+    def size_bytes(self) -> int:
+        return sum(a.nbytes for a in (self.hash.words, self.fingerprints, self.counts, self.owned, self.owners))
+
     @staticmethod
     def row(keys: np.ndarray, counts: np.ndarray, owners: np.ndarray, min_count: int) -> dict:
         ph = PerfectHash.build(keys)
@@ -220,6 +226,8 @@ def dedup(docs: DataFrame, min_count: int = MIN_COUNT, min_chars: int = MIN_CHAR
         for s, part in _runs(shard[order], at[order]):
             if s not in known:
                 known[s] = _load(path, s)
+                while len(known) > 1 and sum(x.size_bytes for x in known.values() if x) > HELD_BYTES:
+                    known.pop(next(iter(known)))
             if known[s] is not None:
                 often[part], owner[part] = known[s].owner(h[part], min_count)
         # The first of equal lines within its document.

@@ -80,6 +80,12 @@ def test_line_dedup(docs, shards):
     assert ordered(got) == ordered(brute.line_dedup(pairs(awkward()), 3, 10))
 
 
+def test_line_dedup_lets_shards_go(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HELD_BYTES", 1)
+    got = line_dedup.dedup(docs.select("doc_id", "text"), 3, 10, shards=5).collect()
+    assert ordered(got) == ordered(brute.line_dedup(pairs(awkward()), 3, 10))
+
+
 def test_line_dedup_counts_beyond_a_byte(spark):
     rows = [(i, "the very same line") for i in range(300)] + [(900, "a line of its own")]
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 290, 5).collect()
