@@ -1,23 +1,27 @@
 """Toxicity from the nearest labelled examples.
 
 Fitting takes a bounded sample of labelled documents (``MAX_LABELLED``, those of the
-least hash of doc_id). Features are the words, and beginnings of words
-(4 to 8 bytes), that go with the toxic label: in at least half of their documents,
-and by a likelihood ratio that not one word is expected to reach by chance. Document frequencies of the features are counted over all
-documents. Every document with a feature is searched in an inverted index of the
-examples: postings in blocks with their maximal weight, blocks taken in order of
-their bound, until no bound reaches the k-th best cosine; so the neighbours are
-those of an exhaustive search. Neighbours vote by inverse distance, and the votes
-are calibrated by isotonic regression on the sample, each example left out of its
-own search. Neighbours and similarities are the evidence.
+least hash of doc_id). Features are all words of the sample, and those beginnings of
+words (4 to 8 bytes) that go with the toxic label: in at least half of their documents,
+and by a likelihood ratio that not one term is expected to reach by chance. Document
+frequencies of the features are counted over all documents; the likelihood ratio only
+multiplies a feature's weight, and removes no word. Every document that shares a word
+with an example is searched: words that many examples have are a matrix whose products
+are taken for many documents at once, the rest postings; examples whose sums come near
+the k-th best are taken again in full precision, so the neighbours are those of an
+exhaustive search. Neighbours vote by inverse distance, and the votes are calibrated by
+isotonic regression on the sample, each example left out of its own search. Neighbours
+and similarities are the evidence.
 
 Defined results
-  * Weights are (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), scaled to length 1 over
-    the features; ties of cosine go to the lower doc_id. A document is never its own
-    neighbour. Null labels count for nothing; a doc_id labelled twice is toxic if
-    any of its labels is.
-  * Null and empty text, and text without a feature, has no neighbours, null vote,
-    and the share of toxic examples among those without a feature as its score.
+  * Weights are (1 + ln tf) * (1 + ln((1 + N) / (1 + df))) * max(1, g * g / ln T),
+    scaled to length 1 over the features: g is the log likelihood ratio of a feature
+    that goes with the toxic label, else 0, and T the number of terms. Ties of cosine
+    go to the lower doc_id. A document is never its own neighbour. Null labels count
+    for nothing; a doc_id labelled twice is toxic if any of its labels is.
+  * Null and empty text, and text without a word of any example, has no neighbours, null
+    vote, and the share of toxic examples among those without a word as its score,
+    smoothed by one example of the whole sample's share.
   * Without labels the score is null and nothing is toxic.
   * Rows, repeated or with null doc_id, are scored one by one, whole.
 """
@@ -25,7 +29,9 @@ Defined results
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +41,13 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import documents, read, written
 from geoloom.llm.tokens import U64, WORD, Lookup, Tokens, groups, rows_of, utf8
 
-#: Bounds of the fit: labelled documents, and features (the most significant are kept).
+#: Bounds of the fit: labelled documents, and beginnings of words (the most significant are kept); words are not bounded.
 MAX_LABELLED, MAX_FEATURES = 20_000, 50_000
-NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.5
+NEIGHBOURS, THRESHOLD = 15, 0.5
+#: Words of more than a 20th of the examples, at most 1,024, are a matrix; it meets 128 documents at a time.
+COMMON, MAX_COMMON, ROWS = 20, 1024, 128
+#: Above the error of a sum of MAX_COMMON products in single precision.
+SLACK = 1e-4
 #: Beginnings of words that are features beside whole words, in bytes.
 STEMS = (4, 5, 6, 7, 8)
 #: Added to a distance before it is inverted.
@@ -46,63 +56,93 @@ NEAR = 0.05
 
 @dataclass
 class Index:
-    """Unit vectors of labelled examples, inverted, in blocks of consecutive examples."""
+    """Unit vectors of labelled examples. Those of example e lie from first[e] to first[e + 1]."""
 
     ids: np.ndarray
     toxic: np.ndarray
     idf: np.ndarray
-    #: Per feature: example numbers and weights, and the blocks they are in with their greatest weight and place.
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    first: np.ndarray
+    feature: np.ndarray
+    count: np.ndarray
 
     @classmethod
     def build(cls, ids: np.ndarray, toxic: np.ndarray, vectors: list[dict[int, int]], idf: np.ndarray) -> Index:
-        # Examples with alike features stand together: that keeps the blocks' bounds tight.
-        order = sorted(range(len(ids)), key=lambda i: (sorted(vectors[i]), ids[i]))
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for e, i in enumerate(order):
-            for f, w in unit(vectors[i], idf).items():
-                lists.setdefault(f, []).append((e, w))
-        postings, blocks = [], []
-        for f in range(len(idf)):
-            pairs = lists.get(f, [])
-            e, w = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.float64)
-            b, first = np.unique(e // BLOCK, return_index=True)
-            postings.append((e, w))
-            blocks.append((b, np.maximum.reduceat(w, first) if len(first) else w, np.append(first, len(e))))
-        return cls(ids[order], toxic[order], idf, postings, blocks)
+        first = np.cumsum([0, *map(len, vectors)])
+        feature, count = (np.array([x for v in vectors for x in part(v)], np.int32) for part in (dict.keys, dict.values))
+        return cls(ids, toxic, idf, first, feature, count)
+
+    @cached_property
+    def weights(self) -> np.ndarray:
+        row = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        return unit(row, self.feature, self.count, self.idf)
+
+    @cached_property
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each feature the place of its postings; their examples and weights; its row in the matrix, or -1; the matrix."""
+        order = np.argsort(self.feature, kind="stable")
+        e = np.repeat(np.arange(len(self.ids)), np.diff(self.first))[order]
+        w, f = self.weights[order].astype(np.float32), self.feature[order]
+        df = np.bincount(f, minlength=len(self.idf))
+        common = np.argsort(-df, kind="stable")[:MAX_COMMON]
+        common = common[df[common] * COMMON > len(self.ids)]
+        rank = np.full(len(self.idf), -1)
+        rank[common] = np.arange(len(common))
+        matrix = np.zeros((len(common), len(self.ids)), np.float32)
+        there = rank[f] >= 0
+        matrix[rank[f[there]], e[there]] = w[there]
+        return np.concatenate([[0], np.cumsum(df)]), e, w, rank, matrix
+
+    def searched(self, row: np.ndarray, f: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each row (ascending) with features: row, examples and cosines of the k greatest; ties to the lower doc_id."""
+        n = len(self.ids)
+        if not len(row) or not n:
+            return
+        start, examples, weights, rank, matrix = self.lists
+        begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        end = np.append(begin[1:], len(row))
+        number = np.repeat(np.arange(len(begin)), end - begin)
+        q = unit(number, f, c, self.idf)
+        whole = np.zeros(len(self.idf))
+        for lo in range(0, len(begin), ROWS):
+            hi = min(lo + ROWS, len(begin))
+            part = slice(begin[lo], end[hi - 1])
+            at = rank[f[part]]
+            there = at >= 0
+            queries = np.zeros((hi - lo, len(matrix)), np.float32)
+            queries[number[part][there] - lo, at[there]] = q[part][there]
+            scores = queries @ matrix
+            for i in range(lo, hi):
+                own = slice(begin[i], end[i])
+                fs, qs, score = f[own], q[own], scores[i - lo]
+                rare = rank[fs] < 0
+                if rare.any():
+                    a, b = start[fs[rare]], start[fs[rare] + 1]
+                    places = [slice(x, y) for x, y in zip(a.tolist(), b.tolist())]
+                    score = score + np.bincount(np.concatenate([examples[p] for p in places]), np.concatenate([weights[p] for p in places]) * np.repeat(qs[rare], b - a), minlength=n)
+                least = np.partition(score, n - k)[n - k] - SLACK if n > k else 0.0
+                near = np.flatnonzero((score >= least) & (score > 0))
+                if not len(near):
+                    continue
+                whole[fs] = qs
+                size = self.first[near + 1] - self.first[near]
+                at_ = np.cumsum(size) - size
+                inside = np.arange(size.sum()) + np.repeat(self.first[near] - at_, size)
+                # Rounded, so that equal cosines are equal whatever the order of their sums.
+                cosine = np.round(np.add.reduceat(self.weights[inside] * whole[self.feature[inside]], at_), 9)
+                whole[fs] = 0
+                best = np.lexsort((self.ids[near], -cosine))[:k]
+                yield int(row[begin[i]]), near[best], cosine[best]
 
     def search(self, counts: dict[int, int], k: int) -> list[tuple[int, float]]:
         """The k examples of the greatest cosine, as (example, cosine); ties to the lower doc_id."""
-        query = unit(counts, self.idf)
-        bounds: dict[int, float] = {}
-        for f, q in query.items():
-            b, most, _ = self.blocks[f]
-            for block, m in zip(b.tolist(), most.tolist()):
-                bounds[block] = bounds.get(block, 0.0) + q * m
-        best: list[tuple[float, int, int]] = []
-        for block, bound in sorted(bounds.items(), key=lambda x: -x[1]):
-            if len(best) == k and bound + 1e-9 < -best[-1][0]:
-                break
-            scores = np.zeros(BLOCK)
-            for f, q in query.items():
-                b, _, first = self.blocks[f]
-                i = int(np.searchsorted(b, block))
-                if i < len(b) and b[i] == block:
-                    part = slice(first[i], first[i + 1])
-                    scores[self.postings[f][0][part] - block * BLOCK] += q * self.postings[f][1][part]
-            found = np.flatnonzero(scores)
-            # Rounded, so that equal cosines are equal whatever the order of their sums.
-            best += [(-round(float(scores[j]), 9), int(self.ids[block * BLOCK + j]), int(block * BLOCK + j)) for j in found]
-            best = sorted(best)[:k]
-        return [(e, -s) for s, _, e in best]
-
-
-def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    """The TF-IDF vector of feature counts, of length 1."""
-    w = {f: (1 + math.log(n)) * float(idf[f]) for f, n in sorted(counts.items())}
-    length = math.sqrt(sum(x * x for x in w.values()))
-    return {f: x / length for f, x in w.items()}
+        f, c = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+        return [x for _, near, cosine in self.searched(np.zeros(len(f), np.int64), f, c, k) for x in zip(near.tolist(), cosine.tolist())]
+
+
+def unit(row: np.ndarray, feature: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of feature counts, each row of length 1."""
+    w = (1 + np.log(count)) * idf[feature]
+    return w / np.sqrt(np.bincount(row, w * w))[row]
 
 
 @dataclass
@@ -113,20 +153,17 @@ class Model:
     steps: tuple[list[float], list[float]]
     without: float | None
     k: int = NEIGHBOURS
-    known: dict = field(default_factory=dict)
-
-    def vote(self, counts: dict[int, int], own: int | None) -> tuple[float | None, list[int], list[float]]:
-        key = tuple(sorted(counts.items()))
-        if key not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            self.known[key] = self.index.search(counts, self.k + 1)
-        near = [(e, s) for e, s in self.known[key] if own is None or self.index.ids[e] != own][: self.k]
-        if not near:
-            return None, [], []
-        weights = [1 / (NEAR + max(0.0, 1 - s)) for _, s in near]
-        share = sum(w for w, (e, _) in zip(weights, near) if self.index.toxic[e]) / sum(weights)
-        return share, [int(self.index.ids[e]) for e, _ in near], [s for _, s in near]
+
+    def votes(self, row: np.ndarray, f: np.ndarray, c: np.ndarray, ids: list[int | None]) -> Iterator[tuple[int, float, list[int], list[float]]]:
+        """Row, vote, neighbours and cosines of the rows that have neighbours; ids are those of all rows."""
+        for r, near, cosine in self.index.searched(row, f, c, self.k + 1):
+            if ids[r] is not None:
+                other = self.index.ids[near] != ids[r]
+                near, cosine = near[other], cosine[other]
+            near, cosine = near[: self.k], cosine[: self.k]
+            if len(near):
+                weights = 1 / (NEAR + np.maximum(0.0, 1 - cosine))
+                yield r, float((weights * self.index.toxic[near]).sum() / weights.sum()), self.index.ids[near].tolist(), cosine.tolist()
 
     def score(self, vote: float | None) -> float | None:
         if vote is None or not self.steps[0]:
@@ -153,7 +190,7 @@ def isotonic(pairs: list[tuple[float, int]]) -> tuple[list[float], list[float]]:
 def _feature_counts(batch: pa.RecordBatch, features: np.ndarray):
     """(row, feature, count) arrays of a batch, rows ascending."""
     data, offsets = utf8(batch.column("text"))
-    lookup = Lookup(features)
+    lookup = Lookup(features, 24)
     for lo, hi in groups(offsets):
         tokens = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD, STEMS)
         rows = rows_of(tokens) + lo
@@ -166,7 +203,7 @@ def _feature_counts(batch: pa.RecordBatch, features: np.ndarray):
 
 
 def _term_stats(sample: DataFrame) -> DataFrame:
-    """term, n, toxic: documents of the sample with the word, and toxic ones among them."""
+    """term, stem, n, toxic: documents of the sample with the word or beginning of a word, and toxic ones among them."""
 
     def run(batches):
         for batch in batches:
@@ -175,17 +212,20 @@ def _term_stats(sample: DataFrame) -> DataFrame:
             for lo, hi in groups(offsets):
                 tokens = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD, STEMS)
                 rows = rows_of(tokens)
-                h = np.concatenate([tokens.hash, *(x for _, x in tokens.stems)])
-                r = np.concatenate([rows, *(rows[token] for token, _ in tokens.stems)])
-                order = np.lexsort((h, r))
-                h, r = h[order], r[order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, bool)
-                terms, inverse = np.unique(h[new], return_inverse=True)
-                n = np.bincount(inverse, minlength=len(terms))
-                bad = np.bincount(inverse, weights=toxic[lo:hi][r[new]], minlength=len(terms)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n), pa.array(bad)], ["term", "n", "toxic"])
-
-    return sample.mapInArrow(run, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+                stems = [(h, rows[token]) for token, h in tokens.stems]
+                kinds = [(False, tokens.hash, rows)]
+                if stems:
+                    kinds.append((True, *(np.concatenate(x) for x in zip(*stems))))
+                for stem, h, r in kinds:
+                    order = np.lexsort((h, r))
+                    h, r = h[order], r[order]
+                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, bool)
+                    terms, inverse = np.unique(h[new], return_inverse=True)
+                    n = np.bincount(inverse, minlength=len(terms))
+                    bad = np.bincount(inverse, weights=toxic[lo:hi][r[new]], minlength=len(terms)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.full(len(terms), stem)), pa.array(n), pa.array(bad)], ["term", "stem", "n", "toxic"])
+
+    return sample.mapInArrow(run, "term long, stem boolean, n long, toxic long").groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
 def _document_frequencies(docs: DataFrame, features: np.ndarray) -> tuple[np.ndarray, int]:
@@ -200,13 +240,11 @@ def _document_frequencies(docs: DataFrame, features: np.ndarray) -> tuple[np.nda
         there = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(df[there], rows))], ["f", "n"])
 
-    df, total = np.zeros(len(features), np.int64), 0
-    for f, n in docs.select("text").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n")).collect():
-        if f < 0:
-            total = n
-        else:
-            df[f] = n
-    return df, total
+    df = np.zeros(len(features), np.int64)
+    found = docs.select("text").mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    f, n = (np.asarray(found[c]) for c in ("f", "n"))
+    df[f[f >= 0]] = n[f >= 0]
+    return df, int(n[f < 0].sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k: int = NEIGHBOURS) -> Model:
@@ -220,34 +258,50 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k:
     if not size:
         return Model(np.zeros(0, U64), Index.build(none, none, [], np.zeros(0)), ([], []), None, k)
     stats = written(_term_stats(sample), "toxicity-terms")
-    # By Chernoff's bound, at most one feature is expected to pass by chance.
     a, n, p = F.col("toxic").cast("double"), F.col("n").cast("double"), F.lit(bad / size)
     clean = F.when(n > a, (n - a) * F.ln((n - a) / (n * (1 - p)))).otherwise(0.0)
-    gain = a * F.ln(a / (n * p)) + clean
-    likely = stats.filter((a * 2 >= n) & (a > n * p)).withColumn("gain", gain).filter(F.col("gain") >= math.log(max(1, stats.count())))
-    rows = likely.orderBy(F.desc("gain"), "term").limit(MAX_FEATURES).select("term").collect() if 0 < bad < size else []
-    features = np.sort(np.array([r[0] for r in rows], np.int64).view(U64))
+    toxic_ = F.when(a > n * p, a * F.ln(a / (n * p)) + clean).otherwise(0.0) if 0 < bad < size else F.lit(0.0)
+    gains = stats.withColumn("gain", toxic_)
+    # By Chernoff's bound, at most one term is expected to pass this by chance.
+    certain = max(1.0, math.log(max(1, stats.count())))
+    stems = gains.filter("stem and toxic * 2 >= n").filter((F.col("gain") > 0) & (F.col("gain") >= certain)).orderBy(F.desc("gain"), "term").limit(MAX_FEATURES)
+    chosen_terms = gains.filter("not stem").select("term", "gain").unionByName(stems.select("term", "gain")).toArrow()
+    features = np.asarray(chosen_terms["term"]).view(U64)
+    by = np.argsort(features)
+    features, gain = features[by], np.asarray(chosen_terms["gain"])[by]
     df, total = _document_frequencies(docs, features)
-    idf = 1 + np.log((1 + total) / (1 + df))
+    idf = (1 + np.log((1 + total) / (1 + df))) * np.maximum(1, gain**2 / certain)
 
-    def run(batches):
+    def vectors(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             for row, f, c in _feature_counts(batch, features):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), batch.column("toxic").take(pa.array(row)), pa.array(f), pa.array(c)], ["doc_id", "toxic", "f", "c"])
-
-    vectors: dict[int, dict[int, int]] = {}
-    toxic: dict[int, int] = {}
-    for doc, y, f, c in sample.mapInArrow(run, "doc_id long, toxic int, f long, c long").collect():
-        vectors.setdefault(doc, {})[f] = c
-        toxic[doc] = y
-    ids = sorted(vectors)
-    index = Index.build(np.array(ids, np.int64), np.array([toxic[i] for i in ids], np.int64), [vectors[i] for i in ids], idf)
-    model = Model(features, index, ([], []), (bad - sum(toxic.values()) + 0.5) / (size - len(ids) + 1), k)
-    votes = [(model.vote(vectors[i], i)[0], toxic[i]) for i in ids]
-    model.steps = isotonic([(v, y) for v, y in votes if v is not None])
-    model.known = {}
+                cut = np.flatnonzero(np.diff(row, prepend=-1))
+                parts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(row)]))
+                blobs = (pa.array([x[lo:hi].astype(np.int32).tobytes() for lo, hi in parts], pa.binary()) for x in (f, c))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(pa.array(row[cut])) for x in ("doc_id", "toxic")), *blobs], ["doc_id", "toxic", "f", "c"])
+
+    # A document's features go to the driver as bytes.
+    found = sample.mapInArrow(vectors, "doc_id long, toxic int, f binary, c binary").toArrow()
+    found = found.take(pa.array(np.argsort(np.asarray(found["doc_id"]))))
+    f, c = (found[x].to_pylist() for x in ("f", "c"))
+    first = np.cumsum([0, *(len(x) // 4 for x in f)])
+    index = Index(np.asarray(found["doc_id"]), np.asarray(found["toxic"]).astype(np.int64), idf, first, np.frombuffer(b"".join(f), np.int32), np.frombuffer(b"".join(c), np.int32))
+    share = (bad + 0.5) / (size + 1)
+    model = Model(features, index, ([], []), float((bad - index.toxic.sum() + share) / (size - len(index.ids) + 1)), k)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def calibration(batches):
+        for batch in batches:
+            if batch.num_rows:
+                toxic = np.asarray(batch.column("toxic"))
+                ids = batch.column("doc_id").to_pylist()
+                found = [(v, int(toxic[r])) for part in _feature_counts(batch, shared.value.features) for r, v, *_ in shared.value.votes(*part, ids)]
+                yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([y for _, y in found], pa.int32())], ["vote", "toxic"])
+
+    model.steps = isotonic([tuple(r) for r in sample.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(calibration, "vote double, toxic int").collect()])
+    shared.destroy()
     return model
 
 
@@ -255,10 +309,8 @@ def _scored(batch: pa.RecordBatch, texts: pa.RecordBatch, model: Model):
     """Per row of a batch: score, vote, neighbours, similarities."""
     out = [(model.score(None), None, [], [])] * batch.num_rows
     ids = texts.column("doc_id").to_pylist()
-    for row, f, c in _feature_counts(texts, model.features):
-        cut = np.flatnonzero(np.diff(row)) + 1
-        for r, fs, cs in zip(row[np.concatenate([[0], cut])].tolist() if len(row) else [], np.split(f, cut), np.split(c, cut)):
-            vote, near, cosines = model.vote(dict(zip(fs.tolist(), cs.tolist())), ids[r])
+    for part in _feature_counts(texts, model.features):
+        for r, vote, near, cosines in model.votes(*part, ids):
             out[r] = (model.score(vote), vote, near, cosines)
     return out
 

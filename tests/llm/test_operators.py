@@ -374,6 +374,23 @@ def test_toxicity_finds_what_was_held_out_and_its_neighbours(spark):
     assert ordered([r["doc_id"]] for r in kept.collect()) == ordered([r["doc_id"]] for r in got if not r["toxic"])
 
 
+def test_toxicity_searches_every_document_by_all_its_words(spark):
+    r = random.Random(8)
+    topics = [[f"t{k}w{j}" for j in range(40)] for k in range(30)]
+    docs = [(i, " ".join(["the", *r.choices(topics[i % 30], k=12)] + (["vile"] if i % 3 == 0 else [])), "en", "s", 1) for i in range(300)]
+    # A word of two toxic examples alone, and one that isn't in the examples.
+    docs += [(300, "seldom " + docs[1][1], "en", "s", 1), (301, "seldom " + docs[2][1], "en", "s", 1), (302, "the seldom", "en", "s", 1), (303, "unheard", "en", "s", 1)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    lab = spark.createDataFrame([(i, 1, int(i % 3 == 0 or i == 301)) for i in range(302)][:150] + [(300, 1, 1), (301, 1, 1)], "doc_id long, quality int, toxic int")
+    by = {r["doc_id"]: r for r in toxicity.score_documents(df, lab).collect()}
+    assert all(len(by[i]["neighbours"]) == toxicity.NEIGHBOURS for i in range(303)) and by[303]["neighbours"] == []
+    assert by[302]["neighbours"][:2] in ([300, 301], [301, 300])
+    # Without a toxic word the nearest examples are those of the same topic.
+    plain = [i for i in range(150, 300) if i % 3]
+    assert sum(by[i]["neighbours"][0] % 30 == i % 30 for i in plain) > 0.9 * len(plain)
+    assert not any(by[i]["toxic"] for i in plain) and all(by[i]["toxic"] for i in range(150, 300, 3))
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = labelled()
     df, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
