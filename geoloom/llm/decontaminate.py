@@ -15,8 +15,11 @@ Defined results
     last sentence if it has several, else the last quarter of its words; the rest
     is the question. Overlap is the share of n-grams (n = 3, or all words of a
     shorter part) found in the document; a part without words overlaps fully.
-  * A query's repeated words count once, as do an item's repeated rows.
-  * Null or empty items are left out; null and empty texts match nothing; null
+  * A query's repeated words count once, as do an item's repeated rows. Every text of
+    an item_id is an item of the index; of those a document holds, the best score is
+    given. Each text with a null item_id is an item of its own, and counts in the
+    words' frequencies only if no item has an id.
+  * Null or empty texts of items are left out; null and empty texts match nothing; null
     doc_ids pass through and rows are taken one by one.
 """
 
@@ -45,7 +48,7 @@ MAX_ITEMS = 20_000
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: int | None
     words: np.ndarray
     question: np.ndarray
     answer: np.ndarray
@@ -57,7 +60,7 @@ def split_item(text: str) -> tuple[str, str] | None:
     return (text.strip()[: cuts[-1].end()], text.strip()[cuts[-1].end() :]) if cuts else None
 
 
-def make_item(item_id: int, text: str) -> Item:
+def make_item(item_id: int | None, text: str) -> Item:
     words = token_hashes(text)
     parts = split_item(text)
     question, answer = map(token_hashes, parts) if parts else (words[: len(words) - len(words) // 4], words[len(words) - len(words) // 4 :])
@@ -161,8 +164,8 @@ class Index:
     def build(cls, items: list[Item], df: dict[int, int], entries: int, average: float) -> Index:
         """``df``, ``entries`` and ``average`` are of all entries, also those of other indexes."""
         idf = {w: math.log(1 + (entries - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-        cut = sorted(((i.item_id, s) for i in items for s in segments(i.words)), key=lambda x: (len(x[1]), x[1].tolist()[:1], x[0]))
-        return cls([Shard(cut[k : k + SHARD], idf, average) for k in range(0, len(cut), SHARD)], {i.item_id: i for i in items})
+        cut = sorted(((n, s) for n, i in enumerate(items) for s in segments(i.words)), key=lambda x: (len(x[1]), x[1].tolist()[:1], x[0]))
+        return cls([Shard(cut[k : k + SHARD], idf, average) for k in range(0, len(cut), SHARD)], dict(enumerate(items)))
 
 
 def segments(words: np.ndarray) -> list[np.ndarray]:
@@ -227,28 +230,37 @@ def matches(data: np.ndarray, offsets: np.ndarray, index: Index, threshold: floa
                     key = (int(row[p]), int(shard.item[entry]))
                     best[key] = max(best.get(key, 0.0), score)
         seen: dict[int, dict] = {}
+        verified: dict[tuple, list[tuple[float, float, float]]] = {}
         for (r, i), score in sorted(best.items()):
             words = tokens.hash[tokens.first[r] : tokens.first[r + 1]]
             q, s = (overlap(x, seen.setdefault(r, {}), words) for x in (index.items[i].question, index.items[i].answer))
             if q >= least and s >= least:
-                yield lo + r, i, score, q, s
+                item = index.items[i].item_id
+                verified.setdefault((r, i if item is None else -1, item), []).append((score, q, s))
+        for (r, _, item), scores in verified.items():
+            yield lo + r, item, *max(scores)
 
 
 def indexes(benchmark: DataFrame) -> list[Index]:
-    """One index of each MAX_ITEMS items. Words' frequencies and the mean length are of all items."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id")
+    """One index of each MAX_ITEMS items, or more by the texts of the last item_id. Words' frequencies and the mean length are of all items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct().orderBy(F.asc_nulls_last("item_id"), "text")
     df: Counter = Counter()
     entries = total = 0
     lots: list[list[Item]] = []
+    owned = False
     for r in items.toLocalIterator():
         item = make_item(r["item_id"], r["text"])
         if not len(item.words):
             continue
+        owned = owned or item.item_id is not None
         for s in segments(item.words):
+            if item.item_id is None and owned:
+                df.update(dict.fromkeys(s.tolist(), 0))
+                continue
             df.update(set(s.tolist()))
             entries += 1
             total += len(s)
-        if not lots or len(lots[-1]) == MAX_ITEMS:
+        if not lots or len(lots[-1]) >= MAX_ITEMS and (item.item_id is None or lots[-1][-1].item_id != item.item_id):
             lots.append([])
         lots[-1].append(item)
     return [Index.build(lot, df, entries, total / entries) for lot in lots]
@@ -267,7 +279,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             for batch in batches:
                 if batch.num_rows and (found := list(matches(*utf8(batch.column("text")), shared.value, threshold, least))):
                     row, *rest = zip(*found)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *map(pa.array, rest)], ["doc_id", "item_id", "score", "question", "answer"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), *[pa.float64()] * 3)))], ["doc_id", "item_id", "score", "question", "answer"])
 
         out = out.unionByName(texts.mapInArrow(run, schema))
     return out

@@ -142,6 +142,19 @@ def test_decontamination(spark):
     assert ordered(r[:2] for r in clean.collect()) == ordered(r[:2] for r in contaminated_docs() if r[0] not in {g[0] for g in got})
 
 
+def test_every_text_of_an_item_is_indexed(spark, monkeypatch):
+    r = random.Random(12)
+    texts = [" ".join(r.choices(pool(k), k=20)) for k in range(4)]
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3])], "item_id long, text string")
+    docs = spark.createDataFrame([(10 + k, f"before {t} after", "en", "s", 1) for k, t in enumerate(texts)] + [(20, texts[0] + " " + texts[1], "en", "s", 1), (21, "clean", "en", "s", 1)], SCHEMA)
+    for items_ in (20_000, 1):
+        monkeypatch.setattr(decontaminate, "MAX_ITEMS", items_)
+        got = decontaminate.contaminated(docs, bench).collect()
+        assert ordered((g["doc_id"], g["item_id"]) for g in got) == ordered([(10, 1), (11, 1), (12, None), (13, None), (20, 1)])
+        assert [g["doc_id"] for g in decontaminate.decontaminate(docs, bench).collect()] == [21]
+    assert {g["doc_id"] for g in decontaminate.contaminated(docs, bench.filter("item_id is null")).collect()} == {12, 13}
+
+
 def test_many_items_take_several_indexes(spark, monkeypatch):
     docs = spark.createDataFrame(contaminated_docs(), SCHEMA)
     bench = spark.createDataFrame(items(), "item_id long, text string")
