@@ -21,6 +21,11 @@ def documents(df: DataFrame, lower: bool = False) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lower(text) if lower else text).alias("text"))
 
 
+def lowered(df: DataFrame) -> DataFrame:
+    """``df`` with its lower-cased text behind its columns, as ``documents`` gives it, under a name that is free."""
+    return df.withColumn(free_name(df, "_lower"), F.lower(F.col("text").cast("string")))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as it takes to be no column of ``df``."""
     taken = {c.lower() for c in df.columns}
@@ -34,4 +39,4 @@ def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Rec
     return batch.set_column(i, batch.schema.field(i), values.cast(batch.schema.field(i).type))
 
 
-__all__ = ["documents", "free_name", "read", "replace_column", "shared_path", "written"]
+__all__ = ["documents", "free_name", "lowered", "read", "replace_column", "shared_path", "written"]

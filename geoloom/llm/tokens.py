@@ -70,18 +70,12 @@ def groups(offsets: np.ndarray, size: int = GROUP_BYTES) -> Iterator[tuple[int,
 
 
 class Tokens:
-    """Tokens of some rows: ``hash``, byte ``start`` and ``end``, and per row ``first`` (len rows+1).
+    """Tokens of some rows: ``hash``, byte ``start`` and ``end``, and per row ``first`` (len rows+1)."""
 
-    ``stems`` are pairs of token numbers and hashes of the tokens' first m bytes, for each m
-    of ``lengths``; only tokens that are longer have them.
-    """
+    __slots__ = ("hash", "start", "end", "first")
 
-    __slots__ = ("hash", "start", "end", "first", "stems")
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lengths: tuple[int, ...] = ()) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> None:
         hashes, starts, ends = [], [], []
-        self.stems: list[tuple[np.ndarray, np.ndarray]] = []
-        seen = 0
         at, n = 0, len(data)
         while at < n:
             stop = min(n, at + 4 * GROUP_BYTES)
@@ -90,9 +84,7 @@ class Tokens:
                 ahead = np.flatnonzero(~table[data[stop : stop + GROUP_BYTES]])
                 stop = stop + int(ahead[0]) if len(ahead) else min(n, stop + GROUP_BYTES)
             lo, hi = np.searchsorted(offsets, [at, stop])
-            h, s, e, stems = _piece(data[at:stop], offsets[lo:hi] - at, table, lengths)
-            self.stems += [(token + seen, x) for token, x in stems]
-            seen += len(h)
+            h, s, e = _piece(data[at:stop], offsets[lo:hi] - at, table)
             hashes.append(h)
             starts.append(s + at)
             ends.append(e + at)
@@ -103,7 +95,7 @@ class Tokens:
         self.first = np.searchsorted(self.start, offsets)
 
 
-def _piece(data: np.ndarray, row_starts: np.ndarray, table: np.ndarray, lengths: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+def _piece(data: np.ndarray, row_starts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = table[data]
     row_starts = row_starts[row_starts < len(data)]
     begins = inside.copy()
@@ -115,19 +107,13 @@ def _piece(data: np.ndarray, row_starts: np.ndarray, table: np.ndarray, lengths:
     stops[before] |= inside[before]
     start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     if not len(start):
-        return np.zeros(0, U64), start, end, []
+        return np.zeros(0, U64), start, end
     length = end - start
     first = np.cumsum(length) - length
     position = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
     with np.errstate(over="ignore"):
         value = _BYTE_VALUE[data[inside]] * powers(int(length.max()))[position]
-        stems = []
-        if lengths:
-            upto = np.cumsum(value, dtype=U64)
-            for m in lengths:
-                token = np.flatnonzero(length > m)
-                stems.append((token, mix(upto[first[token] + m - 1] - upto[first[token]] + value[first[token]], 1000 + m)))
-        return mix(np.add.reduceat(value, first) + length.astype(U64)), start, end, stems
+        return mix(np.add.reduceat(value, first) + length.astype(U64)), start, end
 
 
 class Lookup:

@@ -1,29 +1,31 @@
-"""Toxicity from the nearest labelled examples.
+"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max index.
 
 Fitting takes a bounded sample of labelled documents (``MAX_LABELLED``, those of the
-least hash of doc_id). Features are all words of the sample, and those beginnings of
-words (4 to 8 bytes) that go with the toxic label: in at least half of their documents,
-and by a likelihood ratio that not one term is expected to reach by chance. Document
-frequencies of the features are counted over all documents; the likelihood ratio only
-multiplies a feature's weight, and removes no word. Every document that shares a word
-with an example is searched: words that many examples have are a matrix whose products
-are taken for many documents at once, the rest postings; examples whose sums come near
-the k-th best are taken again in full precision, so the neighbours are those of an
-exhaustive search. Neighbours vote by inverse distance, and the votes are calibrated by
-isotonic regression on the sample, each example left out of its own search. Neighbours
-and similarities are the evidence.
+least hash of doc_id). Terms are all words of the sample, none is left out; their
+document frequencies are counted over all documents. A term's weight is its TF-IDF
+times a factor of at least 1 that grows with the likelihood ratio of the toxic label.
+Examples that are alike stand together, in blocks of ``BLOCK``; every term has its
+postings and, by block, its largest weight. For a document the bounds of all blocks
+are summed; blocks are taken from the greatest bound on, until no bound reaches the
+k-th best cosine so far: the neighbours are those of an exhaustive search. Every
+document that shares a word with an example is searched. Neighbours vote by inverse
+distance, and the votes are calibrated by isotonic regression on the sample, each
+example left out of its own search. Neighbours and similarities are the evidence.
 
 Defined results
   * Weights are (1 + ln tf) * (1 + ln((1 + N) / (1 + df))) * max(1, g * g / ln T),
-    scaled to length 1 over the features: g is the log likelihood ratio of a feature
-    that goes with the toxic label, else 0, and T the number of terms. Ties of cosine
-    go to the lower doc_id. A document is never its own neighbour. Null labels count
-    for nothing; a doc_id labelled twice is toxic if any of its labels is.
+    scaled to length 1 over the terms: g is the log likelihood ratio of a term
+    that goes with the toxic label, else 0, and T the number of terms. Cosines are
+    rounded to 9 digits; ties go to the lower doc_id. A document is never its own
+    neighbour. Null labels count for nothing; a doc_id labelled twice is toxic if
+    any of its labels is. Of texts that share a labelled doc_id the least is the example.
   * Null and empty text, and text without a word of any example, has no neighbours, null
     vote, and the share of toxic examples among those without a word as its score,
     smoothed by one example of the whole sample's share.
-  * Without labels the score is null and nothing is toxic.
-  * Rows, repeated or with null doc_id, are scored one by one, whole.
+  * Without labels (an empty table, or none that meets a document) the score is null
+    and nothing is toxic. Empty documents give an empty result.
+  * Rows, repeated or with null doc_id, are scored one by one, texts of any length
+    whole. Extra columns don't matter; ``reject_toxic`` passes them through.
 """
 
 from __future__ import annotations
@@ -38,22 +40,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, read, written
+from geoloom.llm.common import documents, lowered, read, written
 from geoloom.llm.tokens import U64, WORD, Lookup, Tokens, groups, rows_of, utf8
 
-#: Bounds of the fit: labelled documents, and beginnings of words (the most significant are kept); words are not bounded.
-MAX_LABELLED, MAX_FEATURES = 20_000, 50_000
+#: Bound of the fit: labelled documents; their words are not bounded.
+MAX_LABELLED = 20_000
 NEIGHBOURS, THRESHOLD = 15, 0.5
-#: Words of more than a 20th of the examples, at most 1,024, are a matrix; it meets 128 documents at a time.
-COMMON, MAX_COMMON, ROWS = 20, 1024, 128
-#: Above the error of a sum of MAX_COMMON products in single precision.
+#: Examples in a block, and documents that meet the bounds at a time.
+BLOCK, ROWS = 16, 128
+#: The postings of words of more than a 20th of the examples, at most 512, lie in a matrix; blocks are formed by this many terms, those of most weight.
+COMMON, MAX_COMMON, ALIKE = 20, 512, 256
+#: Above the error of sums in single precision.
 SLACK = 1e-4
-#: Beginnings of words that are features beside whole words, in bytes.
-STEMS = (4, 5, 6, 7, 8)
 #: Added to a distance before it is inverted.
 NEAR = 0.05
 
 
+@dataclass
+class Lists:
+    """Inverted lists over places of examples, with their bounds by block.
+
+    ``rank`` is a term's row among the common terms, or -1; those have ``matrix`` (block, place,
+    term) and ``common`` (term, block: largest weight). The others have runs of postings, one for
+    each of their blocks: those of term t from ``runs[t]``, with ``block``, ``most`` and ``start``.
+    """
+
+    rank: np.ndarray
+    matrix: np.ndarray
+    common: np.ndarray
+    runs: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    start: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
+
+    def nearest(self, common: np.ndarray, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+        """Places whose cosine is above 0 and, but for SLACK, among the k greatest: blocks by falling bound, until none can do."""
+        rare = self.rank[terms] < 0
+        a, n = self.runs[terms[rare]], np.diff(self.runs)[terms[rare]]
+        run = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        weight, block = np.repeat(weights[rare], n).astype(np.float32), self.block[run]
+        blocks = len(self.matrix)
+        bounds = bounds + np.bincount(block, weight * self.most[run], blocks)
+        order = np.argsort(-bounds, kind="stable")
+        order = order[: np.searchsorted(-bounds[order], 0.0)]
+        score = np.full(blocks * BLOCK, -1.0)
+        least, lo, step = 0.0, 0, 2 + k // BLOCK
+        number = np.full(blocks, -1)
+        while lo < len(order) and bounds[order[lo]] >= least - SLACK:
+            here = order[lo : lo + step]
+            here = here[bounds[here] >= least - SLACK]
+            number[here] = np.arange(len(here))
+            some = np.flatnonzero(number[block] >= 0)
+            first, size = self.start[run[some]], np.diff(self.start)[run[some]]
+            inside = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            at = number[block[some]].repeat(size) * BLOCK + self.example[inside] % BLOCK
+            found = np.bincount(at, self.weight[inside] * np.repeat(weight[some], size), len(here) * BLOCK) + (self.matrix[here] @ common).ravel()
+            number[here] = -1
+            score.reshape(blocks, BLOCK)[here] = found.reshape(-1, BLOCK)
+            lo, step = lo + step, step * 2
+            if lo * BLOCK >= k:
+                least = max(0.0, float(np.partition(score, len(score) - k)[len(score) - k])) if len(score) >= k else 0.0
+        return np.flatnonzero((score >= least - SLACK) & (score > 0))
+
+
 @dataclass
 class Index:
     """Unit vectors of labelled examples. Those of example e lie from first[e] to first[e + 1]."""
@@ -77,27 +128,59 @@ class Index:
         return unit(row, self.feature, self.count, self.idf)
 
     @cached_property
-    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each feature the place of its postings; their examples and weights; its row in the matrix, or -1; the matrix."""
-        order = np.argsort(self.feature, kind="stable")
-        e = np.repeat(np.arange(len(self.ids)), np.diff(self.first))[order]
-        w, f = self.weights[order].astype(np.float32), self.feature[order]
+    def place(self) -> np.ndarray:
+        """The place of each example in an order in which examples that are alike stand together: halves by the axis of most variance, again and again."""
+        n, w = len(self.ids), self.weights
+        row = np.repeat(np.arange(n), np.diff(self.first))
+        most = np.argsort(-np.bincount(self.feature, w * w, len(self.idf)), kind="stable")[:ALIKE]
+        rank = np.full(len(self.idf), -1)
+        rank[most] = np.arange(len(most))
+        there = rank[self.feature] >= 0
+        x = np.zeros((n, len(most)), np.float32)
+        x[row[there], rank[self.feature[there]]] = w[there]
+        x -= x.mean(0)
+        axes = np.random.default_rng(0).normal(size=(len(most), min(8, len(most)))).astype(np.float32)
+        for _ in range(6):
+            axes, _ = np.linalg.qr(x.T @ (x @ axes))
+        x = x @ axes
+        out, parts = [], [np.arange(n)]
+        while parts:
+            part = parts.pop()
+            if len(part) <= BLOCK:
+                out.append(part)
+                continue
+            by = part[np.argsort(x[part, x[part].var(0).argmax()], kind="stable")]
+            half = -(-len(by) // (2 * BLOCK)) * BLOCK
+            parts += [by[half:], by[:half]]
+        place = np.empty(n, np.int64)
+        place[np.concatenate(out)] = np.arange(n)
+        return place
+
+    @cached_property
+    def lists(self) -> Lists:
+        blocks = -(-len(self.ids) // BLOCK)
+        at = np.repeat(self.place, np.diff(self.first))
+        order = np.lexsort((at, self.feature))
+        f, e, w = self.feature[order], at[order].astype(np.int32), self.weights[order].astype(np.float32)
         df = np.bincount(f, minlength=len(self.idf))
         common = np.argsort(-df, kind="stable")[:MAX_COMMON]
         common = common[df[common] * COMMON > len(self.ids)]
         rank = np.full(len(self.idf), -1)
         rank[common] = np.arange(len(common))
-        matrix = np.zeros((len(common), len(self.ids)), np.float32)
+        matrix = np.zeros((blocks * BLOCK, len(common)), np.float32)
         there = rank[f] >= 0
-        matrix[rank[f[there]], e[there]] = w[there]
-        return np.concatenate([[0], np.cumsum(df)]), e, w, rank, matrix
+        matrix[e[there], rank[f[there]]] = w[there]
+        f, e, w = f[~there], e[~there], w[~there]
+        new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)])) if len(f) else np.zeros(0, np.int64)
+        # Bounds are rounded up, so that none falls below a sum that it bounds.
+        most = np.nextafter(np.maximum.reduceat(w, new), np.float32(2)) if len(f) else w
+        return Lists(rank, matrix.reshape(blocks, BLOCK, -1), np.ascontiguousarray(matrix.reshape(blocks, BLOCK, -1).max(1).T) if blocks else matrix.T, np.searchsorted(f[new], np.arange(len(self.idf) + 1)), (e[new] // BLOCK).astype(np.int32), most, np.append(new, len(f)), e, w)
 
     def searched(self, row: np.ndarray, f: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of each row (ascending) with features: row, examples and cosines of the k greatest; ties to the lower doc_id."""
-        n = len(self.ids)
-        if not len(row) or not n:
+        """Of each row (ascending) with terms: row, examples and cosines of the k greatest; ties to the lower doc_id."""
+        if not len(row) or not len(self.ids):
             return
-        start, examples, weights, rank, matrix = self.lists
+        lists, example = self.lists, np.argsort(self.place)
         begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         end = np.append(begin[1:], len(row))
         number = np.repeat(np.arange(len(begin)), end - begin)
@@ -106,23 +189,18 @@ class Index:
         for lo in range(0, len(begin), ROWS):
             hi = min(lo + ROWS, len(begin))
             part = slice(begin[lo], end[hi - 1])
-            at = rank[f[part]]
+            at = lists.rank[f[part]]
             there = at >= 0
-            queries = np.zeros((hi - lo, len(matrix)), np.float32)
+            queries = np.zeros((hi - lo, lists.matrix.shape[2]), np.float32)
             queries[number[part][there] - lo, at[there]] = q[part][there]
-            scores = queries @ matrix
+            bounds = queries @ lists.common
             for i in range(lo, hi):
                 own = slice(begin[i], end[i])
-                fs, qs, score = f[own], q[own], scores[i - lo]
-                rare = rank[fs] < 0
-                if rare.any():
-                    a, b = start[fs[rare]], start[fs[rare] + 1]
-                    places = [slice(x, y) for x, y in zip(a.tolist(), b.tolist())]
-                    score = score + np.bincount(np.concatenate([examples[p] for p in places]), np.concatenate([weights[p] for p in places]) * np.repeat(qs[rare], b - a), minlength=n)
-                least = np.partition(score, n - k)[n - k] - SLACK if n > k else 0.0
-                near = np.flatnonzero((score >= least) & (score > 0))
+                fs, qs = f[own], q[own]
+                near = lists.nearest(queries[i - lo], bounds[i - lo], fs, qs, k)
                 if not len(near):
                     continue
+                near = example[near]
                 whole[fs] = qs
                 size = self.first[near + 1] - self.first[near]
                 at_ = np.cumsum(size) - size
@@ -192,40 +270,31 @@ def _feature_counts(batch: pa.RecordBatch, features: np.ndarray):
     data, offsets = utf8(batch.column("text"))
     lookup = Lookup(features, 24)
     for lo, hi in groups(offsets):
-        tokens = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD, STEMS)
-        rows = rows_of(tokens) + lo
-        found = []
-        for token, h in [(None, tokens.hash), *tokens.stems]:
-            place, number = lookup(h)
-            found.append(rows[place if token is None else token[place]].astype(np.int64) << 32 | number)
-        pair, n = np.unique(np.concatenate(found), return_counts=True)
+        tokens = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD)
+        place, number = lookup(tokens.hash)
+        pair, n = np.unique((rows_of(tokens)[place] + lo).astype(np.int64) << 32 | number, return_counts=True)
         yield pair >> 32, pair & 0xFFFFFFFF, n
 
 
 def _term_stats(sample: DataFrame) -> DataFrame:
-    """term, stem, n, toxic: documents of the sample with the word or beginning of a word, and toxic ones among them."""
+    """term, n, toxic: documents of the sample with the word, and toxic ones among them."""
 
     def run(batches):
         for batch in batches:
             toxic = np.asarray(batch.column("toxic")).astype(np.int64)
             data, offsets = utf8(batch.column("text"))
             for lo, hi in groups(offsets):
-                tokens = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD, STEMS)
-                rows = rows_of(tokens)
-                stems = [(h, rows[token]) for token, h in tokens.stems]
-                kinds = [(False, tokens.hash, rows)]
-                if stems:
-                    kinds.append((True, *(np.concatenate(x) for x in zip(*stems))))
-                for stem, h, r in kinds:
-                    order = np.lexsort((h, r))
-                    h, r = h[order], r[order]
-                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, bool)
-                    terms, inverse = np.unique(h[new], return_inverse=True)
-                    n = np.bincount(inverse, minlength=len(terms))
-                    bad = np.bincount(inverse, weights=toxic[lo:hi][r[new]], minlength=len(terms)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.full(len(terms), stem)), pa.array(n), pa.array(bad)], ["term", "stem", "n", "toxic"])
-
-    return sample.mapInArrow(run, "term long, stem boolean, n long, toxic long").groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+                tokens = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD)
+                h, r = tokens.hash, rows_of(tokens)
+                order = np.lexsort((h, r))
+                h, r = h[order], r[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, bool)
+                terms, inverse = np.unique(h[new], return_inverse=True)
+                n = np.bincount(inverse, minlength=len(terms))
+                bad = np.bincount(inverse, weights=toxic[lo:hi][r[new]], minlength=len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n), pa.array(bad)], ["term", "n", "toxic"])
+
+    return sample.mapInArrow(run, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
 def _document_frequencies(docs: DataFrame, features: np.ndarray) -> tuple[np.ndarray, int]:
@@ -253,24 +322,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k:
     by_doc = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = written(by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "toxicity-labels")
     # At most max_labelled rows of 12 bytes.
-    sample = written(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]), "toxicity-sample")
+    sample = written(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "toxicity-sample")
     size, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not size:
         return Model(np.zeros(0, U64), Index.build(none, none, [], np.zeros(0)), ([], []), None, k)
-    stats = written(_term_stats(sample), "toxicity-terms")
     a, n, p = F.col("toxic").cast("double"), F.col("n").cast("double"), F.lit(bad / size)
     clean = F.when(n > a, (n - a) * F.ln((n - a) / (n * (1 - p)))).otherwise(0.0)
-    toxic_ = F.when(a > n * p, a * F.ln(a / (n * p)) + clean).otherwise(0.0) if 0 < bad < size else F.lit(0.0)
-    gains = stats.withColumn("gain", toxic_)
-    # By Chernoff's bound, at most one term is expected to pass this by chance.
-    certain = max(1.0, math.log(max(1, stats.count())))
-    stems = gains.filter("stem and toxic * 2 >= n").filter((F.col("gain") > 0) & (F.col("gain") >= certain)).orderBy(F.desc("gain"), "term").limit(MAX_FEATURES)
-    chosen_terms = gains.filter("not stem").select("term", "gain").unionByName(stems.select("term", "gain")).toArrow()
-    features = np.asarray(chosen_terms["term"]).view(U64)
+    gain = F.when(a > n * p, a * F.ln(a / (n * p)) + clean).otherwise(0.0) if 0 < bad < size else F.lit(0.0)
+    # The words of at most max_labelled documents, 16 bytes each.
+    terms = _term_stats(sample).select("term", gain.alias("gain")).toArrow()
+    features = np.asarray(terms["term"]).view(U64)
     by = np.argsort(features)
-    features, gain = features[by], np.asarray(chosen_terms["gain"])[by]
+    features, gain = features[by], np.asarray(terms["gain"])[by]
     df, total = _document_frequencies(docs, features)
-    idf = (1 + np.log((1 + total) / (1 + df))) * np.maximum(1, gain**2 / certain)
+    idf = (1 + np.log((1 + total) / (1 + df))) * np.maximum(1, gain**2 / math.log(max(3, len(features))))
 
     def vectors(batches):
         for batch in batches:
@@ -334,19 +399,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **parameters) -> DataFrame:
     """``docs`` without the toxic documents, with all their columns; they are scored where they are read."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(documents(docs, lower=True), labels, **parameters))
-    schema = docs.schema
 
     def run(batches):
-        import pyarrow.compute as pc
-
         model = shared.value
         for batch in batches:
             if batch.num_rows:
-                texts = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pc.utf8_lower(batch.column("text").cast(pa.string()))], ["doc_id", "text"])
+                # The last column is the lower-cased text.
+                texts = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column(batch.num_columns - 1)], ["doc_id", "text"])
                 keep = [s is None or s < threshold for s, *_ in _scored(batch, texts, model)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return lowered(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

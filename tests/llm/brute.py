@@ -207,3 +207,63 @@ def nearest(counts: dict, vectors: dict[int, dict], idf, k: int, own=None) -> li
             u = unit(c)
             found.append((-round(sum(x * u.get(f, 0.0) for f, x in q.items()), 9), d))
     return [(d, -s) for s, d in sorted(found)[:k]]
+
+
+def toxicity(docs: list[tuple], labels: list[tuple], k: int, near: float, threshold: float) -> list[tuple]:
+    """(doc_id, score, vote, toxic, neighbours, similarities) of rows (doc_id, text) by labels (doc_id, toxic): no index, all dot products."""
+    label: dict[int, int] = {}
+    for d, y in labels:
+        if d is not None and y is not None:
+            label[d] = max(y, label.get(d, 0))
+    texts: dict[int, list] = defaultdict(list)
+    for d, t in docs:
+        if d in label:
+            texts[d] += [t] if t is not None else []
+    if not texts:
+        return [(d, None, None, False, [], []) for d, _ in docs]
+    example = {d: Counter(words(min(t))) if t else Counter() for d, t in texts.items()}
+    bad, size = sum(label[d] for d in example), len(example)
+    n, a = Counter(), Counter()
+    for d, c in example.items():
+        n.update(c.keys())
+        a.update(c.keys() if label[d] else [])
+    df = Counter(w for _, t in docs for w in set(words(t)) if w in n)
+    p = bad / size
+
+    def factor(w):
+        if not 0 < bad < size or a[w] <= n[w] * p:
+            return 1.0
+        g = a[w] * math.log(a[w] / (n[w] * p)) + ((n[w] - a[w]) * math.log((n[w] - a[w]) / (n[w] * (1 - p))) if n[w] > a[w] else 0.0)
+        return max(1.0, g * g / math.log(max(3, len(n))))
+
+    weight = {w: (1 + math.log((1 + len(docs)) / (1 + df[w]))) * factor(w) for w in n}
+    indexed = {d: c for d, c in example.items() if c}
+
+    def vote(c, own):
+        found = nearest({w: x for w, x in c.items() if w in n}, indexed, weight, k, own)
+        if not found:
+            return None, [], []
+        ws = [1 / (near + max(0.0, 1 - s)) for _, s in found]
+        return sum(x * label[d] for x, (d, _) in zip(ws, found)) / sum(ws), [d for d, _ in found], [s for _, s in found]
+
+    fitted = sorted((v, label[d]) for d, c in indexed.items() if (v := vote(c, d)[0]) is not None)
+    points = sorted({v for v, _ in fitted})
+    ys = [[y for v, y in fitted if v == x] for x in points]
+    # Isotonic regression as the greatest of least means.
+    mean = lambda i, j: Fraction(sum(sum(y) for y in ys[i : j + 1]), sum(len(y) for y in ys[i : j + 1]))
+    level = [max(min(mean(i, j) for j in range(m, len(ys))) for i in range(m + 1)) for m in range(len(ys))]
+    share = (bad + 0.5) / (size + 1)
+    without = (bad - sum(label[d] for d in indexed) + share) / (size - len(indexed) + 1)
+
+    def score(v):
+        if v is None or not points:
+            return without
+        pool = level[max([m for m, x in enumerate(points) if x <= v + 1e-12], default=0)]
+        inside = [y for m, l in enumerate(level) if l == pool for y in ys[m]]
+        return (sum(inside) + 0.5) / (len(inside) + 1)
+
+    out = []
+    for d, t in docs:
+        v, ids, sims = vote(Counter(words(t)), d)
+        out.append((d, score(v), v, score(v) >= threshold, ids, sims))
+    return out

@@ -356,6 +356,24 @@ def labelled() -> tuple[list[tuple], list[tuple]]:
     return [*docs, (None, "vilea vileb", None, None, None), (999, None, None, None, None), (998, "", None, None, None), docs[0]], [(i, 1, int(i % 4 == 0)) for i in range(200)] + [(0, 1, 1), (None, 1, 1), (300, None, None)]
 
 
+def like_brute_toxicity(got, docs, labels):
+    """Features, frequencies, neighbours, votes and calibration, all built anew in plain Python."""
+    want = brute.toxicity(pairs(docs), [(r[0], r[2]) for r in labels], toxicity.NEIGHBOURS, toxicity.NEAR, toxicity.THRESHOLD)
+    key = lambda r: (str(r[0]), r[2] is None, r[2] or 0.0, len(r[4]))
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert g[0] == w[0] and g[3:5] == w[3:5]
+        for x, y in ((g[1], w[1]), (g[2], w[2])):
+            assert x == y or math.isclose(x, y, abs_tol=1e-7)
+        assert np.allclose(g[5], w[5], atol=1e-8)
+
+
+def test_toxicity_on_awkward_documents(spark, docs):
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(1, 45)] + [(7, None, 1), (8, 1, None), (4000, 1, 1)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    like_brute_toxicity(toxicity.score_documents(docs, lab).collect(), awkward(), labels)
+    assert toxicity.score_documents(docs.limit(0), lab).count() == 0
+
+
 def test_toxicity_finds_what_was_held_out_and_its_neighbours(spark):
     docs, labels = labelled()
     df, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -364,23 +382,7 @@ def test_toxicity_finds_what_was_held_out_and_its_neighbours(spark):
     by = {r["doc_id"]: r for r in got}
     assert all(by[i]["toxic"] == (i % 4 == 0) for i in range(200, 400))
     assert by[None]["toxic"] and not by[999]["toxic"] and not by[998]["toxic"] and by[998]["vote"] is None
-    from geoloom.llm.common import documents
-
-    model = toxicity.fit(documents(df, lower=True), lab)
-    vectors: dict[int, dict] = {}
-    ids = [d[0] for d in docs]
-    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([d[1] for d in docs], pa.string())], ["doc_id", "text"])
-    rows: dict[int, dict] = {}
-    for row, f, c in toxicity._feature_counts(batch, model.features):
-        for a, b, n in zip(row.tolist(), f.tolist(), c.tolist()):
-            rows.setdefault(a, {})[b] = n
-    for r, counts in rows.items():
-        if ids[r] is not None and ids[r] < 200:
-            vectors[ids[r]] = counts
-    for r, counts in rows.items():
-        near = brute.nearest(counts, vectors, model.index.idf, toxicity.NEIGHBOURS, ids[r])
-        assert by[ids[r]]["neighbours"] == [d for d, _ in near]
-        assert np.allclose(by[ids[r]]["similarities"], [s for _, s in near])
+    like_brute_toxicity(got, docs, labels)
     clash = df.withColumn("score", F.lit(1)).withColumn("toxic", F.lit(True))
     kept = toxicity.reject_toxic(clash, lab)
     assert kept.columns == clash.columns
@@ -398,6 +400,7 @@ def test_toxicity_searches_every_document_by_all_its_words(spark):
     by = {r["doc_id"]: r for r in toxicity.score_documents(df, lab).collect()}
     assert all(len(by[i]["neighbours"]) == toxicity.NEIGHBOURS for i in range(303)) and by[303]["neighbours"] == []
     assert by[302]["neighbours"][:2] in ([300, 301], [301, 300])
+    like_brute_toxicity(by.values(), docs, [(r[0], 1, r[2]) for r in lab.collect()])
     # Without a toxic word the nearest examples are those of the same topic.
     plain = [i for i in range(150, 300) if i % 3]
     assert sum(by[i]["neighbours"][0] % 30 == i % 30 for i in plain) > 0.9 * len(plain)
@@ -415,10 +418,11 @@ def test_toxicity_without_labels(spark):
 @given(st.integers(0, 10**6), st.integers(1, 9))
 def test_index_search_is_exhaustive(seed, k):
     r = random.Random(seed)
-    vectors = {i: {f: r.randint(1, 4) for f in r.sample(range(12), r.randint(1, 5))} for i in range(150)}
-    idf = np.array([1 + r.random() for _ in range(12)])
+    many = r.choice([12, 400])
+    vectors = {i: {f: r.randint(1, 4) for f in r.sample(range(many), r.randint(1, 5))} for i in range(150)}
+    idf = np.array([1 + r.random() for _ in range(many)])
     index = toxicity.Index.build(np.arange(150), np.zeros(150, np.int64), [vectors[i] for i in range(150)], idf)
-    q = {f: r.randint(1, 3) for f in r.sample(range(12), 3)}
+    q = {f: r.randint(1, 3) for f in r.sample(range(many), 3)}
     got = [(int(index.ids[e]), s) for e, s in index.search(q, k)]
     assert got == brute.nearest(q, vectors, idf, k)
 
