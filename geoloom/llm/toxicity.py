@@ -4,12 +4,12 @@ Fitting takes a bounded sample of labelled documents (``MAX_LABELLED``, those of
 least hash of doc_id). Terms are all words of the sample, none is left out; their
 document frequencies are counted over all documents. A term's weight is its TF-IDF
 times a factor of at least 1 that grows with the likelihood ratio of the toxic label.
-Examples that are alike stand together, in blocks of ``BLOCK``; every term has its
-postings and, by block, its largest weight. For a document the bounds of all blocks
-are summed; blocks are taken from the greatest bound on, until no bound reaches the
-k-th best cosine so far: the neighbours are those of an exhaustive search. Every
-document that shares a word with an example is searched. Neighbours vote by inverse
-distance, and the votes are calibrated by isotonic regression on the sample, each
+Examples that are alike stand together, in blocks of ``BLOCK``; long postings lists
+have the largest weight of every block, short ones are summed whole. For a document
+the bounds of all blocks are summed; the blocks of the greatest bounds are searched
+first, and then those alone whose bound reaches the k-th best cosine found there: the
+neighbours are those of an exhaustive search. Every document that shares a word with
+an example is searched. Neighbours vote by inverse distance, and the votes are calibrated by isotonic regression on the sample, each
 example left out of its own search. Neighbours and similarities are the evidence.
 
 Defined results
@@ -46,9 +46,9 @@ from geoloom.llm.tokens import U64, WORD, Lookup, Tokens, groups, rows_of, utf8
 #: Bound of the fit: labelled documents; their words are not bounded.
 MAX_LABELLED = 20_000
 NEIGHBOURS, THRESHOLD = 15, 0.5
-#: Examples in a block, and documents that meet the bounds at a time.
-BLOCK, ROWS = 16, 128
-#: The postings of words of more than a 20th of the examples, at most 512, lie in a matrix; blocks are formed by this many terms, those of most weight.
+#: Examples in a block, documents that meet the bounds at a time, and the most promising blocks, which set the bound for the others.
+BLOCK, ROWS, FIRST = 16, 128, 16
+#: Words of more than a 20th of the examples, at most 512, have block maxima; blocks are formed by so many terms, those of most weight.
 COMMON, MAX_COMMON, ALIKE = 20, 512, 256
 #: Above the error of sums in single precision.
 SLACK = 1e-4
@@ -58,51 +58,59 @@ NEAR = 0.05
 
 @dataclass
 class Lists:
-    """Inverted lists over places of examples, with their bounds by block.
+    """Inverted lists over places of examples.
 
-    ``rank`` is a term's row among the common terms, or -1; those have ``matrix`` (block, place,
-    term) and ``common`` (term, block: largest weight). The others have runs of postings, one for
-    each of their blocks: those of term t from ``runs[t]``, with ``block``, ``most`` and ``start``.
+    ``rank`` is a term's number among the common terms, or -1. The lists of common terms are
+    ``matrix`` (block, place in it, term), with ``most`` (term, block): the largest weights. Those
+    of the others lie in ``example`` and ``weight``, from ``start`` of the term on.
     """
 
     rank: np.ndarray
     matrix: np.ndarray
-    common: np.ndarray
-    runs: np.ndarray
-    block: np.ndarray
     most: np.ndarray
     start: np.ndarray
     example: np.ndarray
     weight: np.ndarray
 
     def nearest(self, common: np.ndarray, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-        """Places whose cosine is above 0 and, but for SLACK, among the k greatest: blocks by falling bound, until none can do."""
-        rare = self.rank[terms] < 0
-        a, n = self.runs[terms[rare]], np.diff(self.runs)[terms[rare]]
-        run = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        weight, block = np.repeat(weights[rare], n).astype(np.float32), self.block[run]
+        """Places whose cosine is above 0 and, but for SLACK, among the k greatest: blocks by falling bound, until none can do.
+
+        ``common`` are the weights of the common terms, ``bounds`` the sums of their block maxima.
+        """
         blocks = len(self.matrix)
-        bounds = bounds + np.bincount(block, weight * self.most[run], blocks)
-        order = np.argsort(-bounds, kind="stable")
-        order = order[: np.searchsorted(-bounds[order], 0.0)]
-        score = np.full(blocks * BLOCK, -1.0)
-        least, lo, step = 0.0, 0, 2 + k // BLOCK
-        number = np.full(blocks, -1)
-        while lo < len(order) and bounds[order[lo]] >= least - SLACK:
-            here = order[lo : lo + step]
-            here = here[bounds[here] >= least - SLACK]
-            number[here] = np.arange(len(here))
-            some = np.flatnonzero(number[block] >= 0)
-            first, size = self.start[run[some]], np.diff(self.start)[run[some]]
-            inside = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-            at = number[block[some]].repeat(size) * BLOCK + self.example[inside] % BLOCK
-            found = np.bincount(at, self.weight[inside] * np.repeat(weight[some], size), len(here) * BLOCK) + (self.matrix[here] @ common).ravel()
-            number[here] = -1
-            score.reshape(blocks, BLOCK)[here] = found.reshape(-1, BLOCK)
-            lo, step = lo + step, step * 2
-            if lo * BLOCK >= k:
-                least = max(0.0, float(np.partition(score, len(score) - k)[len(score) - k])) if len(score) >= k else 0.0
-        return np.flatnonzero((score >= least - SLACK) & (score > 0))
+        score = np.zeros(blocks * BLOCK)
+        rare = self.rank[terms] < 0
+        if rare.any():
+            a, b = self.start[terms[rare]], self.start[terms[rare] + 1]
+            places = [slice(x, y) for x, y in zip(a.tolist(), b.tolist())]
+            score = np.bincount(np.concatenate([self.example[p] for p in places]), np.concatenate([self.weight[p] for p in places]) * np.repeat(weights[rare].astype(np.float32), b - a), len(score))
+        score = score.reshape(blocks, BLOCK)
+        bounds = bounds + score.max(1)
+        some = np.flatnonzero(bounds > 0)
+        first = max(FIRST, -(-k // BLOCK))
+        least = 0.0
+        if len(some) > first:
+            # The most promising blocks give the k-th best to beat.
+            top = some[np.argpartition(-bounds[some], first - 1)[:first]]
+            best = self._whole(score, top, common)
+            least = max(0.0, float(np.partition(best, len(best) - k)[len(best) - k]))
+            some = some[bounds[some] >= least - SLACK]
+        found = self._whole(score, some, common)
+        if len(found) > k:
+            least = max(least, float(np.partition(found, len(found) - k)[len(found) - k]))
+        near = np.flatnonzero((found >= least - SLACK) & (found > 0))
+        return some[near // BLOCK] * BLOCK + near % BLOCK
+
+    def _whole(self, score: np.ndarray, blocks: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Scores of the blocks' places, with the common terms; a few blocks at a time, in memory that is used again."""
+        out = np.empty(len(blocks) * BLOCK)
+        step = max(1, (1 << 17) // max(1, BLOCK * len(common)))
+        held = np.empty((step, *self.matrix.shape[1:]), np.float32)
+        for lo in range(0, len(blocks), step):
+            part = blocks[lo : lo + step]
+            rows = np.take(self.matrix, part, axis=0, out=held[: len(part)], mode="clip").reshape(-1, len(common))
+            out[lo * BLOCK : (lo + len(part)) * BLOCK] = score[part].ravel() + rows @ common
+        return out
 
 
 @dataclass
@@ -156,8 +164,13 @@ class Index:
         place[np.concatenate(out)] = np.arange(n)
         return place
 
+    @cached_property
+    def by_place(self) -> np.ndarray:
+        return np.argsort(self.place)
+
     @cached_property
     def lists(self) -> Lists:
+        # Places beyond the last example stay empty.
         blocks = -(-len(self.ids) // BLOCK)
         at = np.repeat(self.place, np.diff(self.first))
         order = np.lexsort((at, self.feature))
@@ -170,17 +183,15 @@ class Index:
         matrix = np.zeros((blocks * BLOCK, len(common)), np.float32)
         there = rank[f] >= 0
         matrix[e[there], rank[f[there]]] = w[there]
+        matrix = matrix.reshape(blocks, BLOCK, len(common))
         f, e, w = f[~there], e[~there], w[~there]
-        new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (e[1:] // BLOCK != e[:-1] // BLOCK)])) if len(f) else np.zeros(0, np.int64)
-        # Bounds are rounded up, so that none falls below a sum that it bounds.
-        most = np.nextafter(np.maximum.reduceat(w, new), np.float32(2)) if len(f) else w
-        return Lists(rank, matrix.reshape(blocks, BLOCK, -1), np.ascontiguousarray(matrix.reshape(blocks, BLOCK, -1).max(1).T) if blocks else matrix.T, np.searchsorted(f[new], np.arange(len(self.idf) + 1)), (e[new] // BLOCK).astype(np.int32), most, np.append(new, len(f)), e, w)
+        return Lists(rank, matrix, np.ascontiguousarray(matrix.max(1).T), np.searchsorted(f, np.arange(len(self.idf) + 1)), e, w)
 
     def searched(self, row: np.ndarray, f: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of each row (ascending) with terms: row, examples and cosines of the k greatest; ties to the lower doc_id."""
         if not len(row) or not len(self.ids):
             return
-        lists, example = self.lists, np.argsort(self.place)
+        lists, example = self.lists, self.by_place
         begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         end = np.append(begin[1:], len(row))
         number = np.repeat(np.arange(len(begin)), end - begin)
@@ -193,7 +204,7 @@ class Index:
             there = at >= 0
             queries = np.zeros((hi - lo, lists.matrix.shape[2]), np.float32)
             queries[number[part][there] - lo, at[there]] = q[part][there]
-            bounds = queries @ lists.common
+            bounds = queries @ lists.most
             for i in range(lo, hi):
                 own = slice(begin[i], end[i])
                 fs, qs = f[own], q[own]
