@@ -110,7 +110,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default_action: str = DEFAUL
     ranges = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(lows, highs))], "piece int, low string, high string"))
     cut = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
     urls = good.withColumn("piece", F.size(F.filter(cut, lambda b: b <= F.col("key"))))
-    prefixes = rules.select(F.col("rule_id").cast("long").alias("rule_id"), rule_prefix(F.lower(F.col("pattern").cast("string"))).alias("key"), F.col("action").cast("string").alias("action")).filter("key is not null")
+    prefixes = rules.select(F.col("rule_id").cast("long").alias("rule_id"), rule_prefix(F.col("pattern").cast("string")).alias("key"), F.col("action").cast("string").alias("action")).filter("key is not null")
     # A rule goes to every piece that its interval meets.
     spread = prefixes.join(ranges, (F.col("key") < F.col("high")) & (F.concat("key", F.lit(_LAST)) >= F.col("low")))
     none = F.lit(None)
