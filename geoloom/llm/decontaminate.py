@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, read
+from geoloom.llm.common import documents, lowered, read
 from geoloom.llm.tokens import WORD, Lookup, Tokens, groups, ngrams, token_hashes, utf8
 
 SEGMENT, THRESHOLD, OVERLAP, GRAM = 64, 0.7, 0.6, 3
@@ -61,6 +61,7 @@ def split_item(text: str) -> tuple[str, str] | None:
 
 
 def make_item(item_id: int | None, text: str) -> Item:
+    """Of a lower-cased text."""
     words = token_hashes(text)
     parts = split_item(text)
     question, answer = map(token_hashes, parts) if parts else (words[: len(words) - len(words) // 4], words[len(words) - len(words) // 4 :])
@@ -243,7 +244,7 @@ def matches(data: np.ndarray, offsets: np.ndarray, index: Index, threshold: floa
 
 def indexes(benchmark: DataFrame) -> list[Index]:
     """One index of each MAX_ITEMS items, or more by the texts of the last item_id. Words' frequencies and the mean length are of all items."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct().orderBy(F.asc_nulls_last("item_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).filter("text is not null").distinct().orderBy(F.asc_nulls_last("item_id"), "text")
     df: Counter = Counter()
     entries = total = 0
     lots: list[list[Item]] = []
@@ -291,16 +292,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
-            import pyarrow.compute as pc
-
             for batch in batches:
                 if batch.num_rows:
                     keep = np.ones(batch.num_rows, bool)
-                    for row, *_ in matches(*utf8(pc.utf8_lower(batch.column("text").cast(pa.string()))), shared.value, threshold, least):
+                    # The last column is the lower-cased text.
+                    for row, *_ in matches(*utf8(batch.column(batch.num_columns - 1)), shared.value, threshold, least):
                         keep[row] = False
-                    yield batch.filter(pa.array(keep))
+                    yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = lowered(docs).mapInArrow(run, docs.schema)
     return docs
 
 
