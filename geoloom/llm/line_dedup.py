@@ -115,6 +115,8 @@ class Shard:
         slot = self.hash.slots(keys)
         often = (slot >= 0) & (self.fingerprints[slot] == fingerprint(keys)) & (self.counts[slot] >= min(min_count, 255)) if len(self.counts) else np.zeros(len(keys), bool)
         owner = np.full(len(keys), NO_OWNER, np.int64)
+        if not len(self.owned):
+            return np.zeros(len(keys), bool), owner
         if often.any():
             at = np.searchsorted(self.owned, keys[often])
             at[at == len(self.owned)] = 0
