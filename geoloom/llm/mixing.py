@@ -15,8 +15,10 @@ Defined results
     the budget. Documents of equal hash (repeated rows of a doc_id, null doc_ids)
     stay or go together.
   * Null text and empty text count 0 tokens. A null source is a source of its own,
-    with the default weight. Weights that are not listed are ``default_weight``.
-  * An empty table gives an empty table. Extra columns pass through untouched.
+    with the default weight. Weights that are not listed are ``default_weight``. Where
+    all weights are 0, so are all budgets, and documents of 0 tokens alone may stay.
+  * An empty table gives an empty table. Extra columns pass through untouched. Texts of
+    any length are counted whole.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def thresholds(sizes: DataFrame, weights: dict[str, int], default_weight: int, f
     supply = sizes.groupBy("source").agg(F.sum("n_tokens").alias("supply")).withColumn("weight", weight)
     total = supply.agg(F.sum("supply").alias("total"), F.sum("weight").alias("weights"))
     steps = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("tier"), F.lit(n).cast("long").alias("num"), F.lit(d).cast("long").alias("den")) for i, (n, d) in enumerate(tiers)]))
-    budget = F.expr(f"weight * (total * {fraction[0]} div {fraction[1]}) div weights * num div den")
+    budget = F.expr(f"coalesce(weight * (total * {fraction[0]} div {fraction[1]}) div nullif(weights, 0L), 0L) * num div den")
     # An open row is a range of hashes of one source in which the budget `rest` runs out, or beyond it.
     open_ = written(supply.crossJoin(total).select("source", "supply", "weight", "total", "weights", steps.alias("s")).select("source", "supply", "weight", "total", "weights", "s.*").select("source", "tier", F.least("supply", budget).alias("rest"), F.lit(0).cast("long").alias("prefix")), "mix-budgets")
     done: DataFrame | None = None
