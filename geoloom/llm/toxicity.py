@@ -103,8 +103,10 @@ class Lists:
 
     def _whole(self, score: np.ndarray, blocks: np.ndarray, common: np.ndarray) -> np.ndarray:
         """Scores of the blocks' places, with the common terms; a few blocks at a time, in memory that is used again."""
+        if not len(common):
+            return score[blocks].ravel()
         out = np.empty(len(blocks) * BLOCK)
-        step = max(1, (1 << 17) // max(1, BLOCK * len(common)))
+        step = max(1, (1 << 17) // (BLOCK * len(common)))
         held = np.empty((step, *self.matrix.shape[1:]), np.float32)
         for lo in range(0, len(blocks), step):
             part = blocks[lo : lo + step]

@@ -450,3 +450,35 @@ def test_columns_named_as_ours(docs):
     clash = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("_n_lines", "_n_dropped", "line", "shard", "row", "words", "_doc", "fragment", "part", "h")])
     assert line_dedup.dedup(clash, 3, 10).count() == len(awkward())
     assert suffix_dedup.repeated_spans(clash, 6).count() and ngram_join.near_duplicates(clash).count() and lm_score.score_documents(clash).count() == len(awkward())
+
+
+# --- Faults of the past ------------------------------------------------------------
+
+
+def test_rules_keep_the_case_of_paths(spark):
+    pages = spark.createDataFrame([(1, "http://example.org/About/x"), (2, "http://example.org/about/x"), (3, "http://EXAMPLE.org/About")], "page_id long, url string")
+    rules = spark.createDataFrame([(1, "Example.org/About", "block")], "rule_id long, pattern string, action string")
+    assert dict(url_filter.filter_urls(pages, rules).select("page_id", "action").collect()) == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_upper_case_beyond_ascii_is_one_text_in_all_paths(spark):
+    item = "ΠΟΙΑ ΕΙΝΑΙ Η ΠΡΩΤΕΥΟΥΣΑ ΤΗΣ ΧΩΡΑΣ ΑΥΤΗΣ ΣΗΜΕΡΑ; ΕΙΝΑΙ Η ΑΘΗΝΑ ΚΑΙ Ο ΠΕΙΡΑΙΑΣ"
+    docs = spark.createDataFrame([(1, item, "el", "s", 1), (2, "İ " + item.title() + " ß", "el", "s", 1), (3, "ΑΛΛΟ ΚΕΙΜΕΝΟ", "el", "s", 1)], SCHEMA)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert {1} <= found and {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()} == {1, 2, 3} - found
+    labels = spark.createDataFrame([(1, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    toxic = {r["doc_id"] for r in toxicity.score_documents(docs, labels).filter("toxic").collect()}
+    assert {r["doc_id"] for r in toxicity.reject_toxic(docs, labels).collect()} == {1, 2, 3} - toxic
+
+
+@pytest.mark.parametrize("shards", [1, 40])
+def test_saturated_counts_below_a_greater_least_count(spark, shards):
+    rows = [(i, "the very same line") for i in range(270)] + [(900, "a line of its own")]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 300, 5, shards=shards).collect()
+    assert ordered(got) == ordered(brute.line_dedup(rows, 300, 5))
+
+
+def test_weights_of_zero(docs):
+    kept = mixing.mixed_documents(docs, weights={}, default_weight=0).collect()
+    assert all(not (r["text"] or "").strip() for r in kept)
