@@ -72,47 +72,35 @@ class Lists:
     example: np.ndarray
     weight: np.ndarray
 
-    def nearest(self, common: np.ndarray, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-        """Places whose cosine is above 0 and, but for SLACK, among the k greatest: blocks by falling bound, until none can do.
-
-        ``common`` are the weights of the common terms, ``bounds`` the sums of their block maxima.
-        """
-        blocks = len(self.matrix)
-        score = np.zeros(blocks * BLOCK)
+    def rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The sums of the lists that have no block maxima, by block and place in it."""
+        size = self.matrix.shape[0] * BLOCK
         rare = self.rank[terms] < 0
-        if rare.any():
-            a, b = self.start[terms[rare]], self.start[terms[rare] + 1]
-            places = [slice(x, y) for x, y in zip(a.tolist(), b.tolist())]
-            score = np.bincount(np.concatenate([self.example[p] for p in places]), np.concatenate([self.weight[p] for p in places]) * np.repeat(weights[rare].astype(np.float32), b - a), len(score))
-        score = score.reshape(blocks, BLOCK)
-        bounds = bounds + score.max(1)
+        if not rare.any():
+            return np.zeros((len(self.matrix), BLOCK))
+        a, b = self.start[terms[rare]], self.start[terms[rare] + 1]
+        places = [slice(x, y) for x, y in zip(a.tolist(), b.tolist())]
+        return np.bincount(np.concatenate([self.example[p] for p in places]), np.concatenate([self.weight[p] for p in places]) * np.repeat(weights[rare].astype(np.float32), b - a), size).reshape(-1, BLOCK)
+
+    def promising(self, common: np.ndarray, bounds: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+        """Blocks whose bound reaches the k-th best of those of the greatest bounds, and that cosine. ``common`` are the weights of the common terms."""
         some = np.flatnonzero(bounds > 0)
         first = max(FIRST, -(-k // BLOCK))
-        least = 0.0
-        if len(some) > first:
-            # The most promising blocks give the k-th best to beat.
-            top = some[np.argpartition(-bounds[some], first - 1)[:first]]
-            best = self._whole(score, top, common)
-            least = max(0.0, float(np.partition(best, len(best) - k)[len(best) - k]))
-            some = some[bounds[some] >= least - SLACK]
-        found = self._whole(score, some, common)
-        if len(found) > k:
-            least = max(least, float(np.partition(found, len(found) - k)[len(found) - k]))
-        near = np.flatnonzero((found >= least - SLACK) & (found > 0))
-        return some[near // BLOCK] * BLOCK + near % BLOCK
-
-    def _whole(self, score: np.ndarray, blocks: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """Scores of the blocks' places, with the common terms; a few blocks at a time, in memory that is used again."""
-        if not len(common):
-            return score[blocks].ravel()
-        out = np.empty(len(blocks) * BLOCK)
-        step = max(1, (1 << 17) // (BLOCK * len(common)))
-        held = np.empty((step, *self.matrix.shape[1:]), np.float32)
-        for lo in range(0, len(blocks), step):
-            part = blocks[lo : lo + step]
-            rows = np.take(self.matrix, part, axis=0, out=held[: len(part)], mode="clip").reshape(-1, len(common))
-            out[lo * BLOCK : (lo + len(part)) * BLOCK] = score[part].ravel() + rows @ common
-        return out
+        if len(some) <= first:
+            return some, 0.0
+        top = some[np.argpartition(-bounds[some], first - 1)[:first]]
+        best = score[top].ravel() + self.matrix[top].reshape(-1, len(common)) @ common if len(common) else score[top].ravel()
+        least = max(0.0, float(np.partition(best, len(best) - k)[len(best) - k]))
+        return some[bounds[some] >= least - SLACK], least
+
+    def common_sums(self, queries: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """[query, block, place]: the sums of the common terms in some blocks (ascending), runs of blocks at a time."""
+        out = np.empty((len(queries), len(blocks) * BLOCK), np.float32)
+        cut = np.flatnonzero(np.diff(blocks) > 1) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(blocks)]):
+            if lo < hi:
+                out[:, lo * BLOCK : hi * BLOCK] = queries @ self.matrix[blocks[lo] : blocks[hi - 1] + 1].reshape((hi - lo) * BLOCK, queries.shape[1]).T
+        return out.reshape(len(queries), len(blocks), BLOCK)
 
 
 @dataclass
@@ -190,7 +178,7 @@ class Index:
         return Lists(rank, matrix, np.ascontiguousarray(matrix.max(1).T), np.searchsorted(f, np.arange(len(self.idf) + 1)), e, w)
 
     def searched(self, row: np.ndarray, f: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of each row (ascending) with terms: row, examples and cosines of the k greatest; ties to the lower doc_id."""
+        """Of each row with terms, in any order: row, examples and cosines of the k greatest; ties to the lower doc_id."""
         if not len(row) or not len(self.ids):
             return
         lists, example = self.lists, self.by_place
@@ -199,21 +187,32 @@ class Index:
         number = np.repeat(np.arange(len(begin)), end - begin)
         q = unit(number, f, c, self.idf)
         whole = np.zeros(len(self.idf))
+        at = lists.rank[f]
+        there = at >= 0
+        queries = np.zeros((len(begin), lists.matrix.shape[2]), np.float32)
+        queries[number[there], at[there]] = q[there]
+        bounds = queries @ lists.most
+        # Documents that are alike meet the same blocks: they are taken together.
+        alike = np.argsort(bounds.argmax(1), kind="stable")
         for lo in range(0, len(begin), ROWS):
-            hi = min(lo + ROWS, len(begin))
-            part = slice(begin[lo], end[hi - 1])
-            at = lists.rank[f[part]]
-            there = at >= 0
-            queries = np.zeros((hi - lo, lists.matrix.shape[2]), np.float32)
-            queries[number[part][there] - lo, at[there]] = q[part][there]
-            bounds = queries @ lists.most
-            for i in range(lo, hi):
-                own = slice(begin[i], end[i])
-                fs, qs = f[own], q[own]
-                near = lists.nearest(queries[i - lo], bounds[i - lo], fs, qs, k)
+            some = alike[lo : lo + ROWS]
+            rare = [lists.rare(f[begin[i] : end[i]], q[begin[i] : end[i]]) for i in some.tolist()]
+            found = [lists.promising(queries[i], bounds[i] + r.max(1), r, k) for i, r in zip(some.tolist(), rare)]
+            needed = np.zeros(len(lists.matrix), bool)
+            for blocks, _ in found:
+                needed[blocks] = True
+            union = np.flatnonzero(needed)
+            slot = np.cumsum(needed) - 1
+            common = lists.common_sums(queries[some], union)
+            for i, score, sums, (blocks, least) in zip(some.tolist(), rare, common, found):
+                whole_score = (score[blocks] + sums[slot[blocks]]).ravel()
+                if len(whole_score) > k:
+                    least = max(least, float(np.partition(whole_score, len(whole_score) - k)[len(whole_score) - k]))
+                near = np.flatnonzero((whole_score >= least - SLACK) & (whole_score > 0))
                 if not len(near):
                     continue
-                near = example[near]
+                near = example[blocks[near // BLOCK] * BLOCK + near % BLOCK]
+                fs, qs = f[begin[i] : end[i]], q[begin[i] : end[i]]
                 whole[fs] = qs
                 size = self.first[near + 1] - self.first[near]
                 at_ = np.cumsum(size) - size
