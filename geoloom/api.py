@@ -10,10 +10,11 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 from geoloom import config, dataset, shared
 from geoloom.dataset import Dataset, MVTResult, TileResult
+from geoloom.functions.geometry import st_transform
 from geoloom.geo import wkb
 from geoloom.geo.mercator import DEGREES
 from geoloom.operators import histogram, predicates
@@ -102,13 +103,13 @@ def _size(root: Path) -> tuple[int, int]:
 
 def get_dataset_metadata(dataset_dir: str | Path) -> dict:
     root = Path(dataset_dir)
-    out = {"name": root.name, "path": str(root), "exists": root.is_dir(), "size_bytes": 0, "file_count": 0, "parquet_tile_count": 0, "bbox": None, "zoom_levels": [], "has_histograms": False, "has_mvt": False, "has_stats": False, "has_summary": False, "missing": ["dataset_dir", "parquet_tiles", "histograms", "stats"]}
+    out = {"name": root.name, "path": str(root), "exists": root.is_dir(), "size_bytes": 0, "file_count": 0, "parquet_tile_count": 0, "bbox": None, "zoom_levels": [], "has_histograms": False, "has_mvt": False, "has_stats": False, "has_summary": False, "parquet_has_bbox": False, "parquet_crs": None, "mvt_tile_count": 0, "histogram_resolution": None, "pmtiles_path": None, "missing": ["dataset_dir", "parquet_tiles", "histograms", "stats"]}
     if not root.is_dir():
         return out
     d = Dataset(root)
     size, n = _size(root)
     there = {"dataset_dir": True, "parquet_tiles": d.num_tiles > 0, "histograms": d.has_histograms, "stats": d.has_stats}
-    return out | {"size_bytes": size, "file_count": n, "parquet_tile_count": d.num_tiles, "bbox": list(d.bbox) if d.bbox else None, "zoom_levels": d.zoom_levels, "has_histograms": d.has_histograms, "has_mvt": d.has_mvt, "has_pmtiles": d.has_pmtiles, "has_stats": d.has_stats, "has_summary": get_dataset_summary(root) is not None, "missing": [k for k, v in there.items() if not v]}
+    return out | {"size_bytes": size, "file_count": n, "parquet_tile_count": d.num_tiles, "bbox": list(d.bbox) if d.bbox else None, "zoom_levels": d.zoom_levels, "has_histograms": d.has_histograms, "has_mvt": d.has_mvt, "has_pmtiles": d.has_pmtiles, "has_stats": d.has_stats, "has_summary": get_dataset_summary(root) is not None, "parquet_has_bbox": d.parquet_has_bbox, "parquet_crs": d.parquet_crs, "mvt_tile_count": d.mvt_tile_count, "histogram_resolution": d.histogram_resolution, "pmtiles_path": d.pmtiles_path, "missing": [k for k, v in there.items() if not v]}
 
 
 def get_dataset_summary(dataset_dir: str | Path) -> dict | None:
@@ -138,17 +139,18 @@ def _about(dataset_dir: str | Path, geom_col: str | None) -> tuple[str, object]:
     return column, crs_of(schema, column)
 
 
-def query_frame(dataset_dir: str | Path, geometry: object, *, geometry_crs: object = DEGREES, geom_col: str | None = None, spark: SparkSession | None = None) -> DataFrame:
-    """Rows that meet a region, as a DataFrame: files by the manifest, row groups by the box columns, rows exactly."""
+def query_frame(dataset_dir: str | Path, geometry: object, *, geometry_crs: object = DEGREES, geom_col: str | None = None, out_crs: object = DEGREES, spark: SparkSession | None = None) -> DataFrame:
+    """Rows that meet a region, as a DataFrame: files by the manifest, row groups by the box columns, rows exactly. Geometry comes in ``out_crs``; None: as it is stored."""
     column, crs = _about(dataset_dir, geom_col)
     box = wkb.bounds(predicates.region_in(geometry, geometry_crs, crs))
     rows = geoparquet.read_tiles(_session(spark), str(dataset_dir), box, column)
-    return predicates.without_internal(predicates.range_filter(rows, geometry, geometry_crs, crs, column))
+    found = predicates.without_internal(predicates.range_filter(rows, geometry, geometry_crs, crs, column))
+    return found if out_crs is None else found.withColumn(column, st_transform(F.col(column), crs, out_crs))
 
 
-def query_dataset(dataset_dir: str | Path, geometry: object, *, geometry_crs: object = DEGREES, geom_col: str | None = None, batch_size: int | None = None, spark: SparkSession | None = None) -> Iterator[pd.DataFrame]:
+def query_dataset(dataset_dir: str | Path, geometry: object, *, geometry_crs: object = DEGREES, geom_col: str | None = None, batch_size: int | None = None, out_crs: object = DEGREES, spark: SparkSession | None = None) -> Iterator[pd.DataFrame]:
     """The same in pandas batches, geometry as WKB; one partition at a time is on the driver."""
-    df = query_frame(dataset_dir, geometry, geometry_crs=geometry_crs, geom_col=geom_col, spark=spark)
+    df = query_frame(dataset_dir, geometry, geometry_crs=geometry_crs, geom_col=geom_col, out_crs=out_crs, spark=spark)
     held: list = []
     for row in df.toLocalIterator():
         held.append(row)

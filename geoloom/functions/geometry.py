@@ -37,20 +37,22 @@ def geom_summary(geometry: pd.Series) -> pd.DataFrame:
     """Box, centroid, vertex number and type; null for null, empty and undecodable geometry."""
     n = len(geometry)
     out = {c: np.full(n, np.nan) for c in ("xmin", "ymin", "xmax", "ymax", "cx", "cy")}
-    npts, gtype = np.zeros(n, object), np.full(n, None, object)
+    npts, gtype = np.full(n, None, object), np.full(n, None, object)
     values = geometry.to_numpy()
-    # Little-endian 2-D points, the most common by far, in one go.
-    simple = np.array([v is not None and len(v) == 21 and v[:5] == b"\x01\x01\x00\x00\x00" for v in values], bool)
-    if simple.any():
-        xy = np.frombuffer(b"".join(bytes(v)[5:] for v in values[simple]), "<f8").reshape(-1, 2)
-        for c, k in (("xmin", 0), ("xmax", 0), ("cx", 0), ("ymin", 1), ("ymax", 1), ("cy", 1)):
-            out[c][simple] = xy[:, k]
-        npts[simple], gtype[simple] = 1, "Point"
-    for i in np.flatnonzero(~simple):
+    many, rest = wkb.stacked(values)
+    rest = rest.tolist()
+    for kind, at, xy in many:
+        c = wkb.centroids(kind, xy)
+        good = np.isfinite(c).all(1)
+        rest += at[~good].tolist()
+        at, xy = at[good], xy[good]
+        out["cx"][at], out["cy"][at] = c[good].T
+        (out["xmin"][at], out["ymin"][at]), (out["xmax"][at], out["ymax"][at]) = xy.min(1).T, xy.max(1).T
+        npts[at], gtype[at] = xy.shape[1], kind
+    for i in rest:
         g = _decoded(values[i])
         b = wkb.bounds(g) if g else None
         if b is None:
-            npts[i] = None
             continue
         for c, v in zip(("xmin", "ymin", "xmax", "ymax"), b):
             out[c][i] = v
@@ -124,7 +126,14 @@ def st_type(geometry: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def st_npoints(geometry: pd.Series) -> pd.Series:
-    return pd.Series([None if (g := _decoded(v)) is None else len(wkb.vertices(g)) for v in geometry], dtype="Int32")
+    values = geometry.to_numpy()
+    out = np.full(len(values), None, object)
+    many, rest = wkb.stacked(values)
+    for _, at, xy in many:
+        out[at] = xy.shape[1]
+    for i in rest:
+        out[i] = None if (g := _decoded(values[i])) is None else len(wkb.vertices(g))
+    return pd.Series(out, dtype="Int32")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
@@ -160,7 +169,18 @@ def st_intersects(geometry: Column, region: wkb.Geometry) -> Column:
     @F.pandas_udf(T.BooleanType())
     def run(values: pd.Series) -> pd.Series:
         q = wkb.decode(shape)
-        return pd.Series([bool((g := _decoded(v)) is not None and kernels.intersects(g, q)) for v in values], dtype=bool)
+        raw = values.to_numpy()
+        out = np.zeros(len(raw), bool)
+        many, rest = wkb.stacked(raw)
+        rest = rest.tolist()
+        for kind, at, xy in many:
+            if kind == "Point" and q[0] == "Polygon":
+                out[at] = kernels.inside(xy[:, 0], q[1])
+            else:
+                rest += at.tolist()
+        for i in rest:
+            out[i] = (g := _decoded(raw[i])) is not None and kernels.intersects(g, q)
+        return pd.Series(out)
 
     return run(geometry)
 

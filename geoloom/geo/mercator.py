@@ -7,6 +7,7 @@ it reach the scan. Columns take Columns or numbers.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import Column
@@ -19,11 +20,23 @@ DEGREES, METRES = 4326, 3857
 
 
 class UnsupportedCrsError(ValueError):
-    """A coordinate system other than EPSG:4326 and EPSG:3857."""
+    """A coordinate system other than EPSG:4326, EPSG:3857 and the UTM zones."""
+
+
+#: UTM by EPSG code: first zone's code, last, whether in the south, inverse flattening (WGS 84 or GRS 80).
+_UTM = ((32601, 32660, False, 298.257223563), (32701, 32760, True, 298.257223563), (25828, 25838, False, 298.257222101), (26901, 26923, False, 298.257222101))
+
+
+def utm_zone(code: int) -> tuple[int, bool, float] | None:
+    """Zone, whether it is southern, and inverse flattening of a UTM code."""
+    for first, last, south, flat in _UTM:
+        if first <= code <= last:
+            return code - first + (28 if first == 25828 else 1), south, flat
+    return None
 
 
 def epsg(crs: object) -> int:
-    """4326 or 3857 from a code, a name or PROJJSON; None means 4326."""
+    """The code of 4326, 3857 or a UTM zone, from a code, a name or PROJJSON; None means 4326."""
     if crs is None:
         return DEGREES
     if isinstance(crs, dict):
@@ -33,7 +46,13 @@ def epsg(crs: object) -> int:
         return DEGREES
     if text in ("3857", "EPSG:3857", "900913", "EPSG:900913", "WGS 84 / PSEUDO-MERCATOR") or text.endswith("EPSG::3857"):
         return METRES
-    raise UnsupportedCrsError(f"coordinate system {crs!r}: only EPSG:4326 and EPSG:3857 are known here")
+    number = re.search(r"(?:^|EPSG:+)(\d{5})$", text)
+    if number and utm_zone(int(number[1])):
+        return int(number[1])
+    zone = re.fullmatch(r"WGS[ _]?(?:19)?84 ?[/_] ?UTM[ _]ZONE[ _](\d{1,2})([NS])", text)
+    if zone and 1 <= int(zone[1]) <= 60:
+        return (32600 if zone[2] == "N" else 32700) + int(zone[1])
+    raise UnsupportedCrsError(f"coordinate system {crs!r}: only EPSG:4326, EPSG:3857 and UTM zones are known here")
 
 
 def _c(v) -> Column:
@@ -120,13 +139,64 @@ def backward(v: np.ndarray) -> np.ndarray:
     return np.column_stack([v[:, 0] / WORLD * 180, np.degrees(2 * np.arctan(np.exp(v[:, 1] / R)) - math.pi / 2)])
 
 
+def _krueger(flat: float) -> tuple[float, float, list[float], list[float]]:
+    """Eccentricity, rectifying radius and series of the transverse Mercator projection (Krueger's, to the fourth order of n)."""
+    f = 1 / flat
+    n = f / (2 - f)
+    a = R / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    there = [n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3 + 41 / 180 * n**4, 13 / 48 * n**2 - 3 / 5 * n**3 + 557 / 1440 * n**4, 61 / 240 * n**3 - 103 / 140 * n**4, 49561 / 161280 * n**4]
+    back = [n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3 - 1 / 360 * n**4, n**2 / 48 + n**3 / 15 - 437 / 1440 * n**4, 17 / 480 * n**3 - 37 / 840 * n**4, 4397 / 161280 * n**4]
+    return math.sqrt(f * (2 - f)), a, there, back
+
+
+def to_utm(v: np.ndarray, code: int) -> np.ndarray:
+    zone, south, flat = utm_zone(code)
+    e, a, series, _ = _krueger(flat)
+    lat, d = np.radians(v[:, 1]), np.radians(v[:, 0] - (6 * zone - 183))
+    t = np.sinh(np.arctanh(np.sin(lat)) - e * np.arctanh(e * np.sin(lat)))
+    xi, eta = np.arctan2(t, np.cos(d)), np.arcsinh(np.sin(d) / np.hypot(t, np.cos(d)))
+    x, y = eta.copy(), xi.copy()
+    for j, c in enumerate(series, 1):
+        x += c * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+        y += c * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+    return np.column_stack([500_000 + 0.9996 * a * x, (10_000_000 if south else 0) + 0.9996 * a * y])
+
+
+def from_utm(v: np.ndarray, code: int) -> np.ndarray:
+    zone, south, flat = utm_zone(code)
+    e, a, _, series = _krueger(flat)
+    eta0, xi0 = (v[:, 0] - 500_000) / (0.9996 * a), (v[:, 1] - (10_000_000 if south else 0)) / (0.9996 * a)
+    xi, eta = xi0.copy(), eta0.copy()
+    for j, c in enumerate(series, 1):
+        xi -= c * np.sin(2 * j * xi0) * np.cosh(2 * j * eta0)
+        eta -= c * np.cos(2 * j * xi0) * np.sinh(2 * j * eta0)
+    goal = np.sin(xi) / np.hypot(np.sinh(eta), np.cos(xi))
+    tau = goal.copy()
+    for _ in range(4):
+        # Newton's method for the latitude of a conformal one.
+        s = np.sinh(e * np.arctanh(e * tau / np.hypot(1, tau)))
+        now = tau * np.hypot(1, s) - s * np.hypot(1, tau)
+        tau += (goal - now) / np.hypot(1, now) * (1 + (1 - e * e) * tau**2) / ((1 - e * e) * np.hypot(1, tau))
+    return np.column_stack([6 * zone - 183 + np.degrees(np.arctan2(np.sinh(eta), np.cos(xi))), np.degrees(np.arctan(tau))])
+
+
 def transform(v: np.ndarray, source: object, target: object) -> np.ndarray:
+    """Between any two of the known systems, by way of degrees."""
     a, b = epsg(source), epsg(target)
-    return v if a == b else forward(v) if b == METRES else backward(v)
+    if a == b:
+        return v
+    degrees = v if a == DEGREES else backward(v) if a == METRES else from_utm(v, a)
+    return degrees if b == DEGREES else forward(degrees) if b == METRES else to_utm(degrees, b)
 
 
 def transform_box(box: tuple[float, float, float, float], source: object, target: object) -> tuple[float, float, float, float]:
-    """Both projections are monotone along each axis, so two corners suffice."""
+    """Degrees and Mercator are monotone along each axis, so two corners suffice; of a UTM box 21 points of each side are taken."""
+    if epsg(source) != epsg(target) and {epsg(source), epsg(target)} - {DEGREES, METRES}:
+        s = np.linspace(0, 1, 21)
+        x, y = box[0] + (box[2] - box[0]) * s, box[1] + (box[3] - box[1]) * s
+        edge = np.concatenate([np.column_stack([x, np.full(21, b)]) for b in (box[1], box[3])] + [np.column_stack([np.full(21, a), y]) for a in (box[0], box[2])])
+        v = transform(edge, source, target)
+        return (*v.min(0).tolist(), *v.max(0).tolist())
     return tuple(transform(np.array(box, np.float64).reshape(2, 2), source, target).ravel().tolist())
 
 

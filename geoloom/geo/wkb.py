@@ -344,3 +344,50 @@ def point_wkb(x: np.ndarray, y: np.ndarray) -> list[bytes | None]:
     out["o"], out["t"], out["x"], out["y"] = 1, 1, x, y
     raw, good = out.tobytes(), np.isfinite(x) & np.isfinite(y)
     return [raw[i * 21 : i * 21 + 21] if ok else None for i, ok in enumerate(good)]
+
+
+_STACKED = {b"\x01\x01\x00\x00\x00": ("Point", 5, 21), b"\x01\x02\x00\x00\x00": ("LineString", 9, None), b"\x01\x03\x00\x00\x00\x01\x00\x00\x00": ("Polygon", 13, None)}
+
+
+def stacked(values) -> tuple[list[tuple[str, np.ndarray, np.ndarray]], np.ndarray]:
+    """Little-endian 2-D points, lines and polygons of one ring as arrays: kind, places and coordinates (rows, vertices, 2) of those of one length; and the places of all others that aren't null."""
+    by: dict[tuple[str, int], list[int]] = {}
+    rest: list[int] = []
+    for i, v in enumerate(values):
+        if v is None:
+            continue
+        n = len(v)
+        found = _STACKED.get(bytes(v[:5])) or (_STACKED.get(bytes(v[:9])) if n > 13 else None)
+        if found is None or n <= found[1] or (n - found[1]) % 16 or (found[2] or n) != n or (found[2] is None and int.from_bytes(v[found[1] - 4 : found[1]], "little") * 16 != n - found[1]):
+            rest.append(i)
+        else:
+            by.setdefault((found[0], n), []).append(i)
+    out = []
+    for (kind, n), places in by.items():
+        head = n % 16
+        raw = np.frombuffer(b"".join([values[i] for i in places]), np.uint8).reshape(len(places), n)
+        xy = np.ascontiguousarray(raw[:, head:]).view("<f8").reshape(len(places), -1, 2)
+        good = np.isfinite(xy).all((1, 2))
+        rest += np.asarray(places)[~good].tolist()
+        if good.any():
+            out.append((kind, np.asarray(places)[good], xy[good]))
+    return out, np.array(sorted(rest), np.int64)
+
+
+def centroids(kind: str, xy: np.ndarray) -> np.ndarray:
+    """``centroid`` of many geometries of one kind and length; NaN where it takes another way (no area, no length)."""
+    if kind == "Point":
+        return xy[:, 0].copy()
+    o = xy[:, :1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if kind == "LineString":
+            d = np.hypot(*np.moveaxis(np.diff(xy, axis=1), 2, 0))
+            return ((xy[:, :-1] + xy[:, 1:]) / 2 * d[..., None]).sum(1) / d.sum(1)[:, None]
+        p = xy - o
+        cross = p[:, :-1, 0] * p[:, 1:, 1] - p[:, 1:, 0] * p[:, :-1, 1]
+        area = cross.sum(1) / 2
+        m = ((p[:, :-1] + p[:, 1:]) * cross[..., None]).sum(1) / 6
+        out = (m + o[:, 0] * area[:, None]) / area[:, None]
+    # Rings that don't close, or hold no area.
+    out[(xy[:, 0] != xy[:, -1]).any(1) | (area == 0) | (xy.shape[1] < 3)] = np.nan
+    return out

@@ -20,10 +20,12 @@ def vertex_cells(df: DataFrame, grid: int, crs: object = None, geom_col: str = "
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for v in batch.column(0):
+            values = batch.column(0).to_pylist()
+            many, rest = wkb.stacked(values)
+            parts = [xy.reshape(-1, 2) for _, _, xy in many]
+            for i in rest:
                 try:
-                    parts.append(wkb.vertices(wkb.decode(v.as_py())))
+                    parts.append(wkb.vertices(wkb.decode(values[i])))
                 except wkb.GeometryError:
                     continue
             if not parts:

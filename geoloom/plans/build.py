@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import shutil
 from pathlib import Path
@@ -11,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.dataset import Dataset, MVTResult, TileResult
-from geoloom.functions.geometry import BBOX, st_linearize, with_summary
-from geoloom.geo.mercator import METRES, WORLD, epsg, transform_box
+from geoloom.functions.geometry import BBOX, st_linearize, st_transform, with_summary
+from geoloom.geo.mercator import DEGREES, METRES, WORLD, epsg, transform_box
 from geoloom.operators import histogram, partition, pyramid, stats
 from geoloom.plans import tiles as plans
 from geoloom.shared import written
 from geoloom.sinks import geoparquet
 from geoloom.sources import read_source
+from geoloom.sources.files import exists, read_bytes, write_bytes
 from geoloom.sources.geoparquet import crs_of, geometry_column
 
 MB = 1 << 20
@@ -30,24 +32,26 @@ WEB_MERCATOR = {"type": "ProjectedCRS", "name": "WGS 84 / Pseudo-Mercator", "id"
 
 def write_histogram(outdir: str | Path, cells: DataFrame, grid: int, dtype: str, crs: object) -> np.ndarray:
     """global.npy and its prefix sums, each with a document beside it; gives the prefix sums."""
-    folder = Path(outdir) / "histograms"
-    folder.mkdir(parents=True, exist_ok=True)
+    folder = f"{outdir}/histograms"
     counts = histogram.dense(cells, grid, dtype)
     prefix = histogram.prefix_sum(counts.astype(np.float64))
     for name, a in (("global", counts), ("global_prefix", prefix)):
-        np.save(folder / f"{name}.npy", a)
+        held = io.BytesIO()
+        np.save(held, a)
+        write_bytes(f"{folder}/{name}.npy", held.getvalue())
         about = {"filename": f"{name}.npy", "dtype": str(a.dtype), "grid_size": grid, "shape": list(a.shape), "crs": "EPSG:3857", "bbox": [-WORLD, -WORLD, WORLD, WORLD], "sum": float(counts.sum()), "nonzero": int(np.count_nonzero(a))}
-        (folder / f"{name}.json").write_text(json.dumps(about, indent=2))
+        write_bytes(f"{folder}/{name}.json", json.dumps(about, indent=2).encode())
     return prefix
 
 
 def load_prefix(dataset: str | Path) -> np.ndarray:
     """Prefix sums of a dataset's histogram, from the histogram itself where they are missing."""
-    folder = Path(dataset) / "histograms"
-    if (folder / "global_prefix.npy").is_file():
-        return np.load(folder / "global_prefix.npy")
-    if (folder / "global.npy").is_file():
-        return histogram.prefix_sum(np.load(folder / "global.npy"))
+    folder = f"{dataset}/histograms"
+    load = lambda name: np.load(io.BytesIO(read_bytes(f"{folder}/{name}.npy")))
+    if exists(f"{folder}/global_prefix.npy"):
+        return load("global_prefix")
+    if exists(f"{folder}/global.npy"):
+        return histogram.prefix_sum(load("global"))
     raise FileNotFoundError(f"{dataset} has no histogram")
 
 
@@ -61,6 +65,9 @@ def tile(spark: SparkSession, input: str, outdir: str, *, partition_size: int |
     if "_tile_id" in source.df.columns:
         raise ValueError("the input has a column _tile_id, which is reserved")
     crs, column = epsg(source.crs), source.geometry
+    if crs not in (DEGREES, METRES):
+        # Tiles and box columns are in degrees or Mercator metres: UTM becomes degrees as it is read.
+        source.df, source.crs, crs = source.df.withColumn(column, st_transform(st_linearize(F.col(column)), crs, DEGREES)), None, DEGREES
     clean = source.df.drop(*BBOX).withColumn(column, st_linearize(F.col(column)))
     rows = with_summary(clean, column)
     # What partitioning and statistics need of each geometry, decoded once.
@@ -70,14 +77,12 @@ def tile(spark: SparkSession, input: str, outdir: str, *, partition_size: int |
     tree = partition.build_tree(sample.points, sample.box, wanted)
     placed = rows.filter("_cx is not null").withColumn("_tile_id", tree.column(F.col("_cx"), F.col("_cy")))
     manifest = geoparquet.write_tiles(placed, outdir, column, source.crs if isinstance(source.crs, dict) else None if crs != METRES else WEB_MERCATOR, sort, sort_keys, covering_bbox, compression, sfc_bits=sfc_bits)
-    root = Path(outdir)
-    (root / "stats").mkdir(parents=True, exist_ok=True)
     about = stats.attribute_statistics(source.df.drop(*BBOX), column, places)
-    (root / "stats" / "attributes.json").write_text(json.dumps(about, indent=2, default=str))
+    write_bytes(f"{outdir}/stats/attributes.json", json.dumps(about, indent=2, default=str).encode())
     cells = histogram.vertex_cells(source.df, grid_size, crs, column)
-    write_histogram(root, cells, grid_size, histogram_dtype, crs)
+    write_histogram(outdir, cells, grid_size, histogram_dtype, crs)
     files, total = manifest.agg(F.count("*"), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
-    return TileResult(str(root), files, total, sample.box, str(root / "histograms" / "global_prefix.npy"))
+    return TileResult(str(outdir), files, total, sample.box, f"{outdir}/histograms/global_prefix.npy")
 
 
 def generate_mvt(spark: SparkSession, tile_dir: str, *, zoom: int = 7, threshold: float = 0.0, pmtiles: bool = False, pmtiles_compression: str = "gzip", outdir: str | None = None, feature_capacity: int = plans.CAPACITY, extent: int = plans.EXTENT, buffer: int = plans.BUFFER) -> MVTResult:

@@ -59,7 +59,11 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @F.pandas_udf(T.BinaryType())
 def box_wkb(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([wkb.encode(wkb.box(*v)) for v in zip(a, b, c, d)])
+    out = np.zeros(len(a), np.dtype([("head", "u1", 13), ("xy", "<f8", 10)]))
+    out["head"] = np.frombuffer(b"\x01\x03\x00\x00\x00\x01\x00\x00\x00\x05\x00\x00\x00", np.uint8)
+    out["xy"] = np.column_stack([a, b, c, b, c, d, a, d, a, b])
+    raw = out.tobytes()
+    return pd.Series([raw[i : i + 93] for i in range(0, len(raw), 93)])
 
 
 def box_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,13 +138,6 @@ def f3_box_exact(spark, sf_dir):
     return predicates.range_filter(with_summary(box_shapes(spark, sf_dir)), BOX).select("id")
 
 
-@query(f"""WITH {B}, m AS (SELECT CAST(floor((cx+1.8e2)/4.5e1) AS BIGINT)*8+CAST(floor((cy+9e1)/4.5e1) AS BIGINT) AS part, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*)::BIGINT AS n FROM b GROUP BY 1)
-SELECT part, n FROM m WHERE {_MEETS}""")
-def f5_file_prune(spark, sf_dir):
-    manifest = boxes(spark, sf_dir).groupBy((F.floor((F.col("_cx") + 180.0) / 45.0) * 8 + F.floor((F.col("_cy") + 90.0) / 45.0)).alias("part")).agg(*[f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), BBOX)], F.count("*").alias("n"))
-    return manifest.filter(predicates.box_meets(BOX)).select("part", "n")
-
-
 @query(f"WITH {B} SELECT id, CAST(floor(x0*1e6) AS BIGINT) AS xmin, CAST(floor(y0*1e6) AS BIGINT) AS ymin, CAST(ceil(x1*1e6) AS BIGINT) AS xmax, CAST(ceil(y1*1e6) AS BIGINT) AS ymax FROM b WHERE {_MEETS}")
 def f6_filename_bbox(spark, sf_dir):
     """The box of each file name, read back from the name, in millionths of a degree."""
@@ -160,20 +157,6 @@ def f9_without_internal_columns(spark, sf_dir):
     return predicates.without_internal(predicates.range_filter(with_summary(point_shapes(spark, sf_dir)), BOX)).drop("geometry")
 
 
-@query(f"""WITH {P}, {point_tiles(4)}, n AS (SELECT x, y FROM t GROUP BY 1, 2 HAVING count(*) > 2)
-SELECT id, 4 AS z, x, y FROM t SEMI JOIN n ON t.x = n.x AND t.y = n.y""")
-def f11_threshold_semi(spark, sf_dir):
-    tiles = pyramid.fan_out(points(spark, sf_dir), range(4, 5), keep=["id"])
-    dense = tiles.groupBy("z", "x", "y").agg(F.count("*").alias("n")).filter("n > 2")
-    return tiles.join(dense, ["z", "x", "y"], "left_semi").select("id", "z", "x", "y")
-
-
-@query(f"WITH {B} SELECT count(*)::BIGINT AS n, sum(93 + length(id::VARCHAR))::BIGINT AS size_bytes FROM b WHERE {_MEETS}")
-def f15_size_estimate(spark, sf_dir):
-    found = predicates.without_internal(predicates.range_filter(with_summary(box_shapes(spark, sf_dir)), BOX))
-    return found.agg(F.count("*").alias("n"), F.sum(F.octet_length("geometry") + F.octet_length(F.col("id").cast("string"))).alias("size_bytes"))
-
-
 # --- Joins and partitions -----------------------------------------------------
 
 TREE = partition.KDTree([0, 1, 1], [0.0, -10.0, 20.0], [1, -1, -3], [2, -2, -4], 4)
@@ -215,33 +198,6 @@ def j3_box_fanout_z4(spark, sf_dir):
     return pyramid.fan_out(boxes(spark, sf_dir), range(4, 5), keep=["id"]).groupBy("z", "x", "y").agg(F.count("*").alias("n"))
 
 
-@query()
-def p1_spatial_sample(spark, sf_dir):
-    """The sample's centroids: those of the least hash, the same in any order of rows."""
-    s = partition.sample_points(points(spark, sf_dir), cap=200)
-    return spark.createDataFrame([(float(x), float(y)) for x, y in s.points], "x double, y double")
-
-
-@query()
-def p6_balanced_partitions(spark, sf_dir):
-    """Rows and box of each partition of the tree built from a sample."""
-    return flagship(spark, sf_dir)
-
-
-@query(f"""WITH {P}, c AS (SELECT id, CAST(floor((lon+1.8e2)/4.5e1) AS BIGINT) AS col, CAST(floor((lat+9e1)/4.5e1) AS BIGINT) AS row FROM p)
-SELECT id, (1000 + col*10 + row) // count(*) OVER (PARTITION BY col, row) AS weight FROM c""")
-def p7_point_weights(spark, sf_dir):
-    col, row = F.floor((F.col("lon") + 180.0) / 45.0), F.floor((F.col("lat") + 90.0) / 45.0)
-    c = points(spark, sf_dir).select("id", col.alias("col"), row.alias("row"))
-    there = F.count("*").over(W.partitionBy("col", "row"))
-    return c.withColumn("n", there).select("id", F.expr("(1000 + col*10 + row) div n").alias("weight"))
-
-
-@query(f"WITH {B} SELECT greatest(1, CAST(ceil(sum(93)/65536e0) AS BIGINT)) AS partitions FROM b")
-def p10_partition_count(spark, sf_dir):
-    return boxes(spark, sf_dir).agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.sum(F.lit(93)) / F.lit(65536.0))).alias("partitions"))
-
-
 @query(f"WITH {P} SELECT {_PART} AS part, count(*)::BIGINT AS n, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM p GROUP BY 1")
 def p13_partition_mbr(spark, sf_dir):
     return points(spark, sf_dir).groupBy(TREE.column(F.col("lon"), F.col("lat")).alias("part")).agg(F.count("*").alias("n"), F.min("lon").alias("xmin"), F.min("lat").alias("ymin"), F.max("lon").alias("xmax"), F.max("lat").alias("ymax"))
@@ -250,19 +206,6 @@ def p13_partition_mbr(spark, sf_dir):
 # --- Aggregates -----------------------------------------------------------------
 
 
-@query("""SELECT count(l_extendedprice)::BIGINT AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high, round(avg(l_extendedprice), 6) AS mean, round(stddev_pop(l_extendedprice), 6) AS stddev FROM lineitem""")
-def a1_numeric_stats(spark, sf_dir):
-    v = F.when(~F.isnan("l_extendedprice"), F.col("l_extendedprice"))
-    return table(spark, sf_dir, "lineitem").agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 6).alias("mean"), F.round(F.coalesce(F.stddev_pop(v), F.lit(0.0)), 6).alias("stddev"))
-
-
-@query("SELECT 'user_id' AS name, (abs(approx - exact) <= 0.08 * exact) AS near, exact FROM (SELECT count(DISTINCT user_id)::BIGINT AS exact, count(DISTINCT user_id) AS approx FROM events)")
-def a2_approx_distinct(spark, sf_dir):
-    """The sketch's estimate is within five standard errors of the exact number."""
-    n = table(spark, sf_dir, "events").agg(F.approx_count_distinct(F.col("user_id").cast("string"), stats.RSD).alias("a"), F.count_distinct("user_id").alias("exact"))
-    return n.select(F.lit("user_id").alias("name"), (F.abs(F.col("a") - F.col("exact")) <= 0.08 * F.col("exact")).alias("near"), "exact")
-
-
 _TOP = """c AS (SELECT name, value, count(*)::BIGINT AS n FROM v WHERE value IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, sum(n) OVER (PARTITION BY name)::BIGINT AS total, row_number() OVER (PARTITION BY name ORDER BY n DESC, value)::INT AS rank FROM c)
 SELECT name, value, n, total, rank FROM r WHERE rank <= 20"""
@@ -278,12 +221,6 @@ def a4_categorical(spark, sf_dir):
     return stats.value_counts(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"])
 
 
-@query("SELECT count(p_name)::BIGINT AS n, count(DISTINCT p_name)::BIGINT AS distinct_n, round(avg(length(p_name)), 6) AS mean_length, min(length(p_name))::INT AS low, max(length(p_name))::INT AS high FROM part")
-def a5_text_stats(spark, sf_dir):
-    n = F.char_length("p_name")
-    return table(spark, sf_dir, "part").agg(F.count("p_name").alias("n"), F.count_distinct("p_name").alias("distinct_n"), F.round(F.avg(n), 6).alias("mean_length"), F.min(n).alias("low"), F.max(n).alias("high"))
-
-
 @query("SELECT count(ts)::BIGINT AS n, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') AS low, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS high FROM events")
 def a6_temporal_stats(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -291,20 +228,6 @@ def a6_temporal_stats(spark, sf_dir):
     return e.agg(F.count("ts").alias("n"), F.min(t).alias("low"), F.max(t).alias("high"))
 
 
-@query(f"WITH {B} SELECT 'Polygon' AS gtype, count(*)::BIGINT AS n, (5*count(*))::BIGINT AS n_points, min(x0) AS xmin, min(y0) AS ymin, max(x1) AS xmax, max(y1) AS ymax FROM b")
-def a7_geometry_stats(spark, sf_dir):
-    s = with_summary(box_shapes(spark, sf_dir))
-    return s.groupBy(F.col("_gtype").alias("gtype")).agg(F.count("*").alias("n"), F.sum("_npts").cast("long").alias("n_points"), F.min(BBOX[0]).alias("xmin"), F.min(BBOX[1]).alias("ymin"), F.max(BBOX[2]).alias("xmax"), F.max(BBOX[3]).alias("ymax"))
-
-
-@query("""SELECT 's_acctbal' AS name, 'numeric' AS role, count(s_acctbal)::BIGINT AS n FROM supplier UNION ALL SELECT 's_name', 'text', count(s_name) FROM supplier
-UNION ALL SELECT 's_nationkey', 'numeric', count(s_nationkey) FROM supplier UNION ALL SELECT 's_suppkey', 'numeric', count(s_suppkey) FROM supplier""")
-def a8_attribute_collector(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    found = stats.column_statistics(s, s.columns)
-    return spark.createDataFrame([(n, stats.role_of(s.schema[n].dataType), v["non_null_count"]) for n, v in found.items()], "name string, role string, n long")
-
-
 def _grid(n: int) -> str:
     return f"g AS (SELECT {n - 1}-{cell(my('lat'), f'{n}e0')} AS row, {cell(mx('lon'), f'{n}e0')} AS col, count(*)::BIGINT AS n_vertices FROM p WHERE id % 10 <> 0 GROUP BY 1, 2)"
 
@@ -368,11 +291,6 @@ def w1_topk_per_tile(spark, sf_dir):
     return pyramid.top_features(tiles, 5, "id").select("z", "x", "y", "id", F.col("_rank").alias("k"))
 
 
-@query(f"WITH {P} SELECT id, prio FROM p WHERE lon BETWEEN {BOX[0]} AND {BOX[2]} AND lat BETWEEN {BOX[1]} AND {BOX[3]} ORDER BY prio DESC, id LIMIT 50")
-def w2_topk_of_tile(spark, sf_dir):
-    return points(spark, sf_dir).filter(predicates.box_meets(BOX)).select("id", F.col("_prio").alias("prio")).orderBy(F.desc("prio"), "id").limit(50)
-
-
 def _spread(v: str, bits: int, first: int) -> str:
     return " | ".join(f"((({v} >> {i}) & 1) << {2 * i + first})" for i in range(bits))
 
@@ -387,17 +305,6 @@ def w4_zorder_key(spark, sf_dir):
     return s.select("id", M.morton(M.scaled(F.col("lon"), F.col("a"), F.col("b"), 8), M.scaled(F.col("lat"), F.col("c"), F.col("d"), 8), 8).alias("zkey"))
 
 
-@query(f"WITH {P} SELECT {_PART} AS part, id, row_number() OVER (PARTITION BY {_PART} ORDER BY c_acctbal DESC, id)::INT AS place FROM p")
-def w5_column_sort(spark, sf_dir):
-    p = points(spark, sf_dir).withColumn("part", TREE.column(F.col("lon"), F.col("lat")))
-    return p.select("part", "id", F.row_number().over(W.partitionBy("part").orderBy(F.desc("c_acctbal"), "id")).alias("place"))
-
-
-@query(f"WITH {P} SELECT id, lon, lat FROM p WHERE lon BETWEEN {BOX[0]} AND {BOX[2]} AND lat BETWEEN {BOX[1]} AND {BOX[3]} ORDER BY id LIMIT 1")
-def w7_first_record(spark, sf_dir):
-    return points(spark, sf_dir).filter(predicates.box_meets(BOX)).select("id", "lon", "lat").orderBy("id").limit(1)
-
-
 @query("""WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1), e AS (SELECT vec_id, embedding::DOUBLE[] AS a, v::DOUBLE[] AS b FROM embeddings, q),
 c AS (SELECT vec_id, list_sum(list_transform(range(1, len(a)+1), lambda i: a[i]*b[i])) / (sqrt(list_sum(list_transform(a, lambda x: x*x))) * sqrt(list_sum(list_transform(b, lambda x: x*x)))) AS s FROM e)
 SELECT vec_id, round(s, 5) AS cosine FROM c ORDER BY s DESC, vec_id LIMIT 10""")
@@ -441,14 +348,6 @@ def g5_tile_range(spark, sf_dir):
     return boxes(spark, sf_dir).select("id", M.tile_x(x0, 8).alias("tx0"), M.tile_y(y1, 8).alias("ty0"), M.tile_x(x1, 8).alias("tx1"), M.tile_y(y0, 8).alias("ty1"))
 
 
-@query(f"""WITH {P}, {point_tiles(6)}, f AS (SELECT id, x, y, ({mx('lon')}+{WORLD})/4.0075016685578488e7*64e0-x AS fx, ({WORLD}-{my('lat')})/4.0075016685578488e7*64e0-y AS fy FROM t)
-SELECT id, x, y, CAST(floor(fx*4096e0) AS BIGINT) AS px, CAST(floor(fy*4096e0) AS BIGINT) AS py FROM f""")
-def g6_tile_pixels(spark, sf_dir):
-    t = pyramid.fan_out(points(spark, sf_dir), range(6, 7), keep=["id", "lon", "lat"])
-    share = lambda v, k: F.floor((v / F.lit(2 * M.WORLD) * F.lit(64.0) - F.col(k)) * F.lit(4096.0))
-    return t.select("id", "x", "y", share(M.x_of_lon(F.col("lon")) + F.lit(M.WORLD), "x").alias("px"), share(F.lit(M.WORLD) - M.y_of_lat(F.col("lat")), "y").alias("py"))
-
-
 def _prefix(spark, sf_dir, grid: int = 64) -> np.ndarray:
     return histogram.prefix_sum(histogram.dense(histogram.vertex_cells(point_shapes(spark, sf_dir), grid), grid))
 
@@ -477,41 +376,17 @@ def g10_tile_id(spark, sf_dir):
     return pyramid.fan_out(points(spark, sf_dir), range(12, 13), keep=["id"]).select("id", "tile_id")
 
 
-@query(f"""WITH {P}, {point_tiles(7)}, d AS (SELECT DISTINCT x, y FROM t), s AS (SELECT x, y, 4.0075016685578488e7/128e0 AS s FROM d)
-SELECT x, y, round(greatest(x*s-{WORLD}-s/1.6e1, -{WORLD}), 3) AS xmin, round(least({WORLD}-y*s+s/1.6e1, {WORLD}), 3) AS ymax FROM s""")
-def g12_buffered_bounds(spark, sf_dir):
-    t = pyramid.fan_out(points(spark, sf_dir), range(7, 8), keep=[]).select("z", "x", "y").distinct()
-    xmin, _, _, ymax = M.tile_bounds_columns(F.col("z"), F.col("x"), F.col("y"))
-    grow = F.lit(2 * M.WORLD / 128 / 16)
-    return t.select("x", "y", F.round(F.greatest(xmin - grow, F.lit(-M.WORLD)), 3).alias("xmin"), F.round(F.least(ymax + grow, F.lit(M.WORLD)), 3).alias("ymax"))
-
-
 @query(f"WITH {B} SELECT id, round(x0, 9) AS xmin, round(y1, 9) AS ymax, round(cx, 6) AS cx, round(cy, 6) AS cy, 5 AS npts FROM b")
 def g13_geometry_summary(spark, sf_dir):
     s = with_summary(box_shapes(spark, sf_dir))
     return s.select("id", F.round(BBOX[0], 9).alias("xmin"), F.round(BBOX[3], 9).alias("ymax"), F.round("_cx", 6).alias("cx"), F.round("_cy", 6).alias("cy"), F.col("_npts").alias("npts"))
 
 
-@query(f"WITH {B} SELECT id, 1 AS parts FROM b")
-def g16_explode_collections(spark, sf_dir):
-    return box_shapes(spark, sf_dir).select("id", F.size(st_dump("geometry")).alias("parts"))
-
-
-@query()
-def g18_feature_priority(spark, sf_dir):
-    return with_summary(box_shapes(spark, sf_dir)).select("id", F.col("_prio").alias("priority"))
-
-
 @query(f"WITH {B} SELECT id, 5 AS npts FROM b")
 def g19_vertex_count(spark, sf_dir):
     return box_shapes(spark, sf_dir).select("id", st_npoints("geometry").alias("npts"))
 
 
-@query("SELECT event_id, 'numeric' AS role, CASE WHEN event_type IS NULL THEN NULL ELSE upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) END AS title FROM events")
-def x7_titles(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.lit("numeric").alias("role"), F.initcap("event_type").alias("title"))
-
-
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings), n AS (SELECT vec_id, a, sqrt(list_sum(list_transform(a, lambda x: x*x))) AS n FROM e)
 SELECT vec_id, round(a[1]/n, 6) AS first, round(a[len(a)]/n, 6) AS last FROM n""")
 def x6_l2_normalise(spark, sf_dir):
@@ -584,4 +459,7 @@ def flagship(spark: SparkSession, sf_dir: str, partitions: int = 8) -> DataFrame
     return p.groupBy(tree.column(F.col("_cx"), F.col("_cy")).alias("part")).agg(F.count("*").alias("n"), F.min("lon").alias("xmin"), F.min("lat").alias("ymin"), F.max("lon").alias("xmax"), F.max("lat").alias("ymax"))
 
 
+# Registers the queries of datasets as well.
+from geoloom import dataset_queries as _datasets  # noqa: E402, F401
+
 __all__ = ["ORACLE_SQL", "QUERIES", "SUMMARY", "flagship"]

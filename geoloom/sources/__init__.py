@@ -60,10 +60,11 @@ def input_size(path: str) -> int:
     return sum(n for _, n in files(path))
 
 
-def read_source(spark: SparkSession, path: str, geom_col: str | None = None, csv_x_col: str | None = None, csv_y_col: str | None = None, csv_wkt_col: str | None = None, src_crs: object = None, geometry_only: bool = False, split_size: int | None = None) -> Source:
+def read_source(spark: SparkSession, path: str, geom_col: str | None = None, csv_x_col: str | None = None, csv_y_col: str | None = None, csv_wkt_col: str | None = None, src_crs: object = None, geometry_only: bool = False, split_size: int | None = None, csv_multiline: bool = False) -> Source:
     """The table at ``path``. ``src_crs`` stands in for what the files say about their coordinates.
 
     CSV takes either x and y or WKT; coordinates and shapes that can't be read give a null geometry.
+    ``csv_multiline`` is for quoted line ends; such a file can't be cut, so each is read by one task.
     """
     prepare(spark)
     kind = source_kind(path)
@@ -73,7 +74,7 @@ def read_source(spark: SparkSession, path: str, geom_col: str | None = None, csv
         df, crs = geojson.read(spark, path, split_size or geojson.SPLIT)
         column = "geometry"
     elif kind == "csv":
-        df, column, crs = _csv(spark, path, geom_col or "geometry", csv_x_col, csv_y_col, csv_wkt_col), geom_col or "geometry", None
+        df, column, crs = _csv(spark, path, geom_col or "geometry", csv_x_col, csv_y_col, csv_wkt_col, csv_multiline), geom_col or "geometry", None
     elif kind == "shapefile":
         df, crs = shapefile.read(spark, path)
         column = "geometry"
@@ -82,13 +83,13 @@ def read_source(spark: SparkSession, path: str, geom_col: str | None = None, csv
     return Source(df.select(column) if geometry_only else df, column, src_crs or crs, kind, path)
 
 
-def _csv(spark: SparkSession, path: str, geom_col: str, x: str | None, y: str | None, wkt: str | None) -> DataFrame:
+def _csv(spark: SparkSession, path: str, geom_col: str, x: str | None, y: str | None, wkt: str | None, multiline: bool = False) -> DataFrame:
     points = x is not None and y is not None
     if points == (wkt is not None) or (x is None) != (y is None):
         raise ValueError("CSV needs either an x and a y column or a WKT column")
     first = files(path)
     sep = "\t" if first and first[0][0].lower().endswith(".tsv") else ","
-    df = spark.read.option("header", True).option("inferSchema", True).option("sep", sep).option("recursiveFileLookup", True).csv(path)
+    df = spark.read.option("header", True).option("inferSchema", True).option("sep", sep).option("multiLine", multiline).option("recursiveFileLookup", True).csv(path)
     number = lambda c: F.col(f"`{c}`").try_cast("double")
     return df.withColumn(geom_col, st_point(number(x), number(y)) if points else st_from_wkt(F.col(f"`{wkt}`")))
 

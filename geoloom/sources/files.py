@@ -43,3 +43,11 @@ def read_bytes(path: str, offset: int = 0, length: int | None = None) -> bytes:
     with fs.open_input_file(p) as f:
         f.seek(offset)
         return f.read(length) if length is not None else f.read()
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """A whole file; its folder is made."""
+    fs, p = file_system(path)
+    fs.create_dir(p.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(p) as f:
+        f.write(data)
