@@ -2,22 +2,31 @@
 
 A URL becomes a key of its reversed host and its path (``org,example,www,)/a/b``),
 a rule a prefix of such keys. All keys with a prefix lie in one interval, and two
-intervals are nested or apart. Rules and URLs are cut at the same key boundaries
-and sorted together; one sweep of each piece keeps a stack of the rules that are
-open at the present key. The top of the stack is the longest, which decides.
+intervals are nested or apart. Rules and URLs are cut at the same key boundaries,
+found by binary search, and sorted together; one sweep of each piece keeps a stack
+of the rules that are open at the present key. The top of the stack is the longest,
+which decides. A key so frequent that several boundaries fall on it has as many
+pieces, over which its URLs are spread; rules go to every piece that they meet.
 
 Defined results
-  * Scheme, port, user and fragment don't matter, nor letter case in the host.
+  * Which scheme a URL has, its port, user and fragment don't matter, nor letter case
+    in the host; that of paths and queries does, in URLs and in rules.
   * A domain rule ``example.org`` covers the host and its subdomains; with a path
     (``example.org/a``) it covers only that host's paths that begin so.
   * Of several rules that cover a URL the longest decides; of equal prefixes the
     one with the least rule_id. No rule: ``default_action`` and null rule_id.
-  * A null URL, and one without a host, is kept with action ``invalid``.
-  * Repeated rows and URLs each give a row. Empty tables give empty results.
+  * A null URL, and one without a scheme or a host, is kept with action ``invalid``.
+    A rule whose pattern is null is none.
+  * Repeated rows and URLs each give a row. Without pages the result is empty; without
+    rules all have the default. URLs of any length are taken whole; extra columns of
+    either table don't matter.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +52,8 @@ RULES = (
 )
 DEFAULT_ACTION = "allow"
 
+#: Sampled keys for each piece; they steer only the balance.
+SAMPLED = 200
 #: No key has this character, which is above all that keys have.
 _LAST = "\U0010ffff"
 
@@ -101,18 +112,27 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default_action: str = DEFAUL
     keyed = spark.read.schema(keyed.schema).parquet(path)
     good = keyed.filter("key is not null")
     pieces = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Boundaries at the quantiles of a fixed number of keys; they steer only the balance.
-    fraction = min(1.0, pieces * 200 / max(1, keyed.count()))
-    sample = sorted(r[0] for r in good.sample(fraction, seed=7).select("key").collect())
-    bounds = sorted({sample[len(sample) * i // pieces] for i in range(1, pieces)}) if sample else []
-    lows = [""] + bounds
-    highs = bounds + [_LAST]
-    ranges = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(lows, highs))], "piece int, low string, high string"))
-    cut = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
-    urls = good.withColumn("piece", F.size(F.filter(cut, lambda b: b <= F.col("key"))))
+    # Boundaries at the quantiles of a bounded number of keys; a frequent key may be several of them.
+    fraction = min(1.0, pieces * SAMPLED / max(1, keyed.count()))
+    sample = sorted(r[0] for r in good.sample(fraction, seed=7).select("key").limit(2 * pieces * SAMPLED).collect())
+    bounds = [sample[len(sample) * i // pieces] for i in range(1, pieces)] if sample else []
+
+    @F.pandas_udf("int")
+    def piece(keys: pd.Series) -> pd.Series:
+        out = []
+        for n, k in enumerate(keys):
+            lo, hi = bisect_left(bounds, k), bisect_right(bounds, k)
+            out.append(hi if hi - lo < 2 else lo + 1 + n % (hi - lo))
+        return pd.Series(out, dtype="int32")
+
+    @F.pandas_udf("array<int>")
+    def met(keys: pd.Series) -> pd.Series:
+        return pd.Series([list(range(bisect_left(bounds, k), bisect_right(bounds, k + _LAST) + 1)) for k in keys])
+
+    urls = good.withColumn("piece", piece("key"))
     prefixes = rules.select(F.col("rule_id").cast("long").alias("rule_id"), rule_prefix(F.col("pattern").cast("string")).alias("key"), F.col("action").cast("string").alias("action")).filter("key is not null")
     # A rule goes to every piece that its interval meets.
-    spread = prefixes.join(ranges, (F.col("key") < F.col("high")) & (F.concat("key", F.lit(_LAST)) >= F.col("low")))
+    spread = prefixes.withColumn("piece", F.explode(met("key")))
     none = F.lit(None)
     both = urls.select("piece", "key", F.lit(1).alias("kind"), none.cast("long").alias("rule_id"), none.cast("string").alias("action"), "page_id", "url").unionByName(spread.select("piece", "key", F.lit(0).alias("kind"), "rule_id", "action", none.cast("long").alias("page_id"), none.cast("string").alias("url")))
     swept = both.repartition(pieces, "piece").sortWithinPartitions("piece", "key", "kind", "rule_id").mapInArrow(_sweep, "page_id long, url string, rule_id long, action string")
