@@ -3,10 +3,14 @@
 Every version of every path is addressed by the SHA-256 of its content. A ledger in
 the shared folder holds which (blob, rule, rule version) have been scanned, and the
 findings. An increment scans each new blob once, at one of its places, and only
-with the rules it has not met; findings are then joined back to all paths.
+with the rules it has not met; findings are then joined back to all paths. Texts
+stay where they are while the new blobs are few (they are broadcast after their
+number is checked); only a large increment moves texts, once.
 
 Defined results
   * Null text has no blob and no finding. Empty text is a blob without findings.
+  * Texts of any length are scanned whole; extra columns of any name don't matter;
+    an empty table has no findings. A null doc_id or path stays null.
   * A finding is (blob, rule, secret): ``n`` counts the secret's occurrences in the
     blob. The secret is given as its SHA-256, never itself.
   * Repeated rows, and copies under other paths, each get the findings of the blob.
@@ -51,6 +55,9 @@ RULES = (
     Rule("json-web-token", 1, "eyJ[0-9A-Za-z_-]{8,}[.]eyJ[0-9A-Za-z_-]{8,}[.][0-9A-Za-z_-]*", "eyJ"),
 )
 
+#: New blobs whose places are broadcast (about 300 bytes each); beyond, texts are joined by a shuffle.
+FEW = 100_000
+
 _FINDINGS = "blob string, rule_id string, rule_version int, secret string, n long"
 _SCANNED = "blob string, rules array<string>"
 
@@ -70,23 +77,26 @@ def addressed(versions: DataFrame) -> DataFrame:
     return versions.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.sha2(F.col("text").cast("string"), 256).alias("blob"))
 
 
-def scan_increment(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
-    """Scan what ``versions`` (doc_id, path, text) has and the ledger has not."""
+def scan_increment(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what ``versions`` (doc_id, path, text) has and the ledger has not; gives the addressed places."""
     spark = versions.sparkSession
     every = F.array(*[F.lit(r.key) for r in rules])
     seen = _table(spark, f"{ledger}/scanned", _SCANNED).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("met"))
-    blobs = addressed(versions).filter("blob is not null").groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    places = written(addressed(versions), "secrets-places")
+    blobs = places.filter("blob is not null").groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     todo = written(blobs.join(seen, "blob", "left").select("blob", "doc_id", F.array_except(every, F.coalesce("met", F.array().cast("array<string>"))).alias("todo")).filter(F.size("todo") > 0), "secrets-todo")
-    # One place of each blob: the text is moved once, for new blobs only.
+    few = todo.limit(FEW + 1).count() <= FEW
+    # One place of each new blob.
     place = todo.select(F.col("doc_id").alias("_doc"), "blob", "todo")
     texts = versions.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
-    found = place.hint("shuffle_hash").join(texts, place["_doc"].eqNullSafe(texts["_doc"])).filter(F.sha2("text", 256) == F.col("blob"))
+    found = (F.broadcast(place) if few else place.hint("shuffle_hash")).join(texts, place["_doc"].eqNullSafe(texts["_doc"])).filter(F.sha2("text", 256) == F.col("blob"))
     hits = F.concat(*[_hits(r) for r in rules])
     # Rows that repeat a doc_id and its text repeat the matches as well; one of them counts.
     each = found.select("blob", hits.alias("hits")).filter(F.size("hits") > 0).dropDuplicates(["blob"])
     name = shared_path(spark, "increment").rpartition("/")[2]
     each.select("blob", F.explode("hits").alias("x")).groupBy("blob", "x.rule_id", "x.rule_version", "x.secret").agg(F.count("*").alias("n")).write.parquet(f"{ledger}/findings/{name}")
     todo.select("blob", F.col("todo").alias("rules")).write.parquet(f"{ledger}/scanned/{name}")
+    return places
 
 
 def _hits(rule: Rule) -> Column:
@@ -96,12 +106,12 @@ def _hits(rule: Rule) -> Column:
     return F.when(F.array_contains("todo", rule.key) & F.contains("text", F.lit(rule.keyword)), matches).otherwise(none)
 
 
-def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The findings of the rules' present versions at every path of ``versions``."""
+def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, places: DataFrame | None = None) -> DataFrame:
+    """The findings of the rules' present versions at every path of ``versions``; ``places`` are these, if they have been addressed."""
     spark = versions.sparkSession
     # An increment that was begun again may have left its findings twice.
     now = _table(spark, f"{ledger}/findings", _FINDINGS).filter(F.concat("rule_id", F.lit("@"), "rule_version").isin([r.key for r in rules])).dropDuplicates(["blob", "rule_id", "rule_version", "secret"])
-    return addressed(versions).join(now, "blob").select("doc_id", "path", "blob", "rule_id", "rule_version", "secret", "n")
+    return (addressed(versions) if places is None else places).join(now, "blob").select("doc_id", "path", "blob", "rule_id", "rule_version", "secret", "n")
 
 
 def versions_of(docs: DataFrame) -> DataFrame:
@@ -111,8 +121,7 @@ def versions_of(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions, ledger = versions_of(read(spark, sf_dir, "documents")), shared_path(spark, "secrets-ledger")
-    scan_increment(versions, ledger)
-    return findings(versions, ledger)
+    return findings(versions, ledger, places=scan_increment(versions, ledger))
 
 
 _UNION = " UNION ALL ".join(f"SELECT doc_id, path, blob, '{r.rule_id}' AS rule_id, {r.version}::INT AS rule_version, unnest(regexp_extract_all(text, '{r.pattern}')) AS s FROM v" for r in RULES)
