@@ -18,7 +18,9 @@ Defined results
   * ``log_prob`` is the natural logarithm; ``bits_per_char`` is null for empty text.
   * Empty text has log probability 0, null text null. doc_id passes through, null
     or repeated. A character outside the vocabulary is spelled by its UTF-8 bytes.
-  * Texts are scored whole at any length, in time linear in it.
+  * Texts are scored whole at any length, in time linear in it; a run without spaces is
+    one chunk, of which a block of characters is held at a time. Repeated rows each give
+    a row; an empty table gives none. Extra columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -178,6 +180,11 @@ class Lattice:
             hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BLOCK, "right")))
             part = order[lo:hi]
             n = chars[part]
+            if n[0] > BLOCK:
+                # One chunk beyond a block, alone: its lattice is summed piece by piece.
+                out[part] = self._long(codes[upto[part[0]] - n[0] : upto[part[0]]])
+                lo = hi
+                continue
             inside = np.arange(int(n.sum())) + np.repeat(upto[part] - n - np.cumsum(n) + n, n)
             out[part] = self._block(codes[inside], n)
             lo = hi
@@ -203,6 +210,24 @@ class Lattice:
             arcs[alone, 0] = np.array([self.spelled(chr(c)) for c in kinds.tolist()])[which]
         return arcs
 
+    def _long(self, codes: np.ndarray) -> float:
+        """log P of one chunk of any length, holding a block of its arcs at a time."""
+        exp, log, none = math.exp, math.log, -math.inf
+        alpha = [0.0]
+        for lo in range(0, len(codes), BLOCK):
+            before = min(lo, self.longest)
+            part = codes[lo - before : lo + BLOCK]
+            arcs = self._arcs(part, np.array([len(part)]))[before:]
+            where, length = np.nonzero(arcs > none)
+            cut = np.searchsorted(where, np.arange(len(arcs) + 1)).tolist()
+            length, values = (length + 1).tolist(), arcs[where, length].tolist()
+            alpha = alpha[-self.longest :]
+            for e in range(len(arcs)):
+                paths = [alpha[-n] + v for n, v in zip(length[cut[e] : cut[e + 1]], values[cut[e] : cut[e + 1]]) if n <= len(alpha)]
+                best = max(paths, default=none)
+                alpha.append(best + log(sum(exp(p - best) for p in paths)) if best > none else none)
+        return alpha[-1]
+
     def _block(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log P of chunks whose lengths ``n`` descend: the recursion takes character e of all chunks at a time."""
         arcs, first, out = self._arcs(codes, n), np.cumsum(n) - n, np.zeros(len(n))
