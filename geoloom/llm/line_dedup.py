@@ -6,7 +6,11 @@ level at which no other key shares its bit; its rank among all bits set is its
 slot) and, by slot, a 16-bit fingerprint and a saturated 8-bit count. Lines that
 occur often enough have also the hash's place of first occurrence, in a short
 array of their own. Documents hash their lines and look them up in these arrays,
-which are read from the shared folder shard by shard: no line is joined.
+which are read from the shared folder shard by shard: no line is joined. While all
+shards fit in ``HELD_BYTES`` (checked), every task holds those it has met. Beyond
+that the hashes (8 bytes each, with 8 of their text) go to the shards: tasks read
+one shard after another, each once, and only lines that count as frequent come
+back, by their text's hash.
 
 Defined results
   * A line is what stands between newlines, without spaces and tabs at its ends.
@@ -14,6 +18,8 @@ Defined results
   * A line that occurs ``min_count`` times or more in the corpus (repeats within a
     document count) stays at its first place only: the least doc_id, and there its
     first line. Rows that repeat a doc_id share that place and both keep it.
+  * Texts and lines of any length are taken whole; an empty table gives an empty one.
+    ``min_count`` may be any number, also beyond what the saturated counts can tell.
   * Null doc_ids come after all others. Null text stays null, with 0 lines; empty
     text stays empty. ``n_dropped`` counts the lines left out.
 """
@@ -28,15 +34,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import free_name, read, replace_column, shared_path
+from geoloom.llm.common import free_name, read, replace_column, shared_path, written
 from geoloom.llm.tokens import U64, groups, mix, utf8
+from geoloom.sources.files import files
 
 MIN_COUNT, MIN_CHARS = 6, 10
 NO_OWNER = 2**63 - 1
 #: Bits per key and level of the perfect hash.
 GAMMA = 2.0
-#: Bytes of shards that a task holds; it reads one again that it has let go.
+#: Bytes of shards that every task may hold.
 HELD_BYTES = 256 << 20
+#: Distinct lines in a shard, about; tasks that share the probes of one shard.
+SHARD_LINES, SALT = 1 << 21, 8
 
 
 class PerfectHash:
@@ -95,10 +104,6 @@ class Shard:
         self.owned = np.frombuffer(row["owned"], U64)
         self.owners = np.frombuffer(row["owners"], np.int64)
 
-    @property
-    def size_bytes(self) -> int:
-        return sum(a.nbytes for a in (self.hash.words, self.fingerprints, self.counts, self.owned, self.owners))
-
     @staticmethod
     def row(keys: np.ndarray, counts: np.ndarray, owners: np.ndarray, min_count: int) -> dict:
         ph = PerfectHash.build(keys)
@@ -179,10 +184,11 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 _SHARD = "shard int, sizes binary, bits binary, fingerprints binary, counts binary, owned binary, owners binary"
 
 
-def build_index(docs: DataFrame, min_count: int = MIN_COUNT, min_chars: int = MIN_CHARS, shards: int | None = None) -> tuple[str, int]:
-    """Folder in the shared folder, and number, of the shards. Their number follows the shuffle's partitions, which follow the data."""
+def build_index(docs: DataFrame, min_count: int = MIN_COUNT, min_chars: int = MIN_CHARS, shards: int | None = None) -> tuple[str, int, int]:
+    """Folder in the shared folder, number and bytes of the shards. Their number grows with that of distinct lines."""
     spark = docs.sparkSession
-    shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = written(line_counts(docs, min_chars), "lines")
+    shards = shards or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // SHARD_LINES)
 
     def build(pdf):
         import pandas as pd
@@ -191,9 +197,9 @@ def build_index(docs: DataFrame, min_count: int = MIN_COUNT, min_chars: int = MI
         return pd.DataFrame([{"shard": int(pdf["shard"].iloc[0]), **Shard.row(keys, pdf["n"].to_numpy(), pdf["owner"].to_numpy(), min_count)}])
 
     path = shared_path(spark, "line-index")
-    counted = line_counts(docs, min_chars).withColumn("shard", F.pmod("line", F.lit(shards)).cast("int"))
+    counted = lines.withColumn("shard", F.pmod("line", F.lit(shards)).cast("int"))
     counted.groupBy("shard").applyInPandas(build, _SHARD).write.partitionBy("shard").parquet(path)
-    return path, shards
+    return path, shards, sum(n for _, n in files(path)) if shards else 0
 
 
 def _load(path: str, shard: int) -> Shard | None:
@@ -212,26 +218,50 @@ def dedup(docs: DataFrame, min_count: int = MIN_COUNT, min_chars: int = MIN_CHAR
 
     ``drop_empty`` leaves out documents that have lost all their lines with text, and the two counts.
     """
-    path, n_shards = build_index(docs, min_count, min_chars, shards)
+    path, n_shards, size = build_index(docs, min_count, min_chars, shards)
     counts = not drop_empty
     schema = T.StructType([*docs.schema.fields, *([T.StructField(free_name(docs, n), T.LongType()) for n in ("_n_lines", "_n_dropped")] if counts else [])])
+    routed = size > HELD_BYTES
+
+    def held_lookup():
+        """Whether lines occur often enough, and where they belong, by the shards that the task has read."""
+        known: dict[int, Shard | None] = {}
 
-    def rewrite(batch: pa.RecordBatch, known: dict):
+        def find(h: np.ndarray, rows: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            often, owner = np.zeros(len(h), bool), np.full(len(h), NO_OWNER, np.int64)
+            at = np.flatnonzero(h)
+            shard = (h[at].view(np.int64) % n_shards).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            for s, part in _runs(shard[order], at[order]):
+                if s not in known:
+                    known[s] = _load(path, s)
+                if known[s] is not None:
+                    often[part], owner[part] = known[s].owner(h[part], min_count)
+            return often, owner
+
+        return find
+
+    def answered(h: np.ndarray, rows: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The same by what came back with each row: its frequent lines and their owners."""
+        often, owner = np.zeros(len(h), bool), np.full(len(h), NO_OWNER, np.int64)
+        lines, owners = (batch.column(batch.num_columns - k) for k in (2, 1))
+        row, line, own = np.asarray(pc.list_parent_indices(lines)).astype(np.int64), np.asarray(pc.list_flatten(lines)).view(U64), np.asarray(pc.list_flatten(owners))
+        if not len(row):
+            return often, owner
+        key, wanted = (mix(x ^ mix(r.astype(U64), 5), 6) for x, r in ((line, row), (h, rows)))
+        by = np.argsort(key)
+        at = np.minimum(np.searchsorted(key[by], wanted), len(by) - 1)
+        often = (line[by][at] == h) & (row[by][at] == rows)
+        owner[often] = own[by][at[often]]
+        return often, owner
+
+    def rewrite(batch: pa.RecordBatch, find):
+        whole, batch = batch, batch.select(range(len(docs_columns)))
         texts = batch.column("text").cast(pa.string())
         data, offsets = utf8(texts)
         rows, starts, ends, h = _lines(data, offsets, min_chars)
         ids = _ids(batch)
-        often, owner = np.zeros(len(h), bool), np.full(len(h), NO_OWNER, np.int64)
-        at = np.flatnonzero(h)
-        shard = (h[at].view(np.int64) % n_shards).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        for s, part in _runs(shard[order], at[order]):
-            if s not in known:
-                known[s] = _load(path, s)
-                while len(known) > 1 and sum(x.size_bytes for x in known.values() if x) > HELD_BYTES:
-                    known.pop(next(iter(known)))
-            if known[s] is not None:
-                often[part], owner[part] = known[s].owner(h[part], min_count)
+        often, owner = find(h, rows, whole)
         # The first of equal lines within its document.
         first = np.zeros(len(h), bool)
         if len(h):
@@ -272,13 +302,60 @@ def dedup(docs: DataFrame, min_count: int = MIN_COUNT, min_chars: int = MIN_CHAR
             out = pa.RecordBatch.from_arrays([*out.columns, pa.array(n_lines.astype(np.int64)), pa.array(n_dropped.astype(np.int64))], schema.names)
         return out.filter(pa.array(keep)) if keep is not None else out
 
+    docs_columns = docs.columns
+
     def run(batches):
-        known: dict[int, Shard | None] = {}
+        find = answered if routed else held_lookup()
         for batch in batches:
             if batch.num_rows:
-                yield rewrite(batch, known)
+                yield rewrite(batch, find)
 
-    return docs.mapInArrow(run, schema)
+    if not routed:
+        return docs.mapInArrow(run, schema)
+    answers = _answers(docs, path, n_shards, min_count, min_chars)
+    key, lines, owners = (free_name(docs, n) for n in ("_key", "_lines", "_owners"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    joined = keyed.join(answers.select(F.col("key").alias(key), F.col("lines").alias(lines), F.col("owners").alias(owners)), key, "left")
+    return joined.select(*[joined[f"`{c}`"] for c in docs_columns], lines, owners).mapInArrow(run, schema)
+
+
+def _answers(docs: DataFrame, path: str, n_shards: int, min_count: int, min_chars: int) -> DataFrame:
+    """key (hash of a text), lines, owners: the frequent lines of every text that has some. Hashes go to the shards, a shard's to several tasks."""
+
+    def probes(batches):
+        for batch in batches:
+            keys = np.asarray(batch.column("key"))
+            data, offsets = utf8(batch.column("text"))
+            for lo, hi in groups(offsets, 1 << 24):
+                rows, _, _, h = _lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], min_chars)
+                some = np.flatnonzero(h)
+                h, k = h[some], keys[lo:hi][rows[some]]
+                shard = (h.view(np.int64) % n_shards).astype(np.int64)
+                by = np.lexsort((h, k, shard))
+                h, k, shard = h[by], k[by], shard[by]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])]) if len(h) else np.zeros(0, bool)
+                h, k, shard = h[new], k[new], shard[new]
+                begin = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(h) else np.zeros(0, np.int64)
+                parts = list(zip(begin.tolist(), [*begin[1:].tolist(), len(h)]))
+                salt = int(k[0]) % SALT if len(k) else 0
+                yield pa.RecordBatch.from_arrays([pa.array(shard[begin].astype(np.int32)), pa.array(np.full(len(begin), salt, np.int32)), *(pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()) for x in (k, h))], ["shard", "salt", "keys", "lines"])
+
+    def look(batches):
+        at, shard = None, None
+        for batch in batches:
+            for s, keys, lines in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "lines"))):
+                if s != at:
+                    at, shard = s, _load(path, s)
+                if shard is None:
+                    continue
+                k, h = np.frombuffer(keys, np.int64), np.frombuffer(lines, U64)
+                often, owner = shard.owner(h, min_count)
+                yield pa.RecordBatch.from_arrays([pa.array(k[often]), pa.array(h[often].view(np.int64)), pa.array(owner[often])], ["key", "line", "owner"])
+
+    text = F.col("text").cast("string")
+    asked = docs.select(F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(probes, "shard int, salt int, keys binary, lines binary")
+    found = asked.repartition("shard", "salt").sortWithinPartitions("shard").mapInArrow(look, "key long, line long, owner long").distinct()
+    return found.groupBy("key").agg(F.collect_list(F.struct("line", "owner")).alias("x")).select("key", F.col("x.line").alias("lines"), F.col("x.owner").alias("owners"))
 
 
 def _runs(keys: np.ndarray, values: np.ndarray):
