@@ -3,6 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps of ``docs`` with all
 their columns. ``run`` writes every stage's result to the shared folder before the
 next one reads it, so that a lost executor costs no more than the stage at hand.
+
+Defined results
+  * Rows are kept or left out whole, with all columns of ``documents`` in their order,
+    extra ones of any name too; only line dedup changes ``text``, and ``n_chars`` with it.
+  * Null and empty texts are never toxic, a near copy or a leak: they pass all stages but
+    mixing, which keeps or drops them by their hash as it does others. Texts of any
+    length are taken whole.
+  * Rows with null doc_id, and rows that repeat a doc_id, are scored, cut and filtered one
+    by one; in the near-copy stage they stay or go as their doc_id does (null stays).
+  * A document whose lines were all dropped as repeated goes; one that was empty before stays.
+  * Ties fall as each operator says (the lower doc_id, the least hash).
+  * Empty ``documents`` give an empty result; without ``labels`` nothing is toxic; without
+    ``benchmark`` nothing is a leak.
 """
 
 from __future__ import annotations

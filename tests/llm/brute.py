@@ -67,6 +67,30 @@ def near_groups(docs: list[tuple], n: int, t: tuple[int, int]) -> dict[int, int]
     return {d: root(d) for d in ids if sizes[root(d)] > 1}
 
 
+def near_pairs(docs: list[tuple], n: int, t: tuple[int, int]) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(a, b) to overlap and sizes, of classes of equal sets."""
+    least: dict[frozenset, int] = {}
+    for d, text in docs:
+        if d is not None and (s := gram_set(text, n)):
+            least[s] = min(d, least.get(s, d))
+    out = {}
+    for x, a in least.items():
+        for y, b in least.items():
+            if a < b and Fraction(len(x & y), len(x | y)) >= Fraction(*t):
+                out[a, b] = (len(x & y), len(x), len(y))
+    return out
+
+
+def near_links(docs: list[tuple], n: int, t: tuple[int, int], grouped: dict[int, int]) -> dict[int, int]:
+    """doc_id to the number of other classes that its own is linked with."""
+    ends = Counter(x for pair in near_pairs(docs, n, t) for x in pair)
+    least: dict[frozenset, int] = {}
+    own = {d: gram_set(text, n) for d, text in docs if d is not None}
+    for d, s in own.items():
+        least[s] = min(d, least.get(s, d))
+    return {d: ends[least[own[d]]] for d in grouped}
+
+
 def bm25_matches(docs: list[tuple], items: list[tuple], segment: int, threshold: float, least: float, gram: int, k1: float, b: float) -> list[tuple]:
     """(doc_id, item_id, score rounded) of rows (doc_id, text), each passage against each entry."""
     from geoloom.llm.decontaminate import split_item

@@ -80,10 +80,24 @@ def test_line_dedup(docs, shards):
     assert ordered(got) == ordered(brute.line_dedup(pairs(awkward()), 3, 10))
 
 
-def test_line_dedup_lets_shards_go(docs, monkeypatch):
+@pytest.mark.parametrize("shards", [1, 7])
+def test_line_dedup_beyond_what_a_task_holds(docs, tmp_path, monkeypatch, shards):
+    """Hashes go to the shards: each task reads a shard once."""
+    real, log = line_dedup._load, tmp_path / "loads"
+
+    def load(path, shard):
+        import os
+
+        with log.open("a") as f:
+            f.write(f"{os.getpid()} {shard}\n")
+        return real(path, shard)
+
     monkeypatch.setattr(line_dedup, "HELD_BYTES", 1)
-    got = line_dedup.dedup(docs.select("doc_id", "text"), 3, 10, shards=5).collect()
-    assert ordered(got) == ordered(brute.line_dedup(pairs(awkward()), 3, 10))
+    monkeypatch.setattr(line_dedup, "_load", load)
+    clash = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("key", "_key", "_lines", "lines", "owners")])
+    got = line_dedup.dedup(clash, 3, 10, shards=shards)
+    assert got.columns[: len(clash.columns)] == clash.columns
+    assert ordered((r["doc_id"], r["text"], r["_n_lines"], r["_n_dropped"]) for r in got.collect()) == ordered(brute.line_dedup(pairs(awkward()), 3, 10))
 
 
 def test_line_dedup_counts_beyond_a_byte(spark):
@@ -97,8 +111,23 @@ def test_line_dedup_counts_beyond_a_byte(spark):
 
 @pytest.mark.parametrize(("n", "t"), [(2, (1, 2)), (5, (7, 10)), (3, (1, 1))])
 def test_ngram_join(docs, n, t):
-    got = {r["doc_id"]: r["group_id"] for r in ngram_join.near_duplicates(docs, n, t).collect()}
+    rows = ngram_join.near_duplicates(docs, n, t).collect()
+    got = {r["doc_id"]: r["group_id"] for r in rows}
     assert got == brute.near_groups(pairs(awkward()), n, t) and got
+    assert {r["doc_id"]: r["n_links"] for r in rows} == brute.near_links(pairs(awkward()), n, t, got)
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_ngram_join_gives_all_pairs_and_cuts_long_lists(docs, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "HELD_PAIRS", 3 if block == 2 else 1 << 20)
+    r, w = random.Random(6), pool(1)
+    base = r.choices(w, k=40)
+    rows = [(i, " ".join([*base[:i], "changed", *base[i + 1 :]])) for i in range(30)] + [(100 + i, " ".join(base)) for i in range(3)]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    links, classes = ngram_join.near_pairs(df, 2, (1, 2))
+    assert {(x["a"], x["b"]): (x["overlap"], x["size_a"], x["size_b"]) for x in links.collect()} == brute.near_pairs(rows, 2, (1, 2))
+    assert {x["class_id"] for x in classes.filter("doc_id >= 100").collect()} == {100}
 
 
 def test_keep_one_keeps_columns_and_rows_without_group(docs):
