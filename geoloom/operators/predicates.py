@@ -54,20 +54,33 @@ def estimated_size(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
     return df.agg(F.coalesce(F.sum(sum((F.coalesce(w, F.lit(0)) for w in widths[1:]), F.coalesce(widths[0], F.lit(0)))), F.lit(0)).alias("size_bytes"))
 
 
+#: Boxes of an index that is broadcast (40 bytes each).
+SMALL_INDEX = 50_000
+
+
+def _cell_sizes(rows: DataFrame, index: DataFrame) -> tuple[float, float]:
+    """Sides of the grid's cells, in the data's own units: the mean side of the boxes, and at least a 256th of the index's extent."""
+    of = lambda df, lo, hi: (F.avg(F.col(hi) - F.col(lo)), F.max(hi) - F.min(lo))
+    w, h = ((df.agg(*of(df, *x), *of(df, *y)).first()) for df, x, y in ((rows, ("_bbox_xmin", "_bbox_xmax"), ("_bbox_ymin", "_bbox_ymax")), (index, ("minx", "maxx"), ("miny", "maxy"))))
+    side = lambda k: max(w[k] or 0.0, h[k] or 0.0, (h[k + 1] or 0.0) / 256) or 1.0
+    return side(0), side(2)
+
+
 def smallest_box(rows: DataFrame, row_id: str, index: DataFrame) -> DataFrame:
     """Each row with the smallest box of ``index`` (tile_id, minx, miny, maxx, maxy) that its own meets; the first of equals; rows without one go.
 
     The index is broadcast only while it is small; else the join is cut by a grid.
     """
     ranked = index.select("tile_id", "minx", "miny", "maxx", "maxy", ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).alias("_area"))
-    small = ranked.limit(50_001).count() <= 50_000
+    small = ranked.limit(SMALL_INDEX + 1).count() <= SMALL_INDEX
     meets = (F.col("_bbox_xmax") >= F.col("minx")) & (F.col("_bbox_xmin") <= F.col("maxx")) & (F.col("_bbox_ymax") >= F.col("miny")) & (F.col("_bbox_ymin") <= F.col("maxy"))
     if small:
         joined = rows.join(F.broadcast(ranked), meets)
     else:
-        cells = lambda a, b: F.explode(F.sequence(F.floor(a), F.floor(b)))
-        left = rows.withColumn("_gx", cells(F.col("_bbox_xmin"), F.col("_bbox_xmax"))).withColumn("_gy", cells(F.col("_bbox_ymin"), F.col("_bbox_ymax")))
-        right = ranked.withColumn("_gx", cells(F.col("minx"), F.col("maxx"))).withColumn("_gy", cells(F.col("miny"), F.col("maxy")))
+        wide, high = _cell_sizes(rows, ranked)
+        cells = lambda a, b, size: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+        left = rows.withColumn("_gx", cells("_bbox_xmin", "_bbox_xmax", wide)).withColumn("_gy", cells("_bbox_ymin", "_bbox_ymax", high))
+        right = ranked.withColumn("_gx", cells("minx", "maxx", wide)).withColumn("_gy", cells("miny", "maxy", high))
         joined = left.join(right, ["_gx", "_gy"]).filter(meets).drop("_gx", "_gy").dropDuplicates([row_id, "tile_id"])
     best = W.partitionBy(row_id).orderBy("_area", "tile_id")
     return joined.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_area", "minx", "miny", "maxx", "maxy")

@@ -65,13 +65,31 @@ def value_counts(df: DataFrame, columns: list[str], k: int = TOP_K) -> DataFrame
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = TOP_K, share: float = TOP_SHARE) -> dict[str, list[dict]]:
-    """The frequent values of columns in which they make up at least ``share`` of all; none of the others."""
+    """The frequent values of columns in which they make up at least ``share`` of all; none of the others.
+
+    A sketch first tells columns that can't reach the share (ids, prices), so that only
+    the values of the others are shuffled and counted.
+    """
+    columns = _concentrated(df, columns, k, share)
+    if not columns:
+        return {}
     found: dict[str, list] = {}
     for r in value_counts(df, columns, k).orderBy("name", "rank").collect():
         found.setdefault(r["name"], []).append(r)
     return {n: [{"value": r["value"], "count": r["n"]} for r in rows] for n, rows in found.items() if sum(r["n"] for r in rows) >= share * rows[0]["total"]}
 
 
+#: Items that the sketch of frequent values tracks, and what its estimates may miss of all values.
+TRACKED, MISSED = 10_000, 0.02
+
+
+def _concentrated(df: DataFrame, columns: list[str], k: int, share: float) -> list[str]:
+    """Columns whose ``k`` most frequent values may make up ``share`` of all."""
+    texts = df.select(*[text_of(df, n).alias(f"c{i}") for i, n in enumerate(columns)])
+    row = texts.agg(*[F.struct(F.count(f"c{i}").alias("n"), F.expr(f"approx_top_k(c{i}, {k}, {TRACKED})").alias("top")).alias(f"c{i}") for i in range(len(columns))]).first()
+    return [n for n, (total, top) in zip(columns, row) if total and sum(x["count"] for x in top or [] if x["item"] is not None) >= (share - MISSED) * total]
+
+
 def geometry_statistics(df: DataFrame) -> dict:
     """Box, types and vertices of the decodable geometries; ``df`` has the summary's columns."""
     types = {r["_gtype"]: r["n"] for r in df.filter("_gtype is not null").groupBy("_gtype").agg(F.count("*").alias("n")).collect()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -14,14 +13,16 @@ from pyspark.sql import types as T
 
 from geoloom.geo import wkb
 from geoloom.geo.mercator import DEGREES, METRES, UnsupportedCrsError
-from geoloom.sources.files import exists, files, read_bytes
+from geoloom.sources.files import exists, file_system, files, read_bytes
 
 RECORDS = 65_536
 
 
 class _Zip:
     def __init__(self, path: str) -> None:
-        self.zip = zipfile.ZipFile(io.BytesIO(read_bytes(path)))
+        # Opened in place: a range of a stored member is read alone, of a deflated one what comes before it is inflated and let go.
+        fs, p = file_system(path)
+        self.zip = zipfile.ZipFile(fs.open_input_file(p))
         self.names = {n.lower(): n for n in self.zip.namelist()}
 
     def layers(self) -> list[str]:
@@ -31,8 +32,9 @@ class _Zip:
         name = self.names.get((layer + suffix).lower())
         if name is None:
             return None
-        data = self.zip.read(name)
-        return data[offset:] if length is None else data[offset : offset + length]
+        with self.zip.open(name) as f:
+            f.seek(offset)
+            return f.read() if length is None else f.read(length)
 
 
 class _Folder:
