@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.session import prepare
-from geoloom.shared import shared_path, written
+from geoloom.shared import removed, shared_path, written
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,4 +39,4 @@ def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Rec
     return batch.set_column(i, batch.schema.field(i), values.cast(batch.schema.field(i).type))
 
 
-__all__ = ["documents", "free_name", "lowered", "read", "replace_column", "shared_path", "written"]
+__all__ = ["documents", "free_name", "lowered", "read", "removed", "replace_column", "shared_path", "written"]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import read, written
+from geoloom.llm.common import read, removed, written
 
 #: Production parameters: relative weights, share of all tokens to keep, nested budgets in quarters of it.
 WEIGHTS = {"src0": 8}
@@ -53,8 +53,8 @@ def sizes_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), doc_hash(F.col("doc_id")).alias("h"), n_tokens(F.col("text").cast("string")).alias("n_tokens"))
 
 
-def thresholds(sizes: DataFrame, weights: dict[str, int], default_weight: int, fraction: tuple[int, int], tiers: tuple[tuple[int, int], ...]) -> DataFrame:
-    """source, tier, threshold: tier i keeps the documents of the source whose hash is below."""
+def thresholds(sizes: DataFrame, weights: dict[str, int], default_weight: int, fraction: tuple[int, int], tiers: tuple[tuple[int, int], ...], states: list[DataFrame] | None = None) -> DataFrame:
+    """source, tier, threshold: tier i keeps the documents of the source whose hash is below. ``states`` gets the tables written on the way."""
     spark = sizes.sparkSession
     weight = F.lit(default_weight).cast("long")
     if weights:
@@ -79,6 +79,8 @@ def thresholds(sizes: DataFrame, weights: dict[str, int], default_weight: int, f
         over = running.join(open_.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.prefix") == F.col("o.prefix")) & (F.col("r.upto") > F.col("o.rest")))
         first = over.groupBy(F.col("o.source").alias("source"), "tier").agg(F.min(F.struct("bucket", F.expr("rest - (upto - n)").alias("rest"), "low", "high")).alias("b"))
         state = written(first.select("source", "tier", "b.*"), f"mix-level{level}")
+        if states is not None:
+            states.append(state)
         single = F.col("low") == F.col("high")
         found = state.filter(single).select("source", "tier", F.col("low").alias("threshold"))
         done = found if done is None else done.unionByName(found)
@@ -99,8 +101,11 @@ def _small(df: DataFrame, rows: int = 100_000) -> bool:
 def mix(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, fraction: tuple[int, int] = FRACTION, tiers: tuple[tuple[int, int], ...] = TIERS) -> tuple[DataFrame, DataFrame]:
     """The sizes of all documents, and per source the array of its tiers' thresholds."""
     sizes = written(sizes_of(docs), "mix-sizes")
-    by_source = thresholds(sizes, weights, default_weight, fraction, tiers).groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("tier", "threshold"))), lambda x: x["threshold"]).alias("limits"))
-    return sizes, written(by_source, "mix-thresholds")
+    states: list[DataFrame] = []
+    by_source = thresholds(sizes, weights, default_weight, fraction, tiers, states).groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("tier", "threshold"))), lambda x: x["threshold"]).alias("limits"))
+    limits = written(by_source, "mix-thresholds")
+    removed(*states)
+    return sizes, limits
 
 
 def _within(limits: DataFrame, rows: DataFrame) -> DataFrame:
@@ -119,7 +124,8 @@ def tiers_of(sizes: DataFrame, limits: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The documents within the full budget of their source, with all their columns, whatever their names."""
-    _, limits = mix(docs, **parameters)
+    sizes, limits = mix(docs, **parameters)
+    removed(sizes)
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("source"), doc_hash(docs["doc_id"]).alias("h"))
     return _within(limits, packed).select("row.*")
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, lowered, read, written
+from geoloom.llm.common import documents, lowered, read, removed, written
 from geoloom.llm.tokens import U64, WORD, Lookup, Tokens, groups, rows_of, utf8
 
 #: Bound of the fit: labelled documents; their words are not bounded.
@@ -337,6 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k:
     sample = written(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "toxicity-sample")
     size, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not size:
+        removed(chosen, sample)
         return Model(np.zeros(0, U64), Index.build(none, none, [], np.zeros(0)), ([], []), None, k)
     a, n, p = F.col("toxic").cast("double"), F.col("n").cast("double"), F.lit(bad / size)
     clean = F.when(n > a, (n - a) * F.ln((n - a) / (n * (1 - p)))).otherwise(0.0)
@@ -379,6 +380,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k:
 
     model.steps = isotonic([tuple(r) for r in sample.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(calibration, "vote double, toxic int").collect()])
     shared.destroy()
+    removed(chosen, sample)
     return model
 
 

@@ -130,6 +130,13 @@ def test_ngram_join_gives_all_pairs_and_cuts_long_lists(docs, monkeypatch, block
     assert {x["class_id"] for x in classes.filter("doc_id >= 100").collect()} == {100}
 
 
+def test_texts_that_share_a_doc_id_count_as_the_least_set(spark):
+    a, b, c = ("one two three four five six seven", "one two three four five six seven eight nine", "x y z")
+    df = spark.createDataFrame([(1, c), (1, a + " " + b + " ten"), (1, "X, y z!"), (2, b), (3, a), (4, "x y z"), (3, "a b c d e f g h i j k l")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["group_id"], r["n_links"]) for r in ngram_join.near_duplicates(df, 3, (1, 2)).collect()}
+    assert got == {1: (1, 0), 4: (1, 0), 2: (2, 1), 3: (2, 1)}
+
+
 def test_keep_one_keeps_columns_and_rows_without_group(docs):
     clash = docs.withColumn("_gone", F.lit(1)).withColumn("label", F.lit("x"))
     kept = ngram_join.keep_one(clash)
