@@ -60,7 +60,8 @@ def geom_summary(geometry: pd.Series) -> pd.DataFrame:
         npts[i], gtype[i] = len(wkb.vertices(g)), g[0]
     frame = pd.DataFrame(out)
     frame["npts"], frame["gtype"] = pd.array(npts, "Int32"), gtype
-    return frame.where(frame.notna(), None)
+    # NaN becomes null on the way to Spark.
+    return frame
 
 
 def with_summary(df: DataFrame, geom_col: str = "geometry") -> DataFrame:
