@@ -130,6 +130,24 @@ def test_ngram_join_gives_all_pairs_and_cuts_long_lists(docs, monkeypatch, block
     assert {x["class_id"] for x in classes.filter("doc_id >= 100").collect()} == {100}
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6))
+def test_sketches_bound_the_overlap(seed):
+    r = np.random.default_rng(seed)
+    grams = np.unique(r.integers(0, 2**63, 900).astype(np.uint64))
+    sets = [np.sort(r.choice(grams, r.integers(1, 600), replace=False)) for _ in range(2)]
+    order = ngram_join.Order(np.full(1 << ngram_join.BUCKET_BITS, 3))
+    sketches = []
+    for x in sets:
+        numbers = order.number(x)
+        f = order.fragments(numbers)
+        sizes = np.bincount(f, minlength=ngram_join.FRAGMENTS).astype(np.uint32)
+        odd = np.bincount(f.astype(np.int64) * ngram_join.SKETCH_BITS + (numbers & np.uint64(ngram_join.SKETCH_BITS - 1)).astype(np.int64), minlength=ngram_join.FRAGMENTS * ngram_join.SKETCH_BITS) & 1
+        sketches.append(np.concatenate([sizes.view(np.uint8), np.packbits(odd.astype(bool))])[None])
+    most = ngram_join.most_common(*sketches)[0]
+    assert len(np.intersect1d(*sets)) <= most <= min(map(len, sets))
+
+
 def test_texts_that_share_a_doc_id_count_as_the_least_set(spark):
     a, b, c = ("one two three four five six seven", "one two three four five six seven eight nine", "x y z")
     df = spark.createDataFrame([(1, c), (1, a + " " + b + " ten"), (1, "X, y z!"), (2, b), (3, a), (4, "x y z"), (3, "a b c d e f g h i j k l")], "doc_id long, text string")
