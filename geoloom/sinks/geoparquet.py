@@ -55,11 +55,13 @@ def geo_document(column: str, box, crs: object, kinds: set[str]) -> dict:
     return {"version": "1.1.0", "primary_column": column, "columns": {column: about}}
 
 
-def zorder_key(bits: int = SFC_BITS) -> Column:
-    """Z-order of the centroid within the box of its own tile; rows without geometry last."""
+def with_zorder(df: DataFrame, bits: int = SFC_BITS) -> DataFrame:
+    """``df`` with _key: Z-order of the centroid within the box of its own tile; rows without geometry last."""
     by = W.partitionBy("_tile_id")
-    of = lambda c, lo, hi: scaled(F.col(c), F.min(lo).over(by), F.max(hi).over(by), bits)
-    return F.coalesce(morton(of("_cx", BBOX[0], BBOX[2]), of("_cy", BBOX[1], BBOX[3]), bits), F.lit(2**63 - 1))
+    # Columns of their own at each step: each is used many times by the next.
+    ends = df.withColumns({"_x0": F.min(BBOX[0]).over(by), "_y0": F.min(BBOX[1]).over(by), "_x1": F.max(BBOX[2]).over(by), "_y1": F.max(BBOX[3]).over(by)})
+    at = ends.withColumns({"_zx": scaled(F.col("_cx"), F.col("_x0"), F.col("_x1"), bits), "_zy": scaled(F.col("_cy"), F.col("_y0"), F.col("_y1"), bits)})
+    return at.withColumn("_key", F.coalesce(morton(F.col("_zx"), F.col("_zy"), bits), F.lit(2**63 - 1))).drop("_x0", "_y0", "_x1", "_y1", "_zx", "_zy")
 
 
 def write_tiles(df: DataFrame, path: str, geom_col: str = "geometry", crs: object = None, sort: str = "zorder", sort_keys: list[str] | None = None, covering_bbox: bool = True, compression: str = "zstd", row_group: int = ROW_GROUP, sfc_bits: int = SFC_BITS) -> DataFrame:
@@ -71,7 +73,7 @@ def write_tiles(df: DataFrame, path: str, geom_col: str = "geometry", crs: objec
     columns (with ``sort_keys``, ``-name`` descending) or none.
     """
     if sort in ("zorder", "hilbert"):
-        df = df.withColumn("_key", zorder_key(sfc_bits))
+        df = with_zorder(df, sfc_bits)
         df = df.repartition("_tile_id").sortWithinPartitions("_tile_id", "_key").drop("_key")
     elif sort == "columns" and sort_keys:
         keys = [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in sort_keys]
