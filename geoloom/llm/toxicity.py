@@ -328,8 +328,8 @@ def _document_frequencies(docs: DataFrame, features: np.ndarray) -> tuple[np.nda
     return df, int(n[f < 0].sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k: int = NEIGHBOURS) -> Model:
-    """The model of ``docs`` (doc_id, lower-cased text) and labels (doc_id, toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k: int = NEIGHBOURS, by_label: bool = True) -> Model:
+    """The model of ``docs`` (doc_id, lower-cased text) and labels (doc_id, toxic). Without ``by_label`` weights are TF-IDF alone."""
     none = np.zeros(0, np.int64)
     by_doc = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = written(by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "toxicity-labels")
@@ -341,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k:
         return Model(np.zeros(0, U64), Index.build(none, none, [], np.zeros(0)), ([], []), None, k)
     a, n, p = F.col("toxic").cast("double"), F.col("n").cast("double"), F.lit(bad / size)
     clean = F.when(n > a, (n - a) * F.ln((n - a) / (n * (1 - p)))).otherwise(0.0)
-    gain = F.when(a > n * p, a * F.ln(a / (n * p)) + clean).otherwise(0.0) if 0 < bad < size else F.lit(0.0)
+    gain = F.when(a > n * p, a * F.ln(a / (n * p)) + clean).otherwise(0.0) if by_label and 0 < bad < size else F.lit(0.0)
     # The words of at most max_labelled documents, 16 bytes each.
     terms = _term_stats(sample).select("term", gain.alias("gain")).toArrow()
     features = np.asarray(terms["term"]).view(U64)
