@@ -122,6 +122,7 @@ def test_ngram_join_gives_all_pairs_and_cuts_long_lists(docs, monkeypatch, block
     monkeypatch.setattr(ngram_join, "LIST_BLOCK", block)
     monkeypatch.setattr(ngram_join, "HELD_PAIRS", 3 if block == 2 else 1 << 20)
     monkeypatch.setattr(ngram_join, "SHORT", 4 if block == 2 else 64)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 2 if block == 2 else 128)
     r, w = random.Random(6), pool(1)
     base = r.choices(w, k=40)
     rows = [(i, " ".join([*base[:i], "changed", *base[i + 1 :]])) for i in range(30)] + [(100 + i, " ".join(base)) for i in range(3)]
