@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import brute
 import numpy as np
@@ -368,6 +369,28 @@ def test_ledger_scans_unseen_pairs_alone(spark, tmp_path):
     assert {r["rule_version"] for r in secret_scan.findings(more, ledger, rules).collect() if r["rule_id"] == "aws-access-key"} == {3}
 
 
+def test_a_large_increment_finds_the_same_and_shuffles_no_text(spark, tmp_path, monkeypatch):
+    key = "AKIA" + "A" * 16
+    v = "doc_id long, path string, text string"
+    old = [(1, "a", f"x {key} {key}"), (2, "b", f"x {key} {key}"), (3, "c", ""), (4, "d", None), (1, "a", f"x {key} {key}")]
+    new = [*old, (None, "e", "password=deadbeef00"), (6, "f", f"password=deadbeef00 {key}"), (7, "g", f"password=deadbeef00 {key}")]
+    newer = (*secret_scan.RULES[1:], secret_scan.Rule("aws-access-key", 3, "AKIA[0-9A-Z]{15}", "AKIA"))
+    each_way, plans = [], []
+    for few in (100_000, 0):
+        monkeypatch.setattr(secret_scan, "FEW", few)
+        ledger = str(tmp_path / f"ledger{few}")
+        for rows, rules in ((old, secret_scan.RULES), (new, secret_scan.RULES), (new, newer)):
+            df = spark.createDataFrame(rows, v)
+            secret_scan.scan_increment(df, ledger, rules)
+        tables = [spark.read.option("recursiveFileLookup", True).parquet(f"{ledger}/{x}") for x in ("findings", "scanned")]
+        each_way.append([ordered(t.collect()) for t in tables] + [ordered(secret_scan.findings(df, ledger, newer).collect())])
+        # The texts are read anew for the scan.
+        todo = spark.createDataFrame([("0" * 64, 1, ["aws-access-key@3"])], "blob string, doc_id long, todo array<string>")
+        plans.append(spark._jvm.PythonSQLUtils.explainString(secret_scan._scanned(df, todo, newer, few > 0)._jdf.queryExecution(), "formatted"))
+    assert each_way[0] == each_way[1] and len(each_way[0][2]) == 8
+    assert not [x for plan in plans for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan) if "text#" in x]
+
+
 # --- URLs ---------------------------------------------------------------------------
 
 
