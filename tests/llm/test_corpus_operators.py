@@ -133,6 +133,60 @@ def test_ngram_join_gives_all_pairs_and_cuts_long_lists(docs, monkeypatch, block
     assert {x["class_id"] for x in classes.filter("doc_id >= 100").collect()} == {100}
 
 
+def clustered_rows() -> list[tuple]:
+    """Two clusters that share a passage, with texts that no cluster holds, copies, and texts that share it too."""
+    r, w = random.Random(8), pool(1)
+    shared = r.choices(w, k=25)
+    rows = []
+    for c, count in enumerate((60, 40)):
+        base = shared + r.choices(w, k=45)
+        for i in range(count):
+            text = [x if r.random() > 0.03 else f"changed{r.randrange(50)}" for x in base]
+            rows.append((1000 * c + i, " ".join(text[: r.choice((70, 70, 50))])))
+    rows += [(3000 + i, " ".join(shared + r.choices(w, k=12 + i))) for i in range(6)] + [(4000 + i, rows[3][1]) for i in range(3)]
+    return rows
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_ngram_join_writes_no_pairs_of_a_cluster(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "CLUSTER_DOCS", block)
+    if block == 7:
+        monkeypatch.setattr(ngram_join, "LIST_BLOCK", 2)
+        monkeypatch.setattr(ngram_join, "HELD_PAIRS", 3)
+        monkeypatch.setattr(ngram_join, "SHORT", 4)
+    rows, counts, whole = clustered_rows(), {}, ngram_join.written
+
+    def counted(df, name):
+        out = whole(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(df, 2, (1, 2)).collect()
+    groups = brute.near_groups(rows, 2, (1, 2))
+    assert {r["doc_id"]: r["group_id"] for r in got} == groups
+    assert {r["doc_id"]: r["n_links"] for r in got} == brute.near_links(rows, 2, (1, 2), groups)
+    every = brute.near_pairs(rows, 2, (1, 2))
+    assert len(every) > 1500 and counts["jaccard-pairs"] < 200 and counts["jaccard-candidates"] < len(every) / 2
+    links, _ = ngram_join.near_pairs(df, 2, (1, 2))
+    assert sorted((x["a"], x["b"], x["overlap"], x["size_a"], x["size_b"]) for x in links.collect()) == sorted((*k, *v) for k, v in every.items())
+
+
+@pytest.mark.parametrize("dense", [0, 16, 10**9])
+def test_overlaps_of_blocks(monkeypatch, dense):
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    r = np.random.default_rng(3)
+    sides = []
+    for rows in (9, 13):
+        sets_ = [[np.unique(r.integers(100 * f, 100 * f + r.choice([5, 60]), 20).astype(np.uint64)) for f in range(2)] for _ in range(rows)]
+        sides.append((sets_, [(np.repeat(np.arange(rows), [len(x[f]) for x in sets_]), np.concatenate([x[f] for x in sets_])) for f in range(2)]))
+    (a, of_a), (b, of_b) = sides
+    want = [[sum(len(np.intersect1d(x[f], y[f])) for f in range(2)) for y in b] for x in a]
+    assert ngram_join._overlaps(of_a, of_b, len(a), len(b)).tolist() == want
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10**6))
 def test_sketches_bound_the_overlap(seed):
