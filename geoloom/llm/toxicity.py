@@ -50,6 +50,8 @@ NEIGHBOURS, THRESHOLD = 15, 0.5
 BLOCK, ROWS, FIRST = 16, 128, 16
 #: Words of more than a 20th of the examples, at most 512, have block maxima; blocks are formed by so many terms, those of most weight.
 COMMON, MAX_COMMON, ALIKE = 20, 512, 256
+#: Examples whose terms are weighed at a time as the index is made.
+RUN = 512
 #: Above the error of sums in single precision.
 SLACK = 1e-4
 #: Added to a distance before it is inverted.
@@ -120,22 +122,34 @@ class Index:
         feature, count = (np.array([x for v in vectors for x in part(v)], np.int32) for part in (dict.keys, dict.values))
         return cls(ids, toxic, idf, first, feature, count)
 
+    def _runs(self) -> Iterator[tuple[np.ndarray, slice]]:
+        """Some examples at a time: the example of each of their terms, and where these lie. Whole columns would be held several times over."""
+        for lo in range(0, len(self.ids), RUN):
+            first = self.first[lo : lo + RUN + 1]
+            yield np.repeat(np.arange(lo, lo + len(first) - 1), np.diff(first)), slice(int(first[0]), int(first[-1]))
+
     @cached_property
     def weights(self) -> np.ndarray:
-        row = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
-        return unit(row, self.feature, self.count, self.idf)
+        out = np.empty(len(self.feature))
+        for row, own in self._runs():
+            out[own] = unit(row - row[0] if len(row) else row, self.feature[own], self.count[own], self.idf)
+        return out
 
     @cached_property
     def place(self) -> np.ndarray:
         """The place of each example in an order in which examples that are alike stand together: halves by the axis of most variance, again and again."""
         n, w = len(self.ids), self.weights
-        row = np.repeat(np.arange(n), np.diff(self.first))
-        most = np.argsort(-np.bincount(self.feature, w * w, len(self.idf)), kind="stable")[:ALIKE]
+        total = np.zeros(len(self.idf))
+        for _, own in self._runs():
+            total += np.bincount(self.feature[own], w[own] ** 2, len(total))
+        most = np.argsort(-total, kind="stable")[:ALIKE]
         rank = np.full(len(self.idf), -1)
         rank[most] = np.arange(len(most))
-        there = rank[self.feature] >= 0
         x = np.zeros((n, len(most)), np.float32)
-        x[row[there], rank[self.feature[there]]] = w[there]
+        for row, own in self._runs():
+            at = rank[self.feature[own]]
+            there = at >= 0
+            x[row[there], at[there]] = w[own][there]
         x -= x.mean(0)
         axes = np.random.default_rng(0).normal(size=(len(most), min(8, len(most)))).astype(np.float32)
         for _ in range(6):
@@ -162,19 +176,27 @@ class Index:
     def lists(self) -> Lists:
         # Places beyond the last example stay empty.
         blocks = -(-len(self.ids) // BLOCK)
-        at = np.repeat(self.place, np.diff(self.first))
-        order = np.lexsort((at, self.feature))
-        f, e, w = self.feature[order], at[order].astype(np.int32), self.weights[order].astype(np.float32)
-        df = np.bincount(f, minlength=len(self.idf))
+        df = np.zeros(len(self.idf), np.int64)
+        for _, own in self._runs():
+            df += np.bincount(self.feature[own], minlength=len(df))
         common = np.argsort(-df, kind="stable")[:MAX_COMMON]
         common = common[df[common] * COMMON > len(self.ids)]
         rank = np.full(len(self.idf), -1)
         rank[common] = np.arange(len(common))
         matrix = np.zeros((blocks * BLOCK, len(common)), np.float32)
-        there = rank[f] >= 0
-        matrix[e[there], rank[f[there]]] = w[there]
+        rare, n = int(df.sum() - df[common].sum()), 0
+        f, e, w = np.empty(rare, np.int32), np.empty(rare, np.int32), np.empty(rare, np.float32)
+        for row, own in self._runs():
+            at, of, weight = rank[self.feature[own]], self.place[row], self.weights[own].astype(np.float32)
+            there = at >= 0
+            matrix[of[there], at[there]] = weight[there]
+            m = n + int((~there).sum())
+            f[n:m], e[n:m], w[n:m], n = self.feature[own][~there], of[~there], weight[~there], m
         matrix = matrix.reshape(blocks, BLOCK, len(common))
-        f, e, w = f[~there], e[~there], w[~there]
+        order = np.lexsort((e, f))
+        f = f[order]
+        e = e[order]
+        w = w[order]
         return Lists(rank, matrix, np.ascontiguousarray(matrix.max(1).T), np.searchsorted(f, np.arange(len(self.idf) + 1)), e, w)
 
     def searched(self, row: np.ndarray, f: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

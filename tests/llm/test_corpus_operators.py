@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import brute
 import numpy as np
@@ -560,6 +561,27 @@ def test_index_search_is_exhaustive(seed, k):
     assert got == brute.nearest(q, vectors, idf, k)
 
 
+def test_index_holds_no_whole_columns_several_times():
+    r = np.random.default_rng(5)
+    n, each, terms = 6000, 150, 20000
+    feature = np.concatenate([np.sort(r.choice(terms, each, replace=False, p=(p := 1 / np.arange(20.0, terms + 20)) / p.sum())) for _ in range(n)]).astype(np.int32)
+    count, first = r.integers(1, 9, n * each).astype(np.int32), np.arange(0, n * each + 1, each)
+    idf = 1 + np.log((1 + n) / (1 + np.bincount(feature, minlength=terms)))
+    index = toxicity.Index(np.arange(n), np.arange(n) % 2, idf, first, feature, count)
+    tracemalloc.start()
+    weights = index.weights
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * weights.nbytes
+    assert np.array_equal(weights, toxicity.unit(np.repeat(np.arange(n), each), feature, count, idf))
+    lists = index.lists
+    got = {(f, e): w for f in range(terms) for e, w in zip(lists.example[lists.start[f] : lists.start[f + 1]].tolist(), lists.weight[lists.start[f] : lists.start[f + 1]].tolist())}
+    whole = lists.matrix.reshape(-1, lists.matrix.shape[2])
+    for x, f, e in zip(weights.astype(np.float32).tolist(), feature.tolist(), np.repeat(index.place, each).tolist()):
+        assert x == (whole[e, lists.rank[f]] if lists.rank[f] >= 0 else got.pop((f, e)))
+    assert not got and lists.rank.max() > 0
+
+
 def test_isotonic():
     steps, scores = toxicity.isotonic([(0.1, 0), (0.2, 1), (0.3, 0), (0.9, 1), (0.9, 1)])
     assert steps == sorted(steps) and scores == sorted(scores) and scores[-1] > 0.8
