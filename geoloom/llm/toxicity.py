@@ -8,8 +8,10 @@ Examples that are alike stand together, in blocks of ``BLOCK``; long postings li
 have the largest weight of every block, short ones are summed whole. For a document
 the bounds of all blocks are summed; the blocks of the greatest bounds are searched
 first, and then those alone whose bound reaches the k-th best cosine found there: the
-neighbours are those of an exhaustive search. Every document that shares a word with
-an example is searched. Neighbours vote by inverse distance, and the votes are calibrated by isotonic regression on the sample, each
+neighbours are those of an exhaustive search. One task makes the index, as files in the
+shared folder that searching processes map, so that none holds a copy of its own (where
+the folder is not one of the machine's file systems each reads them whole). Every
+document that shares a word with an example is searched. Neighbours vote by inverse distance, and the votes are calibrated by isotonic regression on the sample, each
 example left out of its own search. Neighbours and similarities are the evidence.
 
 Defined results
@@ -31,16 +33,20 @@ Defined results
 from __future__ import annotations
 
 import math
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, lowered, read, removed, written
+from geoloom.llm.common import documents, lowered, read, removed, shared_path, written
 from geoloom.llm.tokens import U64, WORD, Lookup, Tokens, groups, rows_of, utf8
 
 #: Bound of the fit: labelled documents; their words are not bounded.
@@ -58,6 +64,39 @@ SLACK = 1e-4
 NEAR = 0.05
 
 
+class Files:
+    """Arrays in files of a folder of this machine, mapped: their pages are no process's own."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.maps = folder, []
+
+    def new(self, name: str, shape: int | tuple[int, ...], dtype) -> np.ndarray:
+        self.maps.append(np.lib.format.open_memmap(os.path.join(self.folder, f"{name}.npy"), "w+", dtype, shape if isinstance(shape, tuple) else (shape,)))
+        return np.asarray(self.maps[-1])
+
+    def keep(self, name: str, values: np.ndarray) -> None:
+        np.save(os.path.join(self.folder, f"{name}.npy"), values)
+
+    def flush(self) -> None:
+        for m in self.maps:
+            m.flush()
+
+
+class Memory:
+    """The same, held by the process."""
+
+    def new(self, name: str, shape: int | tuple[int, ...], dtype) -> np.ndarray:
+        return np.zeros(shape, dtype)
+
+
+def _array(fs: pafs.FileSystem, root: str, name: str) -> np.ndarray:
+    """An array that ``Files`` has made: mapped if the file is on this machine, else read whole."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.asarray(np.load(f"{root}/{name}.npy", mmap_mode="r"))
+    with fs.open_input_file(f"{root}/{name}.npy") as f:
+        return np.load(f)
+
+
 @dataclass
 class Lists:
     """Inverted lists over places of examples.
@@ -115,6 +154,24 @@ class Index:
     first: np.ndarray
     feature: np.ndarray
     count: np.ndarray
+    made: Files | Memory = Memory()
+
+    @classmethod
+    def load(cls, fs: pafs.FileSystem, root: str) -> Index:
+        """An index that ``save`` has made. What only its making needs isn't there."""
+        of = lambda name: _array(fs, root, name)
+        index = cls(*map(of, ("ids", "toxic", "idf", "first", "feature")), np.zeros(0, np.int32))
+        index.weights, index.by_place = of("weights"), of("by_place")
+        index.lists = Lists(*map(of, ("rank", "matrix", "most", "start", "example", "weight")))
+        return index
+
+    def save(self) -> None:
+        """All that a search reads, in the folder of ``made`` (``Files``)."""
+        for name in ("ids", "toxic", "idf", "first", "feature", "by_place"):
+            self.made.keep(name, getattr(self, name))
+        for name in ("rank", "most", "start"):
+            self.made.keep(name, getattr(self.lists, name))
+        self.made.flush()
 
     @classmethod
     def build(cls, ids: np.ndarray, toxic: np.ndarray, vectors: list[dict[int, int]], idf: np.ndarray) -> Index:
@@ -130,7 +187,7 @@ class Index:
 
     @cached_property
     def weights(self) -> np.ndarray:
-        out = np.empty(len(self.feature))
+        out = self.made.new("weights", len(self.feature), np.float64)
         for row, own in self._runs():
             out[own] = unit(row - row[0] if len(row) else row, self.feature[own], self.count[own], self.idf)
         return out
@@ -183,21 +240,28 @@ class Index:
         common = common[df[common] * COMMON > len(self.ids)]
         rank = np.full(len(self.idf), -1)
         rank[common] = np.arange(len(common))
-        matrix = np.zeros((blocks * BLOCK, len(common)), np.float32)
-        rare, n = int(df.sum() - df[common].sum()), 0
-        f, e, w = np.empty(rare, np.int32), np.empty(rare, np.int32), np.empty(rare, np.float32)
-        for row, own in self._runs():
-            at, of, weight = rank[self.feature[own]], self.place[row], self.weights[own].astype(np.float32)
-            there = at >= 0
-            matrix[of[there], at[there]] = weight[there]
-            m = n + int((~there).sum())
-            f[n:m], e[n:m], w[n:m], n = self.feature[own][~there], of[~there], weight[~there], m
-        matrix = matrix.reshape(blocks, BLOCK, len(common))
-        order = np.lexsort((e, f))
-        f = f[order]
-        e = e[order]
-        w = w[order]
-        return Lists(rank, matrix, np.ascontiguousarray(matrix.max(1).T), np.searchsorted(f, np.arange(len(self.idf) + 1)), e, w)
+        matrix = self.made.new("matrix", (blocks, BLOCK, len(common)), np.float32)
+        flat = matrix.reshape(blocks * BLOCK, len(common))
+        start = np.cumsum(np.concatenate([[0], np.where(rank < 0, df, 0)]))
+        example, weights = (self.made.new(name, int(start[-1]), dtype) for name, dtype in (("example", np.int32), ("weight", np.float32)))
+        # In order of places, each term goes to the next free place of its list.
+        free = start[:-1].copy()
+        for lo in range(0, len(self.ids), RUN):
+            some = self.by_place[lo : lo + RUN]
+            size = self.first[some + 1] - self.first[some]
+            inside = np.arange(size.sum()) + np.repeat(self.first[some] - np.cumsum(size) + size, size)
+            f, w, of = self.feature[inside], self.weights[inside].astype(np.float32), np.repeat(np.arange(lo, lo + len(some)), size)
+            there = rank[f] >= 0
+            flat[of[there], rank[f[there]]] = w[there]
+            f, w, of = f[~there], w[~there], of[~there]
+            by = np.argsort(f, kind="stable")
+            f = f[by]
+            begin = np.flatnonzero(np.diff(f, prepend=-1))
+            n = np.diff(np.append(begin, len(f)))
+            to = free[f] + np.arange(len(f)) - np.repeat(begin, n)
+            example[to], weights[to] = of[by], w[by]
+            free[f[begin]] += n
+        return Lists(rank, matrix, np.ascontiguousarray(matrix.max(1).T), start, example, weights)
 
     def searched(self, row: np.ndarray, f: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of each row with terms, in any order: row, examples and cosines of the k greatest; ties to the lower doc_id."""
@@ -259,13 +323,25 @@ def unit(row: np.ndarray, feature: np.ndarray, count: np.ndarray, idf: np.ndarra
 
 @dataclass
 class Model:
-    features: np.ndarray
-    index: Index
+    #: The folder of the index; None without examples. A model goes to tasks without its index.
+    path: str | None
     #: Isotonic steps: votes at which the score rises, and the scores.
     steps: tuple[list[float], list[float]]
     without: float | None
     k: int = NEIGHBOURS
 
+    def __getstate__(self) -> dict:
+        return {x: self.__dict__[x] for x in ("path", "steps", "without", "k")}
+
+    @cached_property
+    def index(self) -> Index:
+        none = np.zeros(0, np.int64)
+        return Index.build(none, none, [], np.zeros(0)) if self.path is None else Index.load(*_filesystem(self.path))
+
+    @cached_property
+    def features(self) -> np.ndarray:
+        return np.zeros(0, U64) if self.path is None else _array(*_filesystem(self.path), "features")
+
     def votes(self, row: np.ndarray, f: np.ndarray, c: np.ndarray, ids: list[int | None]) -> Iterator[tuple[int, float, list[int], list[float]]]:
         """Row, vote, neighbours and cosines of the rows that have neighbours; ids are those of all rows."""
         for r, near, cosine in self.index.searched(row, f, c, self.k + 1):
@@ -283,6 +359,35 @@ class Model:
         return self.steps[1][max(0, int(np.searchsorted(self.steps[0], vote + 1e-12, "right")) - 1)]
 
 
+def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+
+
+def make_index(fs: pafs.FileSystem, root: str, rows: Iterator[tuple[int, int, bytes, bytes]], features: np.ndarray, idf: np.ndarray) -> tuple[int, int]:
+    """The files of the index of examples (doc_id, toxic, terms and counts as bytes), in order of doc_id; how many there are, and how many are toxic. Without any there are no files."""
+    local = isinstance(fs, pafs.LocalFileSystem)
+    with tempfile.TemporaryDirectory(prefix="geoloom-") as scratch:
+        folder = root if local else os.path.join(scratch, "index")
+        os.makedirs(folder)
+        ids, toxic, size = [], [], []
+        with open(os.path.join(scratch, "feature"), "wb") as f, open(os.path.join(scratch, "count"), "wb") as c:
+            for doc_id, bad, terms, counts in rows:
+                ids.append(doc_id)
+                toxic.append(bad)
+                size.append(f.write(terms) // 4)
+                c.write(counts)
+        if not ids:
+            return 0, 0
+        feature, count = (np.asarray(np.memmap(os.path.join(scratch, x), np.int32, "r")) for x in ("feature", "count"))
+        made = Files(folder)
+        made.keep("features", features)
+        Index(np.array(ids, np.int64), np.array(toxic, np.int64), idf, np.cumsum([0, *size]), feature, count, made).save()
+        if not local:
+            fs.create_dir(root)
+            pafs.copy_files(folder, root, source_filesystem=pafs.LocalFileSystem(), destination_filesystem=fs)
+    return len(ids), sum(toxic)
+
+
 def isotonic(pairs: list[tuple[float, int]]) -> tuple[list[float], list[float]]:
     """Pool adjacent violators: lowest vote and mean label of each pool, smoothed by one half of each label."""
     pools: list[list[float]] = []
@@ -352,7 +457,6 @@ def _document_frequencies(docs: DataFrame, features: np.ndarray) -> tuple[np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k: int = NEIGHBOURS, by_label: bool = True) -> Model:
     """The model of ``docs`` (doc_id, lower-cased text) and labels (doc_id, toxic). Without ``by_label`` weights are TF-IDF alone."""
-    none = np.zeros(0, np.int64)
     by_doc = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = written(by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "toxicity-labels")
     # At most max_labelled rows of 12 bytes.
@@ -360,7 +464,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k:
     size, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not size:
         removed(chosen, sample)
-        return Model(np.zeros(0, U64), Index.build(none, none, [], np.zeros(0)), ([], []), None, k)
+        return Model(None, ([], []), None, k)
     a, n, p = F.col("toxic").cast("double"), F.col("n").cast("double"), F.lit(bad / size)
     clean = F.when(n > a, (n - a) * F.ln((n - a) / (n * (1 - p)))).otherwise(0.0)
     gain = F.when(a > n * p, a * F.ln(a / (n * p)) + clean).otherwise(0.0) if by_label and 0 < bad < size else F.lit(0.0)
@@ -382,26 +486,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k:
                 blobs = (pa.array([x[lo:hi].astype(np.int32).tobytes() for lo, hi in parts], pa.binary()) for x in (f, c))
                 yield pa.RecordBatch.from_arrays([*(batch.column(x).take(pa.array(row[cut])) for x in ("doc_id", "toxic")), *blobs], ["doc_id", "toxic", "f", "c"])
 
-    # A document's features go to the driver as bytes.
-    found = sample.mapInArrow(vectors, "doc_id long, toxic int, f binary, c binary").toArrow()
-    found = found.take(pa.array(np.argsort(np.asarray(found["doc_id"]))))
-    f, c = (found[x].to_pylist() for x in ("f", "c"))
-    first = np.cumsum([0, *(len(x) // 4 for x in f)])
-    index = Index(np.asarray(found["doc_id"]), np.asarray(found["toxic"]).astype(np.int64), idf, first, np.frombuffer(b"".join(f), np.int32), np.frombuffer(b"".join(c), np.int32))
+    path = shared_path(docs.sparkSession, "toxicity-index")
+
+    def indexed(batches):
+        # A repeated task makes files of its own.
+        own = f"{path}/{uuid.uuid4().hex}"
+        rows = (row for batch in batches for row in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "toxic", "f", "c"))))
+        n, bad = make_index(*_filesystem(own), rows, features, idf)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([n], pa.int64()), pa.array([bad], pa.int64())], ["path", "n", "bad"])
+
+    found = sample.mapInArrow(vectors, "doc_id long, toxic int, f binary, c binary").repartition(1).sortWithinPartitions("doc_id").mapInArrow(indexed, "path string, n long, bad long").collect()
+    at, n, with_words = found[0] if found else (None, 0, 0)
     share = (bad + 0.5) / (size + 1)
-    model = Model(features, index, ([], []), float((bad - index.toxic.sum() + share) / (size - len(index.ids) + 1)), k)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = Model(at, ([], []), float((bad - with_words + share) / (size - n + 1)), k)
 
     def calibration(batches):
         for batch in batches:
             if batch.num_rows:
                 toxic = np.asarray(batch.column("toxic"))
                 ids = batch.column("doc_id").to_pylist()
-                found = [(v, int(toxic[r])) for part in _feature_counts(batch, shared.value.features) for r, v, *_ in shared.value.votes(*part, ids)]
+                found = [(v, int(toxic[r])) for part in _feature_counts(batch, model.features) for r, v, *_ in model.votes(*part, ids)]
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([y for _, y in found], pa.int32())], ["vote", "toxic"])
 
     model.steps = isotonic([tuple(r) for r in sample.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(calibration, "vote double, toxic int").collect()])
-    shared.destroy()
     removed(chosen, sample)
     return model
 
@@ -419,10 +527,9 @@ def _scored(batch: pa.RecordBatch, texts: pa.RecordBatch, model: Model):
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **parameters) -> DataFrame:
     """doc_id, score, vote, toxic, neighbours, similarities of every document."""
     texts = documents(docs, lower=True)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(texts, labels, **parameters))
+    model = fit(texts, labels, **parameters)
 
     def run(batches):
-        model = shared.value
         for batch in batches:
             if batch.num_rows:
                 score, vote, near, cosines = zip(*_scored(batch, batch, model))
@@ -434,10 +541,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **parameters) -> DataFrame:
     """``docs`` without the toxic documents, with all their columns; they are scored where they are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(documents(docs, lower=True), labels, **parameters))
+    model = fit(documents(docs, lower=True), labels, **parameters)
 
     def run(batches):
-        model = shared.value
         for batch in batches:
             if batch.num_rows:
                 # The last column is the lower-cased text.

@@ -1,6 +1,7 @@
 """Each corpus operator against SQL and plain Python, with the awkward cases."""
 
 import math
+import pickle
 import random
 import re
 import tracemalloc
@@ -9,6 +10,7 @@ import brute
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -582,6 +584,37 @@ def test_index_holds_no_whole_columns_several_times():
     assert not got and lists.rank.max() > 0
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_index_is_made_in_files_that_processes_map(tmp_path, local):
+    r = np.random.default_rng(6)
+    n, terms = 3000, 8000
+    vectors = [{int(f): int(r.integers(1, 5)) for f in np.minimum(r.zipf(1.2, 60), terms) - 1} for _ in range(n)]
+    idf, features = 1 + r.random(terms), np.arange(terms, dtype=np.uint64)
+    held = toxicity.Index.build(np.arange(n) * 2, np.arange(n) % 3 == 0, vectors, idf)
+    fs = pafs.LocalFileSystem() if local else pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem())
+    root = f"{tmp_path}/index" if local else "index"
+    rows = ((2 * i, int(i % 3 == 0), *(np.array(list(part), np.int32).tobytes() for part in (v, v.values()))) for i, v in enumerate(vectors))
+    assert toxicity.make_index(fs, root, rows, features, idf) == (n, n // 3)
+    tracemalloc.start()
+    index = toxicity.Index.load(fs, root)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(p.stat().st_size for p in (tmp_path / "index").iterdir())
+    assert peak < size / 10 if local else peak > size / 2
+    for q in ({0: 1, 5: 2, 700: 1}, {1: 1}, {7999: 3, 2: 1}):
+        assert index.search(q, 9) == held.search(q, 9)
+
+
+def test_toxicity_model_is_small_for_a_task(spark):
+    docs, labels = labelled()
+    df, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), lab)
+    assert len(model.index.ids) and len(model.features)
+    assert len(pickle.dumps(model)) < 5000
+    wordless = df.withColumn("text", F.lit("- -"))
+    assert toxicity.score_documents(wordless, lab).filter("vote is null and score is not null").count() == len(docs)
+
+
 def test_isotonic():
     steps, scores = toxicity.isotonic([(0.1, 0), (0.2, 1), (0.3, 0), (0.9, 1), (0.9, 1)])
     assert steps == sorted(steps) and scores == sorted(scores) and scores[-1] > 0.8
