@@ -584,6 +584,26 @@ def test_index_holds_no_whole_columns_several_times():
     assert not got and lists.rank.max() > 0
 
 
+def test_ngram_order_puts_repeated_ngrams_last_among_many():
+    r = np.random.default_rng(7)
+    top = np.iinfo(np.int64).max
+    once, often = r.integers(0, top, 6_000_000).astype(np.uint64), r.integers(0, top, 1000).astype(np.uint64)
+    low = np.concatenate([once, np.repeat(often, 12)]) & np.uint64((1 << ngram_join.BUCKET_BITS) - 1)
+    order = ngram_join.Order(np.bincount(low.astype(np.int64), minlength=1 << ngram_join.BUCKET_BITS))
+    assert (order.number(often) > np.quantile(order.number(once), 0.999)).mean() > 0.99
+
+
+def test_ngram_order_is_that_of_all_counts(spark):
+    texts = [" ".join(t) for t in ([f"w{i % 7}", f"w{i % 5}", f"w{i % 3}", f"u{i}"] * 3 for i in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t) for t in texts)])
+    _, grams = ngram_join.sets(data, offsets, 3)
+    low = (grams & np.uint64((1 << ngram_join.BUCKET_BITS) - 1)).astype(np.int64)
+    want = ngram_join.Order(np.bincount(low, minlength=1 << ngram_join.BUCKET_BITS))
+    got = ngram_join._order(ngram_join._statistics(df, 3))
+    assert np.array_equal(got.rank, want.rank) and np.array_equal(got.fragment, want.fragment)
+
+
 @pytest.mark.parametrize("local", [True, False])
 def test_index_is_made_in_files_that_processes_map(tmp_path, local):
     r = np.random.default_rng(6)
