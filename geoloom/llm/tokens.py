@@ -133,6 +133,34 @@ class Lookup:
         return place[good], number[good]
 
 
+class Buckets:
+    """The same for large arrays of which most hashes are found: a table has where the first bits of a hash begin."""
+
+    #: Numbers that are tried one after the other; a search finds what is still further.
+    STEPS = 8
+
+    def __init__(self, known: np.ndarray) -> None:
+        bits = max(1, len(known).bit_length())
+        self.known, self.shift = known, U64(64 - bits)
+        self.start = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((known >> self.shift).astype(np.int64), minlength=1 << bits), out=self.start[1:])
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``hashes`` that are known, and their numbers."""
+        if not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last = len(self.known) - 1
+        number = np.minimum(self.start[(hashes >> self.shift).astype(np.int64)], last)
+        less = np.flatnonzero(self.known[number] < hashes)
+        for _ in range(self.STEPS):
+            less = less[number[less] < last]
+            number[less] += 1
+            less = less[self.known[number[less]] < hashes[less]]
+        number[less] = np.minimum(np.searchsorted(self.known, hashes[less]), last)
+        place = np.flatnonzero(self.known[number] == hashes)
+        return place, number[place].astype(np.int64)
+
+
 def ngrams(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams that start at each token, and whether they end within their row."""
     h, total = tokens.hash, len(tokens.hash)

@@ -37,7 +37,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -47,13 +47,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import documents, lowered, read, removed, shared_path, written
-from geoloom.llm.tokens import U64, WORD, Lookup, Tokens, groups, rows_of, utf8
+from geoloom.llm.tokens import U64, WORD, Buckets, Tokens, groups, rows_of, utf8
 
 #: Bound of the fit: labelled documents; their words are not bounded.
 MAX_LABELLED = 20_000
 NEIGHBOURS, THRESHOLD = 15, 0.5
-#: Examples in a block, documents that meet the bounds at a time, and the most promising blocks, which set the bound for the others.
-BLOCK, ROWS, FIRST = 16, 128, 16
+#: Examples in a block (a power of two), documents that are held against blocks at a time, those of which alike ones are chosen for that, and the most promising blocks, which set the bound for the others.
+BLOCK, ROWS, CHOICE, FIRST = 16, 128, 384, 16
+#: A list's example and its weight lie together: both are fetched at once.
+POSTING = np.dtype([("example", np.int32), ("weight", np.float32)])
+#: Postings that are summed at a time (a longer list alone).
+PIECE = 1 << 17
 #: Words of more than a 20th of the examples, at most 512, have block maxima; blocks are formed by so many terms, those of most weight.
 COMMON, MAX_COMMON, ALIKE = 20, 512, 256
 #: Examples whose terms are weighed at a time as the index is made.
@@ -97,31 +101,58 @@ def _array(fs: pafs.FileSystem, root: str, name: str) -> np.ndarray:
         return np.load(f)
 
 
+class Room:
+    """Arrays that are used again: workers give freed memory back (see ``session``), and getting it anew for every document takes a fifth of the search."""
+
+    def __init__(self) -> None:
+        self.held = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty(n, dtype)
+        return self.held[name][:n].reshape(shape)
+
+
 @dataclass
 class Lists:
     """Inverted lists over places of examples.
 
     ``rank`` is a term's number among the common terms, or -1. The lists of common terms are
     ``matrix`` (block, place in it, term), with ``most`` (term, block): the largest weights. Those
-    of the others lie in ``example`` and ``weight``, from ``start`` of the term on.
+    of the others lie in ``postings``, from ``start`` of the term on.
     """
 
     rank: np.ndarray
     matrix: np.ndarray
     most: np.ndarray
     start: np.ndarray
-    example: np.ndarray
-    weight: np.ndarray
+    postings: np.ndarray
+    room: Room = field(default_factory=Room, init=False, repr=False)
+
+    @property
+    def example(self) -> np.ndarray:
+        return self.postings["example"]
+
+    @property
+    def weight(self) -> np.ndarray:
+        return self.postings["weight"]
 
     def rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The sums of the lists that have no block maxima, by block and place in it."""
-        size = self.matrix.shape[0] * BLOCK
-        rare = self.rank[terms] < 0
-        if not rare.any():
-            return np.zeros((len(self.matrix), BLOCK))
-        a, b = self.start[terms[rare]], self.start[terms[rare] + 1]
-        places = [slice(x, y) for x, y in zip(a.tolist(), b.tolist())]
-        return np.bincount(np.concatenate([self.example[p] for p in places]), np.concatenate([self.weight[p] for p in places]) * np.repeat(weights[rare].astype(np.float32), b - a), size).reshape(-1, BLOCK)
+        """The sums of the lists that have no block maxima, by block and place in it. Terms are those of such lists."""
+        out, whole, weights = None, self.postings.view(np.int64), weights.astype(np.float32)
+        a, b = self.start[terms], self.start[terms + 1]
+        for lo, hi in groups(np.cumsum(np.concatenate([[0], b - a])), PIECE):
+            some = self.room("some", (int((b[lo:hi] - a[lo:hi]).sum()),), np.int64)
+            np.concatenate([whole[x:y] for x, y in zip(a[lo:hi].tolist(), b[lo:hi].tolist())], out=some)
+            some = some.view(POSTING)
+            # As bincount takes them, which would copy others.
+            example, weight = self.room("example", some.shape, np.int64), self.room("weight", some.shape, np.float64)
+            example[:] = some["example"]
+            np.multiply(some["weight"], np.repeat(weights[lo:hi], b[lo:hi] - a[lo:hi]), out=weight)
+            sums = np.bincount(example, weight, len(self.matrix) * BLOCK)
+            out = sums if out is None else out + sums
+        return np.zeros((len(self.matrix), BLOCK)) if out is None else out.reshape(-1, BLOCK)
 
     def promising(self, common: np.ndarray, bounds: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, float]:
         """Blocks whose bound reaches the k-th best of those of the greatest bounds, and that cosine. ``common`` are the weights of the common terms."""
@@ -130,7 +161,9 @@ class Lists:
         if len(some) <= first:
             return some, 0.0
         top = some[np.argpartition(-bounds[some], first - 1)[:first]]
-        best = score[top].ravel() + self.matrix[top].reshape(-1, len(common)) @ common if len(common) else score[top].ravel()
+        best = score[top].ravel()
+        if len(common):
+            best += np.take(self.matrix, top, 0, self.room("top", (len(top), BLOCK, len(common)), np.float32), "clip").reshape(-1, len(common)) @ common
         least = max(0.0, float(np.partition(best, len(best) - k)[len(best) - k]))
         return some[bounds[some] >= least - SLACK], least
 
@@ -140,10 +173,18 @@ class Lists:
         cut = np.flatnonzero(np.diff(blocks) > 1) + 1
         for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(blocks)]):
             if lo < hi:
-                out[:, lo * BLOCK : hi * BLOCK] = queries @ self.matrix[blocks[lo] : blocks[hi - 1] + 1].reshape((hi - lo) * BLOCK, queries.shape[1]).T
+                np.matmul(queries, self.matrix[blocks[lo] : blocks[hi - 1] + 1].reshape((hi - lo) * BLOCK, queries.shape[1]).T, out=out[:, lo * BLOCK : hi * BLOCK])
         return out.reshape(len(queries), len(blocks), BLOCK)
 
 
+def block_maxima(score: np.ndarray) -> np.ndarray:
+    """The largest of each row of BLOCK places: long passes by halves, as rows are short."""
+    score = score.ravel()
+    for _ in range(BLOCK.bit_length() - 1):
+        score = np.maximum(score[::2], score[1::2])
+    return score
+
+
 @dataclass
 class Index:
     """Unit vectors of labelled examples. Those of example e lie from first[e] to first[e + 1]."""
@@ -162,7 +203,7 @@ class Index:
         of = lambda name: _array(fs, root, name)
         index = cls(*map(of, ("ids", "toxic", "idf", "first", "feature")), np.zeros(0, np.int32))
         index.weights, index.by_place = of("weights"), of("by_place")
-        index.lists = Lists(*map(of, ("rank", "matrix", "most", "start", "example", "weight")))
+        index.lists = Lists(*map(of, ("rank", "matrix", "most", "start", "postings")))
         return index
 
     def save(self) -> None:
@@ -243,7 +284,7 @@ class Index:
         matrix = self.made.new("matrix", (blocks, BLOCK, len(common)), np.float32)
         flat = matrix.reshape(blocks * BLOCK, len(common))
         start = np.cumsum(np.concatenate([[0], np.where(rank < 0, df, 0)]))
-        example, weights = (self.made.new(name, int(start[-1]), dtype) for name, dtype in (("example", np.int32), ("weight", np.float32)))
+        postings = self.made.new("postings", int(start[-1]), POSTING)
         # In order of places, each term goes to the next free place of its list.
         free = start[:-1].copy()
         for lo in range(0, len(self.ids), RUN):
@@ -259,15 +300,15 @@ class Index:
             begin = np.flatnonzero(np.diff(f, prepend=-1))
             n = np.diff(np.append(begin, len(f)))
             to = free[f] + np.arange(len(f)) - np.repeat(begin, n)
-            example[to], weights[to] = of[by], w[by]
+            postings["example"][to], postings["weight"][to] = of[by], w[by]
             free[f[begin]] += n
-        return Lists(rank, matrix, np.ascontiguousarray(matrix.max(1).T), start, example, weights)
+        return Lists(rank, matrix, np.ascontiguousarray(matrix.max(1).T), start, postings)
 
     def searched(self, row: np.ndarray, f: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of each row with terms, in any order: row, examples and cosines of the k greatest; ties to the lower doc_id."""
         if not len(row) or not len(self.ids):
             return
-        lists, example = self.lists, self.by_place
+        lists = self.lists
         begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         end = np.append(begin[1:], len(row))
         number = np.repeat(np.arange(len(begin)), end - begin)
@@ -278,36 +319,45 @@ class Index:
         queries = np.zeros((len(begin), lists.matrix.shape[2]), np.float32)
         queries[number[there], at[there]] = q[there]
         bounds = queries @ lists.most
-        # Documents that are alike meet the same blocks: they are taken together.
-        alike = np.argsort(bounds.argmax(1), kind="stable")
-        for lo in range(0, len(begin), ROWS):
-            some = alike[lo : lo + ROWS]
-            rare = [lists.rare(f[begin[i] : end[i]], q[begin[i] : end[i]]) for i in some.tolist()]
-            found = [lists.promising(queries[i], bounds[i] + r.max(1), r, k) for i, r in zip(some.tolist(), rare)]
-            needed = np.zeros(len(lists.matrix), bool)
-            for blocks, _ in found:
-                needed[blocks] = True
-            union = np.flatnonzero(needed)
-            slot = np.cumsum(needed) - 1
-            common = lists.common_sums(queries[some], union)
-            for i, score, sums, (blocks, least) in zip(some.tolist(), rare, common, found):
-                whole_score = (score[blocks] + sums[slot[blocks]]).ravel()
-                if len(whole_score) > k:
-                    least = max(least, float(np.partition(whole_score, len(whole_score) - k)[len(whole_score) - k]))
-                near = np.flatnonzero((whole_score >= least - SLACK) & (whole_score > 0))
-                if not len(near):
-                    continue
-                near = example[blocks[near // BLOCK] * BLOCK + near % BLOCK]
-                fs, qs = f[begin[i] : end[i]], q[begin[i] : end[i]]
-                whole[fs] = qs
-                size = self.first[near + 1] - self.first[near]
-                at_ = np.cumsum(size) - size
-                inside = np.arange(size.sum()) + np.repeat(self.first[near] - at_, size)
-                # Rounded, so that equal cosines are equal whatever the order of their sums.
-                cosine = np.round(np.add.reduceat(self.weights[inside] * whole[self.feature[inside]], at_), 9)
-                whole[fs] = 0
-                best = np.lexsort((self.ids[near], -cosine))[:k]
-                yield int(row[begin[i]]), near[best], cosine[best]
+        for lo in range(0, len(begin), CHOICE):
+            found = []
+            for i in range(lo, min(lo + CHOICE, len(begin))):
+                own = slice(begin[i], end[i])
+                terms, weights, rare = f[own], q[own], ~there[own]
+                score = lists.rare(terms[rare], weights[rare])
+                blocks, least = lists.promising(queries[i], bounds[i] + block_maxima(score), score, k)
+                found.append((i, terms, weights, blocks, least, score[blocks].astype(np.float32)))
+            # Documents of about the same blocks are taken together.
+            found.sort(key=lambda x: x[3][len(x[3]) // 2] if len(x[3]) else -1)
+            for part in range(0, len(found), ROWS):
+                for i, near, cosine in self._nearest(found[part : part + ROWS], queries, whole, k):
+                    yield int(row[begin[i]]), near, cosine
+
+    def _nearest(self, found: list[tuple], queries: np.ndarray, whole: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Number, examples and cosines of some documents: number, terms, weights, promising blocks, least cosine, and the sums there of the lists without block maxima. ``whole`` is 0 for every term, before and after."""
+        lists, example = self.lists, self.by_place
+        needed = np.zeros(len(lists.matrix), bool)
+        for x in found:
+            needed[x[3]] = True
+        slot = np.cumsum(needed) - 1
+        common = lists.common_sums(queries[[x[0] for x in found]], np.flatnonzero(needed))
+        for (i, terms, weights, blocks, least, score), sums in zip(found, common):
+            score = (score + sums[slot[blocks]]).ravel()
+            if len(score) > k:
+                least = max(least, float(np.partition(score, len(score) - k)[len(score) - k]))
+            near = np.flatnonzero((score >= least - SLACK) & (score > 0))
+            if not len(near):
+                continue
+            near = example[blocks[near // BLOCK] * BLOCK + near % BLOCK]
+            whole[terms] = weights
+            first, last = self.first[near], self.first[near + 1]
+            places = [slice(x, y) for x, y in zip(first.tolist(), last.tolist())]
+            at = np.cumsum(last - first) - (last - first)
+            # Rounded, so that equal cosines are equal whatever the order of their sums.
+            cosine = np.round(np.add.reduceat(np.concatenate([self.weights[p] for p in places]) * whole[np.concatenate([self.feature[p] for p in places])], at), 9)
+            whole[terms] = 0
+            best = np.lexsort((self.ids[near], -cosine))[:k]
+            yield i, near[best], cosine[best]
 
     def search(self, counts: dict[int, int], k: int) -> list[tuple[int, float]]:
         """The k examples of the greatest cosine, as (example, cosine); ties to the lower doc_id."""
@@ -342,6 +392,10 @@ class Model:
     def features(self) -> np.ndarray:
         return np.zeros(0, U64) if self.path is None else _array(*_filesystem(self.path), "features")
 
+    @cached_property
+    def numbers(self) -> Buckets:
+        return Buckets(self.features)
+
     def votes(self, row: np.ndarray, f: np.ndarray, c: np.ndarray, ids: list[int | None]) -> Iterator[tuple[int, float, list[int], list[float]]]:
         """Row, vote, neighbours and cosines of the rows that have neighbours; ids are those of all rows."""
         for r, near, cosine in self.index.searched(row, f, c, self.k + 1):
@@ -404,13 +458,12 @@ def isotonic(pairs: list[tuple[float, int]]) -> tuple[list[float], list[float]]:
     return [p[0] for p in pools], [(p[1] + 0.5) / (p[2] + 1) for p in pools]
 
 
-def _feature_counts(batch: pa.RecordBatch, features: np.ndarray):
+def _feature_counts(batch: pa.RecordBatch, numbers: Buckets):
     """(row, feature, count) arrays of a batch, rows ascending."""
     data, offsets = utf8(batch.column("text"))
-    lookup = Lookup(features, 24)
     for lo, hi in groups(offsets):
         tokens = Tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD)
-        place, number = lookup(tokens.hash)
+        place, number = numbers(tokens.hash)
         pair, n = np.unique((rows_of(tokens)[place] + lo).astype(np.int64) << 32 | number, return_counts=True)
         yield pair >> 32, pair & 0xFFFFFFFF, n
 
@@ -440,10 +493,10 @@ def _document_frequencies(docs: DataFrame, features: np.ndarray) -> tuple[np.nda
     """In how many of all documents each feature is, and how many documents there are."""
 
     def run(batches):
-        df, rows = np.zeros(len(features), np.int64), 0
+        df, rows, numbers = np.zeros(len(features), np.int64), 0, Buckets(features)
         for batch in batches:
             rows += batch.num_rows
-            for _, f, _ in _feature_counts(batch, features):
+            for _, f, _ in _feature_counts(batch, numbers):
                 df += np.bincount(f, minlength=len(features))
         there = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(df[there], rows))], ["f", "n"])
@@ -477,10 +530,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k:
     idf = (1 + np.log((1 + total) / (1 + df))) * np.maximum(1, gain**2 / math.log(max(3, len(features))))
 
     def vectors(batches):
+        numbers = Buckets(features)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for row, f, c in _feature_counts(batch, features):
+            for row, f, c in _feature_counts(batch, numbers):
                 cut = np.flatnonzero(np.diff(row, prepend=-1))
                 parts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(row)]))
                 blobs = (pa.array([x[lo:hi].astype(np.int32).tobytes() for lo, hi in parts], pa.binary()) for x in (f, c))
@@ -506,7 +560,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, k:
             if batch.num_rows:
                 toxic = np.asarray(batch.column("toxic"))
                 ids = batch.column("doc_id").to_pylist()
-                found = [(v, int(toxic[r])) for part in _feature_counts(batch, model.features) for r, v, *_ in model.votes(*part, ids)]
+                found = [(v, int(toxic[r])) for part in _feature_counts(batch, model.numbers) for r, v, *_ in model.votes(*part, ids)]
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([y for _, y in found], pa.int32())], ["vote", "toxic"])
 
     model.steps = isotonic([tuple(r) for r in sample.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(calibration, "vote double, toxic int").collect()])
@@ -518,7 +572,7 @@ def _scored(batch: pa.RecordBatch, texts: pa.RecordBatch, model: Model):
     """Per row of a batch: score, vote, neighbours, similarities."""
     out = [(model.score(None), None, [], [])] * batch.num_rows
     ids = texts.column("doc_id").to_pylist()
-    for part in _feature_counts(texts, model.features):
+    for part in _feature_counts(texts, model.numbers):
         for r, vote, near, cosines in model.votes(*part, ids):
             out[r] = (model.score(vote), vote, near, cosines)
     return out

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from oracle import SF, of_spark, of_sql
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontaminate, line_dedup, lm_score, mixing, ngram_join, secret_scan, suffix_dedup, toxicity, url_filter, winnow
+from geoloom.llm import decontaminate, line_dedup, lm_score, mixing, ngram_join, secret_scan, suffix_dedup, tokens, toxicity, url_filter, winnow
 from geoloom.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -625,6 +625,60 @@ def test_index_is_made_in_files_that_processes_map(tmp_path, local):
         assert index.search(q, 9) == held.search(q, 9)
 
 
+def test_features_are_found_without_a_search_for_each(monkeypatch):
+    r = np.random.default_rng(9)
+    hashes = np.unique(r.integers(0, np.iinfo(np.uint64).max, 50_000, np.uint64))
+    # Also with none, one, and such as share their first bits.
+    for known in (hashes[::2], hashes[:0], hashes[:1], hashes[-1:], np.sort(np.concatenate([hashes[::2], hashes[9] + np.arange(1, 2000, 3, np.uint64)]))):
+        asked = r.permutation(np.concatenate([hashes, hashes[9] + np.arange(0, 2100, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+        place, number = tokens.Buckets(known)(asked)
+        assert np.array_equal(place, np.flatnonzero(np.isin(asked, known))) and np.array_equal(known[number], asked[place])
+    searched = []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *args, **kw: searched.append(np.size(v) if a is hashes else 0) or search(a, v, *args, **kw))
+    assert len(tokens.Buckets(hashes)(hashes)[0]) == len(hashes) and sum(searched) < len(hashes) / 100
+
+
+def test_documents_meet_few_blocks_that_they_do_not_need(monkeypatch):
+    r = np.random.default_rng(11)
+    topics, own = 8, 12
+    # Of 8 topics in turn, which have no term in common.
+    draw = lambda i: {int(x): 1 for x in r.choice(own, 3, replace=False) + own * (i % topics)}
+    vectors = [draw(i) for i in range(topics * 320)]
+    idf = 1 + r.random(topics * own)
+    index = toxicity.Index.build(np.arange(len(vectors)), np.zeros(len(vectors), np.int64), vectors, idf)
+    queries = [draw(i) for i in range(384)]
+    multiplied, needed = [], []
+    sums, promising = toxicity.Lists.common_sums, toxicity.Lists.promising
+    monkeypatch.setattr(toxicity.Lists, "common_sums", lambda self, q, blocks: multiplied.append(len(q) * len(blocks)) or sums(self, q, blocks))
+    monkeypatch.setattr(toxicity.Lists, "promising", lambda self, *args: (needed.append(len((out := promising(self, *args))[0])), out)[1])
+    f, c = (np.array([x for v in queries for x in part(v)], np.int64) for part in (dict.keys, dict.values))
+    got = {i: list(zip(near.tolist(), cosine.tolist())) for i, near, cosine in index.searched(np.repeat(np.arange(len(queries)), [len(v) for v in queries]), f, c, 9)}
+    assert all(got[i] == brute.nearest(queries[i], dict(enumerate(vectors)), idf, 9) for i in range(0, len(queries), 16))
+    assert sum(needed) <= sum(multiplied) < 0.6 * len(queries) * len(index.lists.matrix)
+
+
+def test_sums_of_lists_take_no_memory_anew(monkeypatch):
+    r = np.random.default_rng(12)
+    n, terms = 2000, 1000
+    vectors = [{int(x): 1 for x in r.choice(terms, 40, replace=False)} for _ in range(n)]
+    index = toxicity.Index.build(np.arange(n), np.zeros(n, np.int64), vectors, np.ones(terms))
+    lists = index.lists
+    asked, weights = np.flatnonzero(lists.rank < 0), r.random(terms)
+    postings = int((lists.start[asked + 1] - lists.start[asked]).sum())
+    whole = lists.rare(asked, weights[asked])
+    tracemalloc.start()
+    lists.rare(asked, weights[asked])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert postings > 70_000 and peak < 8 * postings
+    want = [sum(weights[f] for f in vectors[e] if lists.rank[f] < 0) / 40**0.5 for e in index.by_place]
+    assert np.allclose(whole.ravel()[:n], want)
+    # Lists by pieces, of which some are longer than a piece.
+    monkeypatch.setattr(toxicity, "PIECE", 60)
+    assert np.allclose(lists.rare(asked, weights[asked]), whole)
+
+
 def test_toxicity_model_is_small_for_a_task(spark):
     docs, labels = labelled()
     df, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
