@@ -1,13 +1,20 @@
 """What showed on larger tables: tiles with more features than a default tile holds, pixels at their edges, and steps whose memory followed the table."""
 
+import json
+import struct
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
-from geoloom.functions.geometry import st_point, with_summary
+from geoloom.functions import geometry
+from geoloom.functions.geometry import st_as_geojson, st_point, with_summary
 from geoloom.geo import mercator as M
 from geoloom.geo import mvt, wkb
 from geoloom.plans import tiles as plans
+from geoloom.sinks import geoparquet
 
 
 def test_layer_of_points_at_once_has_the_same_bytes():
@@ -63,3 +70,54 @@ def test_all_points():
     assert wkb.all_points(pa.array(p, pa.binary()).slice(1)).tolist() == [[2, 5], [3, 6]]
     for bad in ([*p, None], [*p, b"x" * 21], [*p, p[0][:20]], [], [wkb.encode(("Point", np.zeros((0, 2))))]):
         assert wkb.all_points(pa.array(bad, pa.binary())) is None
+
+
+@pytest.mark.parametrize("sort", ["zorder", "columns", "none"])
+def test_a_tile_is_sorted_in_pieces(spark, tmp_path, monkeypatch, sort):
+    """A window and a sort of one task held all rows of a tile."""
+    rows = with_summary(spark.range(900).select("id", (F.col("id") % 7).alias("k"), st_point(F.col("id") * 37 % 100 - 50, F.col("id") * 11 % 60).alias("geometry"))).withColumn("_tile_id", (F.col("id") % 3).cast("int"))
+    got = {}
+    for pieces in (1 << 40, 5_000):
+        monkeypatch.setattr(geoparquet, "PIECE_BYTES", pieces)
+        made = geoparquet.write_tiles(rows, str(tmp_path / f"{pieces}"), sort=sort, sort_keys=["-k", "id"], row_group=128)
+        files = sorted((tmp_path / f"{pieces}" / "parquet_tiles").glob("*.parquet"))
+        got[pieces] = ([(r["part"], r["name"], r["n_rows"]) for r in made.orderBy("part").collect()], [pq.read_table(f).to_pylist() for f in files])
+        assert max(pq.ParquetFile(files[0]).metadata.row_group(i).num_rows for i in range(3)) <= 128
+    (a, x), (b, y) = got.values()
+    assert a == b and len(a) == 3
+    if sort == "columns":
+        assert x == y and [(-r["k"], r["id"]) for r in x[0]] == sorted((-r["k"], r["id"]) for r in x[0])
+    else:
+        assert [sorted(r["id"] for r in t) for t in x] == [sorted(r["id"] for r in t) for t in y]
+    if sort == "zorder":
+        assert [[r["geometry"] for r in t] for t in x] == [[r["geometry"] for r in t] for t in y]
+        text = geoparquet.with_zorder(rows)._jdf.queryExecution().toString()
+        assert "Window" not in text
+
+
+def test_arcs_together_are_arcs_one_by_one():
+    rng = np.random.default_rng(6)
+    control = rng.uniform(-9, 9, (200, 3, 2))
+    control[5, 2] = control[5, 0]
+    control[6] = [[0, 0], [1, 1], [2, 2]]
+    data = [struct.pack("<BII", 1, 8, 3) + c.tobytes() for c in control] + [None, wkb.encode(wkb.box(0, 0, 1, 1)), struct.pack("<BII4d", 1, 2, 2, 0, 0, 1, 1)]
+    for one, many in zip(map(wkb.linearize, data), wkb.linearized(data)):
+        if one is None:
+            assert many is None
+            continue
+        (k, p), (m, q) = wkb.decode(one), wkb.decode(many)
+        assert k == m and (np.allclose(p, q, rtol=0, atol=1e-6 * max(1, np.abs(p).max())) if k == "LineString" else one == many)
+
+
+def test_geojson_of_points_is_that_of_the_codec(spark):
+    rows = spark.createDataFrame([(1.5, -2.0), (1e-7, 1e22), (0.1, 33.0)], "x double, y double").select(st_point("x", "y").alias("g"))
+    for g, text in rows.select("g", st_as_geojson("g")).collect():
+        assert text == json.dumps(wkb.to_geojson(wkb.decode(g)))
+
+
+def test_functions_are_spread_over_tasks(spark, monkeypatch):
+    """A table in one small file was one task, whatever its rows."""
+    monkeypatch.setattr(geometry, "SPREAD", 100)
+    df = spark.range(0, 1000, 1, 1)
+    assert geometry.spread(df, "id").rdd.getNumPartitions() == 10 and geometry.spread(df.limit(50), "id").rdd.getNumPartitions() == 1
+    assert sorted(r[0] for r in geometry.spread(df, "id").collect()) == list(range(1000))
