@@ -14,7 +14,8 @@ from geoloom.functions.geometry import st_as_geojson, st_point, with_summary
 from geoloom.geo import mercator as M
 from geoloom.geo import mvt, wkb
 from geoloom.plans import tiles as plans
-from geoloom.sinks import geoparquet
+from geoloom.sinks import features, geoparquet
+from geoloom.sources import geojson
 
 
 def test_layer_of_points_at_once_has_the_same_bytes():
@@ -121,3 +122,48 @@ def test_functions_are_spread_over_tasks(spark, monkeypatch):
     df = spark.range(0, 1000, 1, 1)
     assert geometry.spread(df, "id").rdd.getNumPartitions() == 10 and geometry.spread(df.limit(50), "id").rdd.getNumPartitions() == 1
     assert sorted(r[0] for r in geometry.spread(df, "id").collect()) == list(range(1000))
+
+
+def test_small_ranges_read_little_more_than_themselves(tmp_path, monkeypatch):
+    """A range of 4,000 bytes read a megabyte behind it."""
+    p = tmp_path / "a.geojson"
+    p.write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, 1]}, "properties": {"id": i, "text": "x" * (9_000 if i == 700 else 20)}} for i in range(4_000)]}))
+    size, read, real = p.stat().st_size, [], geojson.read_bytes
+    monkeypatch.setattr(geojson, "read_bytes", lambda path, at, n: read.append(n) or real(path, at, n))
+    found = [json.loads(f)["properties"]["id"] for at in range(0, size, 4000) for f in geojson.features(str(p), at, 4000, size)]
+    assert found == list(range(4_000)) and sum(read) < 4 * size
+
+
+def test_many_small_ranges_are_few_tasks(spark, tmp_path):
+    p = tmp_path / "a.geojson"
+    p.write_text(" " * 2_000_000)
+    assert geojson._ranges(spark, str(p), 1000).rdd.getNumPartitions() == 64
+
+
+def test_geojson_stream_holds_no_partition(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"a\n\u2028{i}", float(i), 2.0) for i in range(50)], "id int, t string, x double, y double").repartition(4).select("id", "t", st_point("x", "y").alias("geometry"))
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda *args: pytest.fail("rows come to the driver"))
+    found = json.loads("".join(features.geojson_stream(df)))["features"]
+    assert sorted((f["properties"]["id"], f["properties"]["t"], f["geometry"]["coordinates"][0]) for f in found) == [(i, f"a\n\u2028{i}", float(i)) for i in range(50)]
+    assert json.loads("".join(features.geojson_stream(df.filter("id < 0"))))["features"] == []
+
+
+def test_a_source_is_parsed_once_for_its_types_and_once_for_its_rows(spark, tmp_path, monkeypatch):
+    """Places, tiles, statistics and the histogram each parsed it anew."""
+    p = tmp_path / "a.geojson"
+    p.write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, 1]}, "properties": {"id": i}} for i in range(40)]}))
+    parsed = spark.sparkContext.accumulator(0)
+    real = geojson._each
+
+    def counted(batches):
+        parsed.add(1)
+        return real(batches)
+
+    monkeypatch.setattr(geojson, "_each", counted)
+    df, _ = geojson.read(spark, str(p))
+    df.count()
+    from geoloom.plans import build
+
+    before = parsed.value
+    build.tile(spark, str(p), str(tmp_path / "out"), grid_size=16, partitions=2)
+    assert before and parsed.value == 2 * before
